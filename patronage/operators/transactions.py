@@ -113,34 +113,38 @@ def return_rate(returns: DataFrame, summary: DataFrame, p: RunParams) -> DataFra
     )
 
 
-# grouping_id of (CustomerID, OrderID, Category, ProductName): a set bit marks a column left out.
-BY_ORDER, BY_CATEGORY, BY_PRODUCT = 0b0011, 0b0101, 0b0110
+# grouping_id of (CustomerID, OrderID, Listed, Category, ProductName): a set bit marks a column left out.
+BY_ORDER, BY_CATEGORY, BY_PRODUCT = 0b00111, 0b01001, 0b01010
 
 
 def purchase_totals(facts: DataFrame, products: DataFrame) -> DataFrame:
     """Order totals, favourite category and favourite product from one pass over the lines.
 
     The lines are joined once and aggregated at three grains by grouping sets; a second, much smaller
-    aggregation folds the grains into the customer. Lines whose product is not in the catalog count for
-    the order totals only. ProductID must be unique in ``products``.
+    aggregation folds the grains into the customer. Both combine on the map side and the first groups
+    by more than the customer, so a customer with a large share of the lines is spread over all tasks.
+    Lines whose product is not listed count for the order totals only. ProductID must be unique in
+    ``products``.
     """
-    catalog = products.select("ProductID", "Category", "ProductName", F.lit(True).alias("InCatalog"))
-    listed = F.col("InCatalog").isNotNull()
+    listed = products.select("ProductID", "Category", "ProductName", F.lit(True).alias("Listed"))
     grains = (
-        facts.join(catalog, "ProductID", "left")
+        facts.join(listed, "ProductID", "left")
         .groupingSets(
-            [("CustomerID", "OrderID"), ("CustomerID", "Category"), ("CustomerID", "ProductName")],
+            [
+                ("CustomerID", "OrderID"),
+                ("CustomerID", "Listed", "Category"),
+                ("CustomerID", "Listed", "ProductName"),
+            ],
             "CustomerID",
             "OrderID",
+            "Listed",
             "Category",
             "ProductName",
         )
         .agg(
             F.grouping_id().alias("Grain"),
             F.sum("NetAmount").alias("Net"),
-            F.sum(F.when(listed, F.col("NetAmount"))).alias("ListedNet"),
-            F.sum(F.when(listed, F.col("Quantity"))).alias("ListedQuantity"),
-            F.count(F.when(listed, 1)).alias("ListedLines"),
+            F.sum("Quantity").alias("Quantity"),
             F.min("OrderDate").alias("First"),
             F.max("OrderDate").alias("Last"),
         )
@@ -150,34 +154,34 @@ def purchase_totals(facts: DataFrame, products: DataFrame) -> DataFrame:
         return F.when(F.col("Grain") == grain, value)
 
     def most(grain: int, label: str, amount: str) -> Column:
-        candidate = (F.col("Grain") == grain) & (F.col("ListedLines") > 0)
-        return F.min_by(label, F.when(candidate, F.struct((-F.col(amount)).alias("rank"), F.col(label))))
+        best_first = F.struct((-F.col(amount)).alias("rank"), F.col(label))
+        return F.min_by(label, at(grain, F.when(F.col("Listed"), best_first)))
 
     return grains.groupBy("CustomerID").agg(
         F.count(at(BY_ORDER, F.lit(1))).alias("TotalOrders"),
         F.sum(at(BY_ORDER, F.col("Net"))).alias("TotalSpent"),
         F.min(at(BY_ORDER, F.col("First"))).alias("FirstPurchaseDate"),
         F.max(at(BY_ORDER, F.col("Last"))).alias("LastPurchaseDate"),
-        most(BY_CATEGORY, "Category", "ListedNet").alias("TopCategory"),
-        most(BY_PRODUCT, "ProductName", "ListedQuantity").alias("TopProduct"),
+        most(BY_CATEGORY, "Category", "Net").alias("TopCategory"),
+        most(BY_PRODUCT, "ProductName", "Quantity").alias("TopProduct"),
     )
 
 
 def transaction_summary(
-    base: DataFrame,
+    members: DataFrame,
     orders: DataFrame,
     details: DataFrame,
     products: DataFrame,
     returns: DataFrame,
     p: RunParams,
 ) -> DataFrame:
-    """One row per base customer with completed orders.
+    """One row per member with completed orders; ``members`` is the customer base, or its CustomerIDs.
 
-    Restricting to the base gives the same rows before or after the totals. A full run has nearly every
-    customer in the base and restricts the small result; an incremental run has few and restricts the
+    Restricting to the members gives the same rows before or after the totals. A full run has nearly every
+    customer among them and restricts the small result; an incremental run has few and restricts the
     orders and returns first, so the rest of the lines is never aggregated.
     """
-    members = base.select("CustomerID")
+    members = members.select("CustomerID")
     if p.process_type == INCREMENTAL:
         orders = orders.join(members, "CustomerID", "left_semi")
         returns = returns.join(members, "CustomerID", "left_semi")

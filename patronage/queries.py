@@ -76,8 +76,10 @@ class Workspace:
         if before is not None:
             orders = orders.where(F.col("OrderDate") < F.lit(before))
         p = p or self.p
+        # The base of a full run holds every customer, so their ids alone say the same.
+        members = self.base(p) if p.process_type == INCREMENTAL else self.source.customer_ids()
         rest = (self.table(n) for n in ("OrderDetails", "Products", "Returns"))
-        return txn.transaction_summary(self.base(p), orders, *rest, p)
+        return txn.transaction_summary(members, orders, *rest, p)
 
     @cached_property
     def stored_summary(self) -> DataFrame:

@@ -34,11 +34,13 @@ def last_contact(interactions: DataFrame) -> DataFrame:
 
 
 def last_contact_by_window(interactions: DataFrame) -> DataFrame:
-    """The same result in window form. It sorts every interaction; prefer ``last_contact``."""
+    """The same result in window form; prefer ``last_contact``.
+
+    Repeated days collapse first, so a busy customer's window holds one row per day.
+    """
     per_customer = Window.partitionBy("CustomerID")
-    return interactions.select(
-        "CustomerID", F.max("ContactDate").over(per_customer).alias("LastContactDate")
-    ).distinct()
+    days = interactions.select("CustomerID", "ContactDate").distinct()
+    return days.select("CustomerID", F.max("ContactDate").over(per_customer).alias("LastContactDate")).distinct()
 
 
 def primary_addresses(addresses: DataFrame, on_duplicate: str = "keep") -> DataFrame:

@@ -112,8 +112,16 @@ def run_gold(
             store, segmented.select(*SEGMENT_COLUMNS), "gold", "CustomerSegments", p
         )
     with log.step("Data Persistence", "Data persistence completed") as step:
-        profile = customer_profile(base, summary)
-        store.upsert(profile, "gold", "CustomerProfiles", "CustomerID", p.started_at, keep=("CreatedDate",))
+        require_unique(base, "CustomerID")  # the summary is grouped by it, so the profile is unique too
+        store.upsert(
+            customer_profile(base, summary),
+            "gold",
+            "CustomerProfiles",
+            "CustomerID",
+            p.started_at,
+            keep=("CreatedDate",),
+            key_checked=True,
+        )
         analytics = segmented.withColumn("ProcessDate", F.lit(p.data_date)).select(*ANALYTICS_COLUMNS)
         stamped = with_run_metadata(analytics, "gold", p.data_date, p.started_at)
         step.rows = store.replace_partitions(stamped, "gold", "CustomerAnalytics", {"ProcessDate": p.data_date})

@@ -94,28 +94,43 @@ class TableStore:
     def replace_partitions(
         self, df: DataFrame, layer: str, name: str, partition: Mapping[str, date | str | int]
     ) -> int:
-        """Replaces one partition, given by its values, and leaves all others as they are.
+        """Makes ``df`` the content of one partition, given by its values, and leaves all others as they are.
 
-        ``df`` must hold rows of that partition only. Writing no rows empties the partition.
+        The partition's columns are set here, as literals above the row count: Spark then knows that a
+        task writes one partition only and does not sort the rows by it.
         """
-        self._check_schema(df, layer, name)
+        literals = {column: F.lit(value) for column, value in partition.items()}
+        rows_only = df.drop(*partition)
+        self._check_schema(rows_only.withColumns(literals), layer, name)
         path = self.path(layer, name)
         rows = self._write(
-            df,
-            lambda d: d.write.mode("overwrite")
+            rows_only,
+            lambda d: d.withColumns(literals)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*partition),
             path,
         )
-        if rows == 0:
+        if rows == 0:  # nothing was written, so nothing was replaced either
             self._delete("/".join([path, *(f"{column}={value}" for column, value in partition.items())]))
         return rows
 
     def upsert(
-        self, source: DataFrame, layer: str, name: str, key: str, now: datetime, keep: Sequence[str] = ()
+        self,
+        source: DataFrame,
+        layer: str,
+        name: str,
+        key: str,
+        now: datetime,
+        keep: Sequence[str] = (),
+        key_checked: bool = False,
     ) -> int:
-        """Updates matched rows, inserts the others; see ``operators.merge.upsert``."""
-        require_unique(source, key)
+        """Updates matched rows, inserts the others; see ``operators.merge.upsert``.
+
+        Repeated source keys raise. ``key_checked`` says the caller has already made sure of that.
+        """
+        if not key_checked:
+            require_unique(source, key)
         if self.exists(layer, name):
             merged = upsert(self.read(layer, name), source, key, now, keep)
         else:

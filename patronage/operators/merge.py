@@ -60,6 +60,11 @@ def next_page_key(df: DataFrame, key: str, last: object, size: int) -> object:
     return keyset_page(df.select(key), key, last, size).agg(F.max(key)).first()[0]
 
 
-def cluster_by_key(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partitioned on the key and kept for the steps that follow; unpersist when done."""
-    return df.repartition(key).persist()
+def cluster_by_key(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Hash-partitioned on the key and kept for the steps that follow; unpersist when done.
+
+    The number of partitions is fixed (the session's shuffle partitions by default): adaptive execution
+    would otherwise merge them and joins on the key would shuffle again.
+    """
+    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, key).persist()

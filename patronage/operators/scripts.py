@@ -12,9 +12,7 @@ def read_scripts(spark: SparkSession, path: str, max_chars: int | None = None) -
     """Every file below ``path`` as one row; ``max_chars`` cuts the text where the caller wants that."""
     text = F.col("value") if max_chars is None else F.substring("value", 1, max_chars)
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), text.alias("text"))
     )
 

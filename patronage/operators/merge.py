@@ -23,7 +23,8 @@ def upsert(
 
     One full outer join on the key. Matched rows take the source's values, nulls included, except for
     the columns in ``keep``; rows touched get ``ModifiedDate`` = ``now``. ``source`` has unique keys and
-    every target column but ModifiedDate.
+    every target column but ModifiedDate; ``TableStore.upsert`` checks its keys first, so store a source
+    that is costly to compute.
     """
     old = target.select(F.struct(*target.columns).alias("old"), F.col(key))
     new = source.select(F.struct(*source.columns).alias("new"), F.col(key))

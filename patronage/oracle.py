@@ -449,6 +449,9 @@ def oracle_sql() -> dict[str, str]:
         ),
     }
 
+    groups["q_customer_analytics_joined"] = groups["q_customer_analytics"]
+    groups["q_analytics_summary_joined"] = groups["q_analytics_summary"]
+
     per_customer = "(SELECT CustomerID, count(*) AS n, sum(NetAmount) AS x, max(OrderDate) AS z FROM f GROUP BY 1)"
     from_orders = "(SELECT CustomerID, count(*) AS n, sum(OrderTotal) AS x, max(OrderDate) AS z FROM o GROUP BY 1)"
     line_average = half_up("Exact * 10000", "TotalOrders * 10000")

@@ -54,9 +54,12 @@ class Workspace:
         self.spark = spark
         self.source = StarSchema(spark, folder)
         self.p = RunParams(data_date=DATA_DATE, high_value_threshold=HIGH_VALUE, started_at=RUN_MOMENT)
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.source.table(name)
+        if name not in self._tables:
+            self._tables[name] = self.source.table(name)
+        return self._tables[name]
 
     def base(self, p: RunParams | None = None) -> DataFrame:
         people = (self.table(n) for n in ("Customers", "CustomerAddresses", "CustomerInteractions"))
@@ -294,11 +297,24 @@ def q_customer_segments(w):
 
 @query
 def q_customer_analytics(w):
+    """As the run builds it: one projection over the stored summary."""
+    return w.scored.withColumn("ProcessDate", F.lit(DATA_DATE)).select(*segments.ANALYTICS_COLUMNS)
+
+
+@query
+def q_customer_analytics_joined(w):
+    """From separate metric and segment tables."""
     return segments.customer_analytics(w.metrics, w.segments, w.p)
 
 
 @query
 def q_analytics_summary(w):
+    return segments.summarize(w.scored, w.p)
+
+
+@query
+def q_analytics_summary_joined(w):
+    """From separate base, metric and segment tables."""
     return segments.analytics_summary(w.base(), w.metrics, w.segments, w.p)
 
 
@@ -386,9 +402,10 @@ def q_profile_merge(w):
     then = datetime(EARLIER_DATE.year, EARLIER_DATE.month, EARLIER_DATE.day)
     known = w.base().where(F.col("CreatedDate") < F.lit(EARLIEST_DATE))
     earlier = segments.customer_profile(known, w.summary(replace(w.p, data_date=EARLIER_DATE), EARLIER_DATE))
+    earlier = durable(earlier)
     w.store.upsert(earlier, "gold", "CustomerProfiles", "CustomerID", then, keep=("CreatedDate",))
     changed = replace(w.p, process_type=INCREMENTAL, data_date=CHANGED_SINCE)
-    today = segments.customer_profile(w.base(changed), w.summary(changed))
+    today = durable(segments.customer_profile(w.base(changed), w.summary(changed)))
     w.store.upsert(today, "gold", "CustomerProfiles", "CustomerID", RUN_MOMENT, keep=("CreatedDate",))
     merged = w.store.read("gold", "CustomerProfiles")
     return merged.withColumn("ModifiedDate", F.to_date("ModifiedDate"))

@@ -44,17 +44,23 @@ def line_facts(orders: DataFrame, details: DataFrame) -> DataFrame:
     return order_lines(orders.where(F.col("Status") == fx.COMPLETED_STATUS), details)
 
 
-def order_summary(facts: DataFrame) -> DataFrame:
-    """Orders, spend and first and last date per customer.
+def order_summary(orders: DataFrame, details: DataFrame) -> DataFrame:
+    """Completed orders, spend and first and last date per customer.
 
-    Spark groups by (customer, order) first and by customer second, so one customer's orders spread over
-    all tasks before they are counted.
+    Lines are summed per order before they meet the orders, so neither the shuffle nor the join sees an
+    order's lines one by one. Orders are then counted by (customer, order) first and by customer second.
     """
-    return facts.groupBy("CustomerID").agg(
-        F.countDistinct("OrderID").alias("TotalOrders"),
-        F.sum("NetAmount").alias("TotalSpent"),
-        F.min("OrderDate").alias("FirstPurchaseDate"),
-        F.max("OrderDate").alias("LastPurchaseDate"),
+    completed = orders.where(F.col("Status") == fx.COMPLETED_STATUS).select("OrderID", "CustomerID", "OrderDate")
+    values = details.groupBy("OrderID").agg(F.sum(net_amount(details)).alias("OrderValue"))
+    return (
+        completed.join(values, "OrderID")
+        .groupBy("CustomerID")
+        .agg(
+            F.countDistinct("OrderID").alias("TotalOrders"),
+            F.sum("OrderValue").alias("TotalSpent"),
+            F.min("OrderDate").alias("FirstPurchaseDate"),
+            F.max("OrderDate").alias("LastPurchaseDate"),
+        )
     )
 
 

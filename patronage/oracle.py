@@ -49,6 +49,8 @@ def out(columns: Iterable[str], prefix: str = "") -> str:
             items.append(f"CAST(CAST({source} AS DECIMAL(18,4)) AS DOUBLE) AS {c}")
         elif c in DATES:
             items.append(f"strftime({source}, '%Y-%m-%d') AS {c}")
+        elif c in ("AccountManager", "IsActive"):
+            items.append(f"CAST({source} AS BIGINT) AS {c}")
         else:
             items.append(f"{source} AS {c}")
     return ", ".join(items)
@@ -429,10 +431,10 @@ def oracle_sql() -> dict[str, str]:
         "q_analytics_summary": _from(
             SEGMENTS,
             f"""SELECT '{DATA_DATE}' AS ProcessDate, 'FULL' AS ProcessType, count(DISTINCT CustomerID) AS TotalCustomers,
-                count_if(LifecycleSegment = 'Active') AS ActiveCustomers,
-                count_if(LifecycleSegment = 'New Customer') AS NewCustomers,
-                count_if(LifecycleSegment IN ('At Risk', 'Churned')) AS ChurningCustomers,
-                count_if(ValueSegment = 'High Value') AS HighValueCustomers,
+                count(*) FILTER (WHERE LifecycleSegment = 'Active') AS ActiveCustomers,
+                count(*) FILTER (WHERE LifecycleSegment = 'New Customer') AS NewCustomers,
+                count(*) FILTER (WHERE LifecycleSegment IN ('At Risk', 'Churned')) AS ChurningCustomers,
+                count(*) FILTER (WHERE ValueSegment = 'High Value') AS HighValueCustomers,
                 CAST({half_up("sum(CustomerLifetimeValue) * 100", "count(*) * 100")} AS DOUBLE) AS AverageLifetimeValue
                 FROM seg""",
         ),
@@ -506,8 +508,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "q_dq_retention": _from(
             HISTORY,
-            f"SELECT count_if(ProcessDate < DATE '{EARLIER_DATE}') AS expired_rows, "
-            f"count_if(ProcessDate < DATE '{EARLIER_DATE}') = 0 AS passed FROM h",
+            f"SELECT count(*) FILTER (WHERE ProcessDate < DATE '{EARLIER_DATE}') AS expired_rows, "
+            f"count(*) FILTER (WHERE ProcessDate < DATE '{EARLIER_DATE}') = 0 AS passed FROM h",
         ),
         "q_dq_no_orders": _from(
             SUMMARY,

@@ -69,6 +69,9 @@ class Workspace:
     def facts(self) -> DataFrame:
         return txn.line_facts(self.table("Orders"), self.table("OrderDetails"))
 
+    def order_summary(self) -> DataFrame:
+        return txn.order_summary(self.table("Orders"), self.table("OrderDetails"))
+
     @cached_property
     def all_lines(self) -> DataFrame:
         return txn.order_lines(self.table("Orders"), self.table("OrderDetails"))
@@ -185,7 +188,7 @@ def q_customer_order_stats(w):
 
 @query
 def q_order_summary(w):
-    return txn.order_summary(w.facts)
+    return w.order_summary()
 
 
 @query
@@ -210,7 +213,7 @@ def q_top_product(w):
 
 @query
 def q_return_rate(w):
-    return txn.return_rate(w.table("Returns"), txn.order_summary(w.facts), w.p)
+    return txn.return_rate(w.table("Returns"), w.order_summary(), w.p)
 
 
 @query
@@ -477,7 +480,7 @@ def q_dq_no_orders(w):
 def q_dq_expected_values(w):
     """Completed orders per customer against all orders per customer: every customer that differs."""
     expected = w.table("Orders").groupBy("CustomerID").agg(F.count("OrderID").alias("TotalOrders"))
-    return quality.expected_values(txn.order_summary(w.facts), expected, "CustomerID")
+    return quality.expected_values(w.order_summary(), expected, "CustomerID")
 
 
 @query

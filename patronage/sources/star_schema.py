@@ -108,8 +108,7 @@ class StarSchema:
         )
 
     def _orders(self) -> DataFrame:
-        # Nested with the completed code outermost: a test for that word then folds into a test for its
-        # code, which reaches the scan.
+        # Nested with the completed code outermost: a test for that word folds into a test for its code.
         status = F.col("o_orderstatus")
         named = F.lit(None).cast("string")
         for code, word in reversed(ORDER_STATUS.items()):

@@ -143,7 +143,7 @@ def test_one_customer_holds_most_lines(spark):
 def test_single_pass_equals_separate_operators(tables):
     facts = txn.line_facts(tables["Orders"], tables["OrderDetails"])
     joined = (
-        txn.order_summary(facts)
+        txn.order_summary(tables["Orders"], tables["OrderDetails"])
         .join(txn.top_category(facts, tables["Products"]).selectExpr("CustomerID", "Category AS TopCategory"), "CustomerID", "left")
         .join(txn.top_product(facts, tables["Products"]).selectExpr("CustomerID", "ProductName AS TopProduct"), "CustomerID", "left")
     )
@@ -157,7 +157,7 @@ def test_gross_amount_replaces_price(spark):
 
 
 def test_return_rate_needs_orders(tables):
-    totals = txn.order_summary(txn.line_facts(tables["Orders"], tables["OrderDetails"]))
+    totals = txn.order_summary(tables["Orders"], tables["OrderDetails"])
     rows = {r["CustomerID"]: (r["TotalReturns"], r["ReturnRate"]) for r in txn.return_rate(tables["Returns"], totals, P).collect()}
     assert rows == {1: (3, Decimal("150.00")), 3: (1, Decimal("100.00"))}
     assert totals.where(F.col("CustomerID") == 2).isEmpty()

@@ -98,22 +98,19 @@ def run_gold(
 ) -> dict[str, DataFrame]:
     """Metrics, segments, profiles, analytics, retention and the run summary.
 
-    Everything but the profiles is a projection of the stored summary, so the three tables of scored
-    customers cost one narrow scan each and no join.
+    Every customer may occur once in the base. Everything but the profiles is then a projection of the
+    stored summary, so the three tables of scored customers cost one narrow scan each and no join.
     """
     base, summary = require(silver, "CustomerBase", "TransactionSummary")
     with log.step("Calculate Customer Metrics", "Calculated advanced customer metrics") as step:
+        require_unique(base, "CustomerID")  # the summary is grouped by it, so profiles are unique too
         scored = scored_customers(summary, p)
         metrics = scored.select(*METRIC_COLUMNS)
         step.rows, metrics = write_slice(store, metrics, "gold", "CustomerMetrics", p)
     with log.step("Customer Segmentation", "Completed customer segmentation") as step:
-        members = base.select("CustomerID")
-        segmented = members.join(scored, "CustomerID") if p.on_duplicate_address == "keep" else scored
-        step.rows, segments = write_slice(
-            store, segmented.select(*SEGMENT_COLUMNS), "gold", "CustomerSegments", p
-        )
+        segments = scored.select(*SEGMENT_COLUMNS)
+        step.rows, segments = write_slice(store, segments, "gold", "CustomerSegments", p)
     with log.step("Data Persistence", "Data persistence completed") as step:
-        require_unique(base, "CustomerID")  # the summary is grouped by it, so the profile is unique too
         store.upsert(
             customer_profile(base, summary),
             "gold",
@@ -123,13 +120,13 @@ def run_gold(
             keep=("CreatedDate",),
             key_checked=True,
         )
-        analytics = segmented.withColumn("ProcessDate", F.lit(p.data_date)).select(*ANALYTICS_COLUMNS)
+        analytics = scored.withColumn("ProcessDate", F.lit(p.data_date)).select(*ANALYTICS_COLUMNS)
         stamped = with_run_metadata(analytics, "gold", p.data_date, p.started_at)
         step.rows = store.replace_partitions(stamped, "gold", "CustomerAnalytics", {"ProcessDate": p.data_date})
         if not p.debug_mode:
             store.drop_before("gold", "CustomerAnalytics", "ProcessDate", p.retention_cutoff)
     with log.step("Generate Summary", "Summary statistics generated") as step:
-        counts = summarize(segmented, p).first().asDict()
+        counts = summarize(scored, p).first().asDict()
         row = summary_row(store.spark, p, counts, log.elapsed_ms())
         step.rows = store.append(row.coalesce(1), "gold", "CustomerAnalyticsSummary")
     return {

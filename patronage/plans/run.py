@@ -13,6 +13,7 @@ from patronage.functions import fixed_values as fx
 from patronage.params import FULL, INCREMENTAL, RunParams
 from patronage.plans.layers import Source, run_bronze, run_gold, run_silver
 from patronage.plans.runlog import RunLog, failed_row
+from patronage.sources.delta import DeltaStore
 from patronage.sources.jdbc import JdbcSource, sql_server_url
 from patronage.sources.star_schema import StarSchema
 from patronage.sources.store import TableStore
@@ -84,6 +85,7 @@ def session(name: str) -> SparkSession:
 def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(description="Customer analytics run")
     parser.add_argument("--store", required=True, help="base folder of the layered tables")
+    parser.add_argument("--delta", action="store_true", help="keep the tables in Delta Lake")
     place = parser.add_mutually_exclusive_group(required=True)
     place.add_argument("--star-schema", help="folder of star schema Parquet files")
     place.add_argument("--sql-server", metavar="HOST/DATABASE", help="database to ingest from")
@@ -133,7 +135,8 @@ def main(argv: list[str] | None = None) -> int:
     p = params(args)
     spark = session(f"customer-analytics {p.data_date} {p.process_type}")
     try:
-        report = run(TableStore(spark, args.store), source(spark, args), p)
+        store = DeltaStore(spark, args.store) if args.delta else TableStore(spark, args.store)
+        report = run(store, source(spark, args), p)
     except Exception as error:  # the failed row and the log are already stored
         print(f"run failed: {error}", file=sys.stderr)
         return 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patronage.functions import fixed_values as fx
 from patronage.functions import rules
@@ -21,6 +22,7 @@ SEGMENT_COLUMNS = (
     "TargetGroup",
     "MarketingRecommendation",
 )
+AVERAGE_TYPE = T.DecimalType(28, 6)
 ANALYTICS_COLUMNS = ("ProcessDate", *METRIC_COLUMNS, *SEGMENT_COLUMNS[1:])
 
 
@@ -81,7 +83,7 @@ def summarize(rows: DataFrame, p: RunParams) -> DataFrame:
         F.count_if(stage == new).alias("NewCustomers"),
         F.count_if(stage.isin(at_risk, churned)).alias("ChurningCustomers"),
         F.count_if(F.col("ValueSegment") == fx.VALUE_SEGMENTS[0]).alias("HighValueCustomers"),
-        F.coalesce(F.avg("CustomerLifetimeValue").cast(p.money_type), F.lit(0).cast(p.money_type)).alias(
+        F.coalesce(F.avg("CustomerLifetimeValue").cast(AVERAGE_TYPE), F.lit(0).cast(AVERAGE_TYPE)).alias(
             "AverageLifetimeValue"
         ),
     ).select(F.lit(p.data_date).alias("ProcessDate"), F.lit(p.process_type).alias("ProcessType"), "*")

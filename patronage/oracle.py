@@ -435,7 +435,8 @@ def oracle_sql() -> dict[str, str]:
                 count(*) FILTER (WHERE LifecycleSegment = 'New Customer') AS NewCustomers,
                 count(*) FILTER (WHERE LifecycleSegment IN ('At Risk', 'Churned')) AS ChurningCustomers,
                 count(*) FILTER (WHERE ValueSegment = 'High Value') AS HighValueCustomers,
-                CAST({half_up("sum(CustomerLifetimeValue) * 100", "count(*) * 100")} AS DOUBLE) AS AverageLifetimeValue
+                CAST((2 * CAST(sum(CustomerLifetimeValue) * 1000000 AS HUGEINT) + count(*)) // (2 * count(*)) AS DOUBLE)
+                    / 1000000 AS AverageLifetimeValue
                 FROM seg""",
         ),
         "q_segments_simple_a": _simple(

@@ -73,11 +73,13 @@ def report_frame(spark: SparkSession, report: dict, p: RunParams) -> DataFrame:
 
 
 def session(name: str) -> SparkSession:
-    """A session with adaptive execution and skew splitting on; everything else is the cluster's choice."""
+    """A session with adaptive execution and skew splitting on, and checkpoints removed once unused;
+    everything else is the cluster's choice."""
     return (
         SparkSession.builder.appName(name)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
-from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from patronage.functions import fixed_values as fx
+from patronage.operators.segments import AVERAGE_TYPE
 from patronage.params import RunParams
 from patronage.sources.store import TableStore
 
@@ -28,7 +28,7 @@ SUMMARY_SCHEMA = T.StructType(
         T.StructField("NewCustomers", T.LongType()),
         T.StructField("ChurningCustomers", T.LongType()),
         T.StructField("HighValueCustomers", T.LongType()),
-        T.StructField("AverageLifetimeValue", T.DecimalType(24, 2)),
+        T.StructField("AverageLifetimeValue", AVERAGE_TYPE),
         T.StructField("TotalProcessingTimeMs", T.LongType()),
         T.StructField("ProcessingStatus", T.StringType()),
         T.StructField("ErrorMessage", T.StringType()),
@@ -95,7 +95,7 @@ def summary_row(spark: SparkSession, p: RunParams, counts: dict, elapsed_ms: int
         counts["NewCustomers"],
         counts["ChurningCustomers"],
         counts["HighValueCustomers"],
-        Decimal(counts["AverageLifetimeValue"]),
+        counts["AverageLifetimeValue"],
     )
     row = (p.data_date, p.process_type, *values, elapsed_ms, fx.STATUS_SUCCESS, None)
     return spark.createDataFrame([row], SUMMARY_SCHEMA)

@@ -90,13 +90,6 @@ def test_order_summary_combines_lines_before_the_shuffle(work, no_broadcast):
     assert re.search(r"Exchange hashpartitioning\(OrderID#\d+L?, \d+\)[^\n]*\n[^\n]*HashAggregate\([^\n]*partial_sum", text)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
-def test_no_pairing_of_all_rows_and_no_python_rows(spark, name):
-    text = plan(queries()[name](spark, FOLDER))
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
-        assert bad not in text
-
-
 def test_an_order_with_most_lines_is_split(spark, no_broadcast):
     """One order holds a third of all lines: the join on OrderID must not leave them to one task."""
     settings = {

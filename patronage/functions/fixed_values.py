@@ -79,6 +79,17 @@ SIMPLE_SPEND_LIMITS = ("5000", "2500")
 SIMPLE_ORDER_LIMITS = (10, 5)
 SIMPLE_DAY_LIMITS = (30, 90)
 
+# Steps of a run as the log names them, each with its closing message.
+STEP_INITIALIZE = "Initialize"
+START_MESSAGE = "Starting Customer Analytics processing for date: {day} - Type: {kind}"
+STEP_BASE = ("Extract Customer Base", "Extracted base customer data")
+STEP_SUMMARY = ("Process Transaction Summary", "Calculated transaction summary metrics")
+STEP_METRICS = ("Calculate Customer Metrics", "Calculated advanced customer metrics")
+STEP_SEGMENTS = ("Customer Segmentation", "Completed customer segmentation")
+STEP_PERSIST = ("Data Persistence", "Data persistence completed")
+STEP_REPORT = ("Generate Summary", "Summary statistics generated")
+ERROR_PREFIX = "ERROR: "
+
 # Run status words.
 STATUS_SUCCESS = "Success"
 STATUS_FAILED = "Failed"

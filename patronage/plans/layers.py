@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.contracts import SOURCES, conform, require
+from patronage.functions import fixed_values as fx
 from patronage.functions.columns import with_run_metadata
 from patronage.operators.customers import customer_base
 from patronage.operators.merge import require_unique
@@ -57,11 +58,10 @@ def write_slice(
 
 
 def read_slice(store: TableStore, layer: str, name: str, p: RunParams) -> DataFrame:
-    """The run date's rows; the date is a partition column, so only its folder is listed and read."""
+    """The run date's rows; only that date's folder is listed and read."""
     day = RUN_DATE[layer]
-    return store.read(layer, name, F.col(day) == F.lit(p.data_date)).drop(
-        day, day.replace("_date", "_timestamp")
-    )
+    rows = store.read_partition(layer, name, {day: p.data_date})
+    return rows.drop(day, day.replace("_date", "_timestamp"))
 
 
 def ingest_bronze(store: TableStore, source: Source, name: str, p: RunParams) -> tuple[int, DataFrame]:
@@ -82,11 +82,11 @@ def run_silver(
     store: TableStore, bronze: Mapping[str, DataFrame], p: RunParams, log: RunLog
 ) -> dict[str, DataFrame]:
     customers, addresses, interactions, orders, details, products, returns = require(bronze, *SOURCES)
-    with log.step("Extract Customer Base", "Extracted base customer data") as step:
+    with log.step(*fx.STEP_BASE) as step:
         require_unique(customers, SOURCES["Customers"].key)
         base = customer_base(customers, addresses, interactions, p)
         step.rows, base = write_slice(store, base, "silver", "CustomerBase", p)
-    with log.step("Process Transaction Summary", "Calculated transaction summary metrics") as step:
+    with log.step(*fx.STEP_SUMMARY) as step:
         require_unique(products, SOURCES["Products"].key)
         summary = transaction_summary(base, orders, details, products, returns, p)
         step.rows, summary = write_slice(store, summary, "silver", "TransactionSummary", p)
@@ -102,15 +102,15 @@ def run_gold(
     stored summary, so the three tables of scored customers cost one narrow scan each and no join.
     """
     base, summary = require(silver, "CustomerBase", "TransactionSummary")
-    with log.step("Calculate Customer Metrics", "Calculated advanced customer metrics") as step:
+    with log.step(*fx.STEP_METRICS) as step:
         require_unique(base, "CustomerID")  # the summary is grouped by it, so profiles are unique too
         scored = scored_customers(summary, p)
         metrics = scored.select(*METRIC_COLUMNS)
         step.rows, metrics = write_slice(store, metrics, "gold", "CustomerMetrics", p)
-    with log.step("Customer Segmentation", "Completed customer segmentation") as step:
+    with log.step(*fx.STEP_SEGMENTS) as step:
         segments = scored.select(*SEGMENT_COLUMNS)
         step.rows, segments = write_slice(store, segments, "gold", "CustomerSegments", p)
-    with log.step("Data Persistence", "Data persistence completed") as step:
+    with log.step(*fx.STEP_PERSIST) as step:
         store.upsert(
             customer_profile(base, summary),
             "gold",
@@ -125,7 +125,7 @@ def run_gold(
         step.rows = store.replace_partitions(stamped, "gold", "CustomerAnalytics", {"ProcessDate": p.data_date})
         if not p.debug_mode:
             store.drop_before("gold", "CustomerAnalytics", "ProcessDate", p.retention_cutoff)
-    with log.step("Generate Summary", "Summary statistics generated") as step:
+    with log.step(*fx.STEP_REPORT) as step:
         counts = summarize(scored, p).first().asDict()
         row = summary_row(store.spark, p, counts, log.elapsed_ms())
         step.rows = store.append(row.coalesce(1), "gold", "CustomerAnalyticsSummary")

@@ -51,9 +51,9 @@ class RunLog:
     def __init__(self, p: RunParams):
         self.p = p
         self.steps: list[Step] = []
-        text = f"Starting Customer Analytics processing for date: {p.data_date.isoformat()} - Type: {p.process_type}"
+        text = fx.START_MESSAGE.format(day=p.data_date.isoformat(), kind=p.process_type)
         now = datetime.now()
-        self.steps.append(Step("Initialize", now, now, 0, text))
+        self.steps.append(Step(fx.STEP_INITIALIZE, now, now, 0, text))
 
     @contextmanager
     def step(self, name: str, message: str) -> Iterator[Step]:
@@ -63,7 +63,7 @@ class RunLog:
             yield entry
             entry.message = message
         except Exception as error:
-            entry.rows, entry.message = -1, f"ERROR: {error}"
+            entry.rows, entry.message = -1, f"{fx.ERROR_PREFIX}{error}"
             raise
         finally:
             entry.ended = datetime.now()

@@ -36,6 +36,12 @@ class DeltaStore(TableStore):
         df = self.spark.read.format(self.fmt).load(self.path(layer, name))
         return df if where is None else df.where(where)
 
+    def read_partition(self, layer: str, name: str, partition: Mapping[str, date | str | int]) -> DataFrame:
+        rows = self.read(layer, name)
+        for column, value in partition.items():
+            rows = rows.where(F.col(column) == F.lit(value))
+        return rows
+
     def overwrite(self, df: DataFrame, layer: str, name: str, partition_by: Sequence[str] = ()) -> int:
         path = self.path(layer, name)
         return self._write(
@@ -84,6 +90,10 @@ class DeltaStore(TableStore):
         )
         return self.read(layer, name).count()
 
+    def append(self, df: DataFrame, layer: str, name: str) -> int:
+        """Delta itself refuses columns that differ from the table's."""
+        return self._write(df, lambda d: d.write.mode("append"), self.path(layer, name))
+
     def drop_before(self, layer: str, name: str, column: str, cutoff: date) -> list[str]:
         table = self._table.forPath(self.spark, self.path(layer, name))
         table.delete(f"{column} < '{cutoff.isoformat()}'")

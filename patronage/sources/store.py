@@ -73,6 +73,18 @@ class TableStore:
         df = self.spark.read.format(self.fmt).load(folder)
         return df if where is None else df.where(where)
 
+    def read_partition(self, layer: str, name: str, partition: Mapping[str, date | str | int]) -> DataFrame:
+        """One partition, given by its values. The others are not even listed."""
+        path = self.path(layer, name)
+        folder = self._partition_path(path, partition)
+        if not self._children(folder):
+            raise FileNotFoundError(f"no partition {folder}")
+        return self.spark.read.format(self.fmt).option("basePath", path).load(folder)
+
+    @staticmethod
+    def _partition_path(path: str, partition: Mapping[str, date | str | int]) -> str:
+        return "/".join([path, *(f"{column}={value}" for column, value in partition.items())])
+
     def read_table(self, table: str) -> DataFrame:
         return self.spark.read.table(table)
 
@@ -112,7 +124,7 @@ class TableStore:
             path,
         )
         if rows == 0:  # nothing was written, so nothing was replaced either
-            self._delete("/".join([path, *(f"{column}={value}" for column, value in partition.items())]))
+            self._delete(self._partition_path(path, partition))
         return rows
 
     def upsert(
@@ -166,10 +178,17 @@ class TableStore:
         writer(observed).format(self.fmt).save(path)
         return int(seen.get.get("rows", 0))
 
+    def _newest_part(self, layer: str, name: str) -> DataFrame:
+        """The last partition of a table, or all of it: enough to see its columns."""
+        base = folder = self._current(layer, name)
+        while parts := [c for c in self._children(folder) if "=" in c]:
+            folder = f"{folder}/{parts[-1]}"
+        return self.spark.read.format(self.fmt).option("basePath", base).load(folder)
+
     def _check_schema(self, df: DataFrame, layer: str, name: str) -> None:
         if not self.exists(layer, name):
             return
-        stored = {f.name: f.dataType for f in self.read(layer, name).schema}
+        stored = {f.name: f.dataType for f in self._newest_part(layer, name).schema}
         given = {f.name: f.dataType for f in df.schema}
         if stored != given:
             differing = sorted(

@@ -1,6 +1,8 @@
 """The shape of the plans: what reaches the scan, what is shuffled, what is never done."""
 
 import re
+from dataclasses import replace
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from patronage.operators import merge
 from patronage.operators import transactions as txn
 from patronage.plans import layers
-from patronage.queries import Workspace, queries
+from patronage.queries import DATA_DATE, EARLIER_DATE, Workspace, queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -50,10 +52,15 @@ def test_filters_and_columns_reach_the_scan(work):
     assert "EqualTo(c_custkey,42)" in people
 
 
-def test_slice_prunes_partitions(work):
-    layers.ingest_bronze(work.store, work.source, "Orders", work.p)
+def test_slice_lists_one_folder(work):
+    for day in (EARLIER_DATE, DATA_DATE):
+        layers.ingest_bronze(work.store, work.source, "Orders", replace(work.p, data_date=day))
     text = plan(layers.read_slice(work.store, "bronze", "dbo.Orders", work.p))
-    assert re.search(r"PartitionFilters: \[[^]]*_ingestion_date[^]]* = 2001-08-02", text)
+    assert re.search(r"Location: InMemoryFileIndex\(1 paths\)\[[^]]*_ingestion_date=2001-08-02\]", text)
+    whole = work.store.read("bronze", "dbo.Orders", F.col("_ingestion_date") == F.lit(DATA_DATE))
+    assert re.search(r"PartitionFilters: \[[^]]*_ingestion_date[^]]* = 2001-08-02", plan(whole))
+    with pytest.raises(FileNotFoundError, match="_ingestion_date=2000-01-01"):
+        layers.read_slice(work.store, "bronze", "dbo.Orders", replace(work.p, data_date=date(2000, 1, 1)))
 
 
 def test_partition_write_does_not_sort(work):

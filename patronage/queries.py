@@ -402,7 +402,7 @@ def q_bronze_slice(w):
 @query
 def q_profile_merge(w):
     """Profiles as of an earlier date, for the customers of that time, then merged with today's."""
-    then = datetime(EARLIER_DATE.year, EARLIER_DATE.month, EARLIER_DATE.day)
+    then = datetime(EARLIER_DATE.year, EARLIER_DATE.month, EARLIER_DATE.day, 12)
     known = w.base().where(F.col("CreatedDate") < F.lit(EARLIEST_DATE))
     earlier = segments.customer_profile(known, w.summary(replace(w.p, data_date=EARLIER_DATE), EARLIER_DATE))
     earlier = durable(earlier)

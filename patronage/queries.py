@@ -411,7 +411,10 @@ def q_profile_merge(w):
     today = durable(segments.customer_profile(w.base(changed), w.summary(changed)))
     w.store.upsert(today, "gold", "CustomerProfiles", "CustomerID", RUN_MOMENT, keep=("CreatedDate",))
     merged = w.store.read("gold", "CustomerProfiles")
-    return merged.withColumn("ModifiedDate", F.to_date("ModifiedDate"))
+    # Named by the two moments, so that the session's time zone plays no part.
+    stamp = F.col("ModifiedDate")
+    day = F.when(stamp == F.lit(then), F.lit(EARLIER_DATE)).when(stamp == F.lit(RUN_MOMENT), F.lit(DATA_DATE))
+    return merged.withColumn("ModifiedDate", day)
 
 
 @query

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from patronage.llm import decontaminate
+from patronage.llm import decontaminate, warc
 
 
 def queries() -> dict:
     return {
         "op5_decontamination": decontaminate.op5_decontamination,
+        "op6_warc": warc.op6_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontamination": decontaminate.OP5_SQL,
+        "op6_warc": warc.OP6_SQL,
     }

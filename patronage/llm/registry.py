@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from patronage.llm import decontaminate, warc
+from patronage.llm import decontaminate, pieces, token_files, warc
 
 
 def queries() -> dict:
     return {
+        "op3_sentencepiece": pieces.op3_sentencepiece,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_warc": warc.op6_warc,
+        "op8_token_files": token_files.op8_token_files,
     }
 
 

@@ -135,18 +135,20 @@ def plan_records(pages: DataFrame, page: str, url: str, html: str) -> DataFrame:
         F.coalesce(column_ref(html), F.lit("")).alias("html"),
     )
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    small = rows.select("page_id", "digest", F.octet_length("html").cast("long").alias("bytes"))
-    distinct = small.groupBy("page_id", "digest", "bytes").agg(F.count("*").alias("copies"))
+    # a key without nulls, so that the join and the grouping after it share one partitioning
+    rows = rows.withColumn("row_key", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest"))
+    small = rows.select("row_key", "page_id", "digest", F.octet_length("html").cast("long").alias("bytes"))
+    distinct = small.groupBy("row_key", "page_id", "digest", "bytes").agg(F.count("*").alias("copies"))
     first = small.where(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_page"))
     decided = distinct.join(first, "digest", "left").select(
-        F.col("page_id").alias("p"),
-        F.col("digest").alias("g"),
+        "row_key",
         "copies",
         "first_page",
         (F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))).alias("revisits"),
     )
-    joined = rows.join(decided, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("g")))
-    return joined.groupBy("page_id", "digest").agg(
+    return rows.join(decided, "row_key").groupBy("row_key").agg(
+        F.first("page_id").alias("page_id"),
+        F.first("digest").alias("digest"),
         F.min("url").alias("url"),
         F.min(F.when(~F.col("revisits"), F.col("html"))).alias("html"),
         F.first("copies").alias("copies"),

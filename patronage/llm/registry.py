@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patronage.llm import decontaminate, pieces, token_files, warc
+from patronage.llm import decontaminate, pieces, token_files, vectors, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_warc": warc.op6_warc,
         "op8_token_files": token_files.op8_token_files,
+        "op10_vectors": vectors.op10_vectors,
     }
 
 
@@ -18,4 +19,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontamination": decontaminate.OP5_SQL,
         "op6_warc": warc.OP6_SQL,
+        "op10_vectors": vectors.OP10_SQL,
     }

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from patronage.llm import decontaminate, pieces, token_files, vectors, warc
+from patronage.llm import decontaminate, pieces, quality, token_files, toxicity, vectors, warc
 
 
 def queries() -> dict:
     return {
         "op3_sentencepiece": pieces.op3_sentencepiece,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_warc": warc.op6_warc,
         "op8_token_files": token_files.op8_token_files,
+        "op9_quality": quality.op9_quality,
         "op10_vectors": vectors.op10_vectors,
     }
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from patronage.sources.durable import durable, scratch_path
 
-__all__ = ["column_ref", "durable", "keep_rows", "ship", "shuffle_partitions", "sub_batches", "table", "text_column", "written"]
+__all__ = ["add_columns", "column_ref", "durable", "keep_rows", "ship", "shuffle_partitions", "sub_batches", "table", "text_column", "written"]
 
 _SHIPPED = "_patronage_shipped"
 
@@ -73,10 +75,38 @@ def text_column(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sub_batches(values: pa.Array, limit: int):
-    """Slices of whole texts of about `limit` bytes, so that memory follows the limit and not the batch size."""
-    _, at = text_column(values)
+    """Slices of whole texts, or lists, of about `limit` bytes, so that memory follows the limit and not the batch size."""
+    if pa.types.is_list(values.type):
+        at = values.offsets.to_numpy().astype(np.int64) * (values.type.value_type.bit_width // 8)
+    else:
+        _, at = text_column(values)
     start = 0
     while start < len(values):
         end = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
         yield values.slice(start, end - start)
         start = end
+
+
+def add_columns(df: DataFrame, source: str, added: str, make: Callable, step_bytes: int) -> DataFrame:
+    """`df` with columns computed in Python from a text or list column, in steps of about `step_bytes` of it.
+
+    `added` is the DDL of the new columns. `make` is called once in each task; it returns a function from an array to
+    the list of new arrays. All other columns pass through as they are; a new column replaces one of the same name.
+    """
+    ship(df.sparkSession)
+    names = [f.name for f in StructType.fromDDL(added)]
+    kept = [c for c in df.columns if c not in names or c == source]
+    fed = df.select(*[column_ref(c) for c in kept])
+    out = [c for c in kept if c not in names]
+    schema = StructType([*fed.select(*[column_ref(c) for c in out]).schema, *StructType.fromDDL(added)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            begin = 0
+            for part in sub_batches(batch.column(kept.index(source)), step_bytes):
+                rows = batch.slice(begin, len(part))
+                begin += len(part)
+                yield pa.RecordBatch.from_arrays([*(rows.column(kept.index(c)) for c in out), *compute(part)], names=[*out, *names])
+
+    return fed.mapInArrow(run, schema)

@@ -15,7 +15,6 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-from collections.abc import Iterator
 from pathlib import Path
 
 import ahocorasick
@@ -24,16 +23,15 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
-from patronage.llm.common import column_ref, ship, sub_batches, table
+from patronage.llm.common import add_columns, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts kept with their ids by one worker, the first to occur. Further ones are encoded once for each step.
-CACHED_PARTS = 250_000
+CACHED_PARTS = 120_000
 #: Text handled at a time within a batch.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Words (after a blank), and what follows a line break without a blank, in texts without other blanks.
 _PLAIN = re.compile(r"\A[^ \n▁][^▁]*[^ ▁]\Z")
 _PARTS = re.compile(f"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
@@ -90,7 +88,7 @@ class PieceModel:
         key = left * self.size + right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             pair = [right] if left < 0 else [left, right]
             known = self._fits[key] = self.merged("".join(self.pieces[k] for k in pair)) == pair
@@ -309,58 +307,58 @@ def model_of(data: bytes) -> tuple[PieceModel, BatchEncoder]:
     return model, BatchEncoder(model)
 
 
-def encoder(spark: SparkSession, model: str):
-    """A column function from text to its ids. The model file, of a fixed size, goes along with the function."""
-    ship(spark)
+def _ids_array(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def encode_texts(documents: DataFrame, model: str, *, text: str = "text", into: str = "ids") -> DataFrame:
+    """Adds each text's ids. The model file, of a fixed size, goes along with the function."""
     data = Path(model).read_bytes()
 
-    @arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        _, batch_encoder = model_of(data)
-        for texts in batches:
-            done = [batch_encoder.encode(part.to_pylist()) for part in sub_batches(texts, STEP_BYTES)]
-            ids = np.concatenate([d[0] for d in done]) if done else np.zeros(0, np.int32)
-            sizes = np.concatenate([np.diff(d[1]) for d in done]) if done else np.zeros(0, np.int64)
-            at = np.concatenate(([0], np.cumsum(sizes)))
-            yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+    def make():
+        encoder = model_of(data)[1]
+        return lambda texts: [_ids_array(*encoder.encode(texts.to_pylist()))]
 
-    return encode
+    return add_columns(documents, text, f"`{into}` array<int>", make, STEP_BYTES)
 
 
-def decoder(spark: SparkSession, model: str):
-    """A column function from ids to text. Null counts as no ids."""
-    ship(spark)
+def decode_ids(documents: DataFrame, model: str, *, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """Adds the text of each list of ids. Null counts as no ids."""
     data = Path(model).read_bytes()
 
-    @arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        piece_model, _ = model_of(data)
-        for lists in batches:
-            lists = lists.fill_null([]) if lists.null_count else lists
-            at = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
-            out, begin = [], 0
-            while begin < len(lists):
-                end = max(begin + 1, int(np.searchsorted(at, at[begin] + STEP_BYTES // 4, "right")) - 1)
-                out += piece_model.decode_batch(ids[at[begin] : at[end]], at[begin : end + 1] - at[begin])
-                begin = end
-            yield pa.array(out, pa.string())
+    def make():
+        decoder = model_of(data)[0]
 
-    return decode
+        def decode(lists: pa.Array) -> list[pa.Array]:
+            found = lists.to_pylist()
+            at = np.concatenate(([0], np.cumsum([len(x or ()) for x in found])))
+            flat = np.fromiter(itertools.chain.from_iterable(x or () for x in found), np.int64, at[-1])
+            return [pa.array(decoder.decode_batch(flat, at), pa.string())]
 
+        return decode
 
-def encode_texts(documents: DataFrame, model: str, *, text: str = "text", into: str = "ids") -> DataFrame:
-    return documents.withColumn(into, encoder(documents.sparkSession, model)(column_ref(text)))
+    return add_columns(documents, ids, f"`{into}` string", make, STEP_BYTES)
 
 
-def decode_ids(documents: DataFrame, model: str, *, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    return documents.withColumn(into, decoder(documents.sparkSession, model)(column_ref(ids)))
+def round_trip(documents: DataFrame, model: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds each text's ids and the text that these decode to, in one visit to Python."""
+    data = Path(model).read_bytes()
+
+    def make():
+        piece_model, encoder = model_of(data)
+
+        def both(texts: pa.Array) -> list[pa.Array]:
+            flat, at = encoder.encode(texts.to_pylist())
+            return [_ids_array(flat, at), pa.array(piece_model.decode_batch(flat, at), pa.string())]
+
+        return both
+
+    return add_columns(documents, text, f"`{ids}` array<int>, `{decoded}` string", make, STEP_BYTES)
 
 
 def digests(documents: DataFrame, model: str) -> DataFrame:
     """Per document: number of ids, digest of the ids, and digest of what they decode to."""
-    coded = decode_ids(encode_texts(documents.select("doc_id", "text"), model), model)
-    return coded.select(
+    return round_trip(documents.select("doc_id", "text"), model).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from patronage.llm import decontaminate, pieces, quality, token_files, toxicity, vectors, warc
+from patronage.llm import decontaminate, ngram_join, pieces, quality, token_files, toxicity, vectors, warc
 
 
 def queries() -> dict:
     return {
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_decontamination": decontaminate.op5_decontamination,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_join": ngram_join.OP2_SQL,
         "op5_decontamination": decontaminate.OP5_SQL,
         "op6_warc": warc.OP6_SQL,
         "op10_vectors": vectors.OP10_SQL,

@@ -1,8 +1,75 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from all documents to the token digests of those worth keeping.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; its result is written as
+Parquet and read again. Stages but the last return the columns of `documents`, whatever these are, and drop rows:
+
+- toxicity: documents that score as toxic go;
+- quality: documents that score as low quality go;
+- near_duplicates: of each group of documents that reach each other by links, the one with the smallest id stays;
+- decontamination: documents go that hold benchmark passages in at least one word of twenty;
+- sentencepiece: returns id, number of tokens and digests of each document left.
+
+Classifiers learn from the stage's own documents that have a label and are not held out. Documents without id are
+scored like others and have no near duplicates. Rows that repeat an id are one document to the third stage: the one
+with the least text stays. Empty tables pass through all stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from patronage.llm import decontaminate, ngram_join, pieces, quality, toxicity
+from patronage.llm.common import table, written
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, into="__toxicity")
+    return scored.where(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, into="__quality")
+    return scored.where(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes, _ = ngram_join.ngram_join(docs)
+    dropped = classes.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__dropped")).distinct()
+    kept = docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.head(1):
+        again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        kept = kept.withColumn("__again", again).where("__again = 1 or doc_id is null").select(*docs.columns)
+    return kept
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), into="__scan")
+    return found.where(~decontaminate.contaminated("__scan")).select(*docs.columns)
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(docs, public_tokenizers.path(pieces.MODEL))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("decontamination", decontamination_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
+# Trained classifiers and the tokenizer cannot be expressed in SQL; the tests compare with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+    return docs

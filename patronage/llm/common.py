@@ -76,7 +76,9 @@ def text_column(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sub_batches(values: pa.Array, limit: int):
     """Slices of whole texts, or lists, of about `limit` bytes, so that memory follows the limit and not the batch size."""
-    if pa.types.is_list(values.type):
+    if pa.types.is_struct(values.type):  # a text and what belongs to it
+        _, at = text_column(values.field(0))
+    elif pa.types.is_list(values.type):
         at = values.offsets.to_numpy().astype(np.int64) * (values.type.value_type.bit_width // 8)
     else:
         _, at = text_column(values)

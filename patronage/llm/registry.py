@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from patronage.llm import decontaminate, ngram_join, pieces, quality, token_files, toxicity, vectors, warc
+from patronage.llm import decontaminate, ngram_join, pieces, quality, token_counts, token_files, toxicity, vectors, warc
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_toxicity": toxicity.op4_toxicity,

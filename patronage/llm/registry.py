@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patronage.llm import decontaminate, ngram_join, pieces, quality, token_counts, token_files, toxicity, vectors, warc
+from patronage.llm import decontaminate, licenses, ngram_join, pieces, quality, token_counts, token_files, toxicity, vectors, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_warc": warc.op6_warc,
+        "op7_licenses": licenses.op7_licenses,
         "op8_token_files": token_files.op8_token_files,
         "op9_quality": quality.op9_quality,
         "op10_vectors": vectors.op10_vectors,
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_join": ngram_join.OP2_SQL,
         "op5_decontamination": decontaminate.OP5_SQL,
         "op6_warc": warc.OP6_SQL,
+        "op7_licenses": licenses.OP7_SQL,
         "op10_vectors": vectors.OP10_SQL,
     }

@@ -5,7 +5,8 @@ one after it, the word's shape, and the shapes of three words in a row. A shape
 and which signs stand before, in and after the word, so words not seen in learning still count. An n-gram's weight is
 found by its hash; a text's score is the logistic function of the mean weight over positions, times SCALE, plus a bias.
 
-Defined results. Null, empty and wordless texts get the bias alone as their score. Repeated rows get equal scores. Without any usable
+Defined results. Null, empty and wordless texts get the bias alone as their score. Equal texts get scores equal to
+six digits, to which scores are rounded. Without any usable
 label every score is 0.5. Null ids are neither held out nor learned from; their rows are scored like others. An empty
 table gives an empty result. Labels, language, source and id are no inputs of a score.
 """
@@ -96,7 +97,7 @@ class Scorer:
         buckets, keep, at = self.grams(texts)
         sums = np.concatenate(([0.0], np.cumsum((self.weights[buckets] * keep).sum(1, dtype=np.float64))))
         mean = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
-        return 1 / (1 + np.exp(-np.clip(self.bias + SCALE * mean, -50, 50)))
+        return np.round(1 / (1 + np.exp(-np.clip(self.bias + SCALE * mean, -50, 50))), 6)
 
 
 def learn(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:

@@ -7,8 +7,8 @@ a linear layer gives the window's logit. All windows of the whole text are score
 put through a fitted scale and shift. Learning runs in numpy on a bounded sample: in each round a toxic text learns by
 its most toxic window, the others by a random draw from all their windows.
 
-Defined results. Null, empty and wordless texts have one empty window, whose score is that of the bias. Repeated rows
-get equal scores. Without any usable label every score is 0.5. Null ids are neither held out nor learned from; their
+Defined results. Null, empty and wordless texts have one empty window, whose score is that of the bias. Equal texts
+get scores equal to six digits, to which scores are rounded, as single precision depends a little on the batch. Without any usable label every score is 0.5. Null ids are neither held out nor learned from; their
 rows are scored like others. An empty table gives an empty result. Labels, language, source and id are no inputs.
 """
 
@@ -186,7 +186,7 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.text_logits(texts).astype(np.float64) + self.shift, -50, 50)))
+        return np.round(1 / (1 + np.exp(-np.clip(self.scale * self.text_logits(texts).astype(np.float64) + self.shift, -50, 50))), 6)
 
 
 def read_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,8 +84,32 @@ SOURCES: dict[str, Contract] = {
 }
 
 
+def _exact(df: DataFrame, field: T.StructField, name: str) -> Column:
+    """The column in the contract's type, or an error where that would change a value.
+
+    Decimals keep the source's own digits, and whole numbers become decimals; binary fractions have no exact
+    decimal form, so a source has to say itself how many digits they mean.
+    """
+    column, given, wanted = F.col(field.name), df.schema[field.name].dataType, field.dataType
+    if given == wanted:
+        return column
+    if isinstance(wanted, T.DecimalType):
+        if isinstance(given, T.DecimalType):
+            return column
+        if isinstance(given, T.IntegralType):
+            return column.cast(T.DecimalType(20, 0))
+        if isinstance(given, T.FractionalType):
+            raise ValueError(f"{name}.{field.name} is {given.simpleString()}; cast it to a decimal in the source")
+        return column.cast(wanted)
+    if isinstance(wanted, T.IntegralType) and isinstance(given, (T.FractionalType, T.DecimalType)):
+        whole = column.cast(wanted)
+        message = F.concat(F.lit(f"{name}.{field.name} is no whole number: "), column.cast("string"))
+        return F.when(column.isNull() | (whole == column), whole).otherwise(F.raise_error(message).cast(wanted))
+    return column.cast(wanted)
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Only the contract's columns, in its types; other columns never reach the job."""
+    """Only the contract's columns, in its types; other columns never reach the job. No value loses digits."""
     contract = SOURCES[name]
     present = set(df.columns)
     missing = [f for f in contract.schema.names if f not in present and f not in contract.optional]
@@ -93,7 +117,7 @@ def conform(df: DataFrame, name: str) -> DataFrame:
         missing.append("UnitPrice")
     if missing:
         raise ValueError(f"{name} lacks columns: {', '.join(missing)}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in contract.schema if f.name in present])
+    return df.select(*[_exact(df, f, name).alias(f.name) for f in contract.schema if f.name in present])
 
 
 def require(frames: Mapping[str, DataFrame | None], *names: str) -> list[DataFrame]:

@@ -95,8 +95,16 @@ def customer_base(customers: DataFrame, addresses: DataFrame, interactions: Data
 def customer_base_sql(
     customers: DataFrame, addresses: DataFrame, interactions: DataFrame, p: RunParams
 ) -> DataFrame:
-    """``customer_base`` as SQL text over the given frames."""
+    """``customer_base`` as SQL text over the given frames; addresses are chosen as there."""
     spark = customers.sparkSession
+    whole = f"struct({', '.join(ADDRESS_FIELDS)})"
+    home = {
+        "keep": "SELECT DISTINCT CustomerID, {whole} AS place FROM {{addresses}} WHERE AddressType = :primary",
+        "first": "SELECT CustomerID, min({whole}) AS place FROM {{addresses}} WHERE AddressType = :primary GROUP BY CustomerID",
+        "error": """SELECT CustomerID, if(min({whole}) <=> max({whole}), min({whole}), raise_error(
+                concat('several primary addresses for customer ', CustomerID))) AS place
+            FROM {{addresses}} WHERE AddressType = :primary GROUP BY CustomerID""",
+    }[p.on_duplicate_address].replace("{whole}", whole).replace("{{", "{").replace("}}", "}")
     keep = "true"
     if p.process_type == INCREMENTAL:
         keep = "ModifiedDate >= :since OR LastContactDate >= :since"
@@ -106,10 +114,10 @@ def customer_base_sql(
         WITH contact AS (
             SELECT CustomerID, max(ContactDate) AS LastContactDate FROM {{interactions}} GROUP BY CustomerID
         ), home AS (
-            SELECT DISTINCT CustomerID, StreetAddress AS Address, PostalCode, City, State, Country
-            FROM {{addresses}} WHERE AddressType = :primary
+            {home}
         )
-        SELECT CustomerID, {name} AS CustomerName, Email, Phone, Address, PostalCode, City, State, Country,
+        SELECT CustomerID, {name} AS CustomerName, Email, Phone, place.StreetAddress AS Address, place.PostalCode,
+               place.City, place.State, place.Country,
                CustomerType, AccountManagerID AS AccountManager, CreatedDate, ModifiedDate,
                if(Status <=> :active, 1, 0) AS IsActive, LastContactDate
         FROM {{customers}} LEFT JOIN home USING (CustomerID) LEFT JOIN contact USING (CustomerID)

@@ -15,14 +15,17 @@ from patronage.functions.text import fenced_blocks, stage_of
 def last_responses(messages: DataFrame, roles: Sequence[str]) -> DataFrame:
     """Each conversation with the latest text of every given role, "" where the role said nothing.
 
-    One aggregation for all roles; it keeps one text per role and conversation on the map side, so a
-    long conversation sends one row per task.
+    One narrow aggregation finds the last turn of each role; texts meet it by (conversation, turn), so no
+    text is sorted or grouped, and none of a role nobody asked for is moved. A turn occurs once in its conversation.
     """
-    newest = [
-        F.coalesce(F.max_by("text", F.when(F.col("role") == role, F.col("turn"))), F.lit("")).alias(role)
-        for role in roles
-    ]
-    return messages.groupBy("conv_id").agg(*newest)
+    turn = {role: f"turn of {role}" for role in roles}
+    last = [F.max(F.when((F.col("role") == role) & F.col("text").isNotNull(), F.col("turn"))).alias(turn[role]) for role in roles]
+    found = messages.groupBy("conv_id").agg(*last)
+    for role in roles:
+        said = messages.where((F.col("role") == role) & F.col("text").isNotNull())
+        said = said.select("conv_id", F.col("turn").alias(turn[role]), F.col("text").alias(role))
+        found = found.join(said, ["conv_id", turn[role]], "left")
+    return found.select("conv_id", *[F.coalesce(F.col(role), F.lit("")).alias(role) for role in roles])
 
 
 def last_response(messages: DataFrame, role: str) -> DataFrame:
@@ -48,13 +51,11 @@ def code_blocks(texts: DataFrame, id_col: str = "conv_id", text_col: str = "text
 
 
 def stage_blocks(blocks: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """The last block of each stage; blocks without a marker are left out."""
-    return (
-        blocks.withColumn("stage", stage_of(F.col("block")))
-        .where(F.col("stage").isNotNull())
-        .groupBy(id_col, "stage")
-        .agg(F.max_by("block", "position").alias("block"))
-    )
+    """The last block of each stage; blocks without a marker are left out. Positions differ within an id."""
+    marked = blocks.withColumn("stage", stage_of(F.col("block"))).where(F.col("stage").isNotNull())
+    keys = [id_col, "stage", "position"]
+    last = marked.groupBy(id_col, "stage").agg(F.max("position").alias("position"))
+    return marked.select(*keys, "block").join(last, keys, "left_semi").drop("position")
 
 
 def artifacts(messages: DataFrame, code_role: str, test_role: str, plan_role: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions import fixed_values as fx
 from patronage.functions import rules
-from patronage.operators.ntile import ntile_global
+from patronage.operators.ntile import By, ntile_global
 from patronage.params import RunParams
 
 TILES = 5
@@ -28,8 +28,8 @@ def with_rfm(summary: DataFrame, p: RunParams) -> DataFrame:
     """Adds the three scores and their sum. ``summary`` is read twice; store it first."""
     rankings = {
         "RecencyScore": F.coalesce("DaysSinceLastPurchase", F.lit(fx.UNKNOWN_RECENCY_DAYS)),
-        "FrequencyScore": -F.coalesce("TotalOrders", F.lit(0)),
-        "MonetaryScore": -F.coalesce("TotalSpent", F.lit(0)),
+        "FrequencyScore": By(F.coalesce("TotalOrders", F.lit(0)), descending=True),
+        "MonetaryScore": By(F.coalesce("TotalSpent", F.lit(0)), descending=True),
     }
     scored = ntile_global(summary, rankings, TILES, "CustomerID")
     if p.score_orientation == "five_is_best":

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from patronage.functions import fixed_values as fx
 
@@ -55,16 +56,20 @@ def without_orders(base: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def expected_values(actual: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    """Differences from expected sample rows: one row per key and column, a missing key included."""
+    """Differences from expected sample rows: one row per key and column, a missing key included.
+
+    Values are compared as values, in the type both sides share, so 100.00 equals 100; texts are for display.
+    """
     columns = [c for c in expected.columns if c != key]
-    sample = expected.select(F.col(key), *[F.col(c).cast("string").alias(f"want_{c}") for c in columns])
-    found = actual.select(
-        F.col(key), F.lit(True).alias("present"), *[F.col(c).cast("string").alias(f"got_{c}") for c in columns]
-    )
+    sample = expected.select(F.col(key), *[F.col(c).alias(f"want_{c}") for c in columns])
+    found = actual.select(F.col(key), F.lit(True).alias("present"), *[F.col(c).alias(f"got_{c}") for c in columns])
     pairs = F.array(
         *[
             F.struct(
-                F.lit(c).alias("column_name"), F.col(f"want_{c}").alias("expected"), F.col(f"got_{c}").alias("actual")
+                F.lit(c).alias("column_name"),
+                F.col(f"want_{c}").cast("string").alias("expected"),
+                F.col(f"got_{c}").cast("string").alias("actual"),
+                F.col(f"want_{c}").eqNullSafe(F.col(f"got_{c}")).alias("equal"),
             )
             for c in columns
         ]
@@ -72,18 +77,33 @@ def expected_values(actual: DataFrame, expected: DataFrame, key: str) -> DataFra
     return (
         sample.join(found, key, "left")
         .select(F.col(key), F.col("present").isNotNull().alias("present"), F.inline(pairs))
-        .where(~F.col("present") | ~F.col("expected").eqNullSafe(F.col("actual")))
+        .where(~F.col("present") | ~F.col("equal"))
+        .drop("equal")
     )
 
 
 def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of either side missing from the other, repeats counted."""
-    right = right.select(*left.columns)
-    return (
-        left.exceptAll(right)
-        .withColumn("only_in", F.lit("left"))
-        .unionAll(right.exceptAll(left).withColumn("only_in", F.lit("right")))
-    )
+    """Rows of either side missing from the other, repeats counted, by one grouping of both sides' rows."""
+    columns = left.columns
+    if sorted(columns) != sorted(right.columns):
+        raise ValueError(f"columns differ: {', '.join(sorted(set(columns) ^ set(right.columns)))}")
+    both = left.withColumn("surplus", F.lit(1)).unionByName(right.withColumn("surplus", F.lit(-1)))
+    surplus = both.groupBy(*columns).agg(F.sum("surplus").alias("surplus")).where("surplus <> 0")
+    side = F.when(F.col("surplus") > 0, "left").otherwise("right")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.abs("surplus")))
+    return surplus.select(*columns, side.alias("only_in"), copies.alias("copy")).drop("copy")
+
+
+def schema_differences(df: DataFrame, schema: StructType, optional: Sequence[str] = ()) -> DataFrame:
+    """Columns that are missing, unexpected or of another type: one row each. No data is read."""
+    given = {f.name: f.dataType.simpleString() for f in df.schema}
+    wanted = {f.name: f.dataType.simpleString() for f in schema}
+    rows = [
+        (c, wanted.get(c), given.get(c))
+        for c in dict.fromkeys([*wanted, *given])
+        if wanted.get(c) != given.get(c) and not (c in optional and c not in given)
+    ]
+    return df.sparkSession.createDataFrame(rows, "column_name string, expected_type string, actual_type string")
 
 
 def schema_catalog(frames: Mapping[str, DataFrame]) -> DataFrame:

@@ -8,13 +8,10 @@ from pyspark.sql import functions as F
 from patronage.functions.text import code_text, cte_names, referenced_tables
 
 
-def read_scripts(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
-    """Every file below ``path`` as one row; ``max_chars`` cuts the text where the caller wants that."""
-    text = F.col("value") if max_chars is None else F.substring("value", 1, max_chars)
-    return (
-        spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-        .select(F.col("_metadata.file_path").alias("path"), text.alias("text"))
-    )
+def read_scripts(spark: SparkSession, path: str) -> DataFrame:
+    """Every file below ``path``, whole, as one row."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def sql_inventory(texts: DataFrame, id_col: str = "path", text_col: str = "text") -> DataFrame:

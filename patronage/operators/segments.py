@@ -40,9 +40,14 @@ def with_segments(measured: DataFrame, p: RunParams) -> DataFrame:
 
 
 def customer_segments(base: DataFrame, metrics: DataFrame, summary: DataFrame, p: RunParams) -> DataFrame:
-    """Segments from separately stored tables."""
-    joined = base.select("CustomerID").join(metrics, "CustomerID").join(summary, "CustomerID")
-    return with_segments(joined, p).select(*SEGMENT_COLUMNS)
+    """Segments from separately stored tables; the base only says which customers belong."""
+    measured = summary.join(metrics, "CustomerID")
+    return with_segments(measured, p).select(*SEGMENT_COLUMNS).transform(_members_of, base)
+
+
+def _members_of(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """Rows of customers in the base, each once however often the base names the customer."""
+    return rows.join(base.select("CustomerID"), "CustomerID", "left_semi")
 
 
 def scored_customers(summary: DataFrame, p: RunParams) -> DataFrame:
@@ -66,19 +71,17 @@ def customer_profile(base: DataFrame, summary: DataFrame) -> DataFrame:
 
 def analytics_summary(base: DataFrame, metrics: DataFrame, segments: DataFrame, p: RunParams) -> DataFrame:
     """Counts and average lifetime value of one run, in a single aggregation."""
-    joined = (
-        base.select("CustomerID")
-        .join(metrics.select("CustomerID", "CustomerLifetimeValue"), "CustomerID")
-        .join(segments.select("CustomerID", "ValueSegment", "LifecycleSegment"), "CustomerID")
-    )
-    return summarize(joined, p)
+    figures = metrics.select("CustomerID", "CustomerLifetimeValue").transform(_members_of, base)
+    stages = segments.select("CustomerID", "ValueSegment", "LifecycleSegment")
+    return summarize(stages.join(figures, "CustomerID"), p)
 
 
 def summarize(rows: DataFrame, p: RunParams) -> DataFrame:
+    """One row of counts; ``rows`` has every customer once, as the run makes sure of."""
     new, active, at_risk, churned, _ = fx.LIFECYCLE_SEGMENTS
     stage = F.col("LifecycleSegment")
     return rows.agg(
-        F.countDistinct("CustomerID").alias("TotalCustomers"),
+        F.count("CustomerID").alias("TotalCustomers"),
         F.count_if(stage == active).alias("ActiveCustomers"),
         F.count_if(stage == new).alias("NewCustomers"),
         F.count_if(stage.isin(at_risk, churned)).alias("ChurningCustomers"),
@@ -118,7 +121,7 @@ def simple_segments(summary: DataFrame, base: DataFrame, rule_set: str) -> DataF
         "a": [(days <= recent, F.lit(new)), (days <= current, F.lit(active))],
         "b": [(orders == 1, F.lit(new)), (days <= recent, F.lit(active))],
     }[rule_set]
-    return summary.join(base.select("CustomerID"), "CustomerID").select(
+    return summary.transform(_members_of, base).select(
         "CustomerID",
         first_match([(spent >= top, F.lit(high)), (spent >= middle, F.lit(medium))], low).alias("ValueSegment"),
         first_match([(orders >= many, F.lit(champions)), (orders >= several, F.lit(loyal))], others).alias(

@@ -160,7 +160,7 @@ def purchase_totals(facts: DataFrame, products: DataFrame) -> DataFrame:
         return F.when(F.col("Grain") == grain, value)
 
     def most(grain: int, label: str, amount: str) -> Column:
-        best_first = F.struct((-F.col(amount)).alias("rank"), F.col(label))
+        best_first = F.struct(F.col(amount).isNull().alias("unknown"), (-F.col(amount)).alias("rank"), F.col(label))
         return F.min_by(label, at(grain, F.when(F.col("Listed"), best_first)))
 
     return grains.groupBy("CustomerID").agg(

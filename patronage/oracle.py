@@ -147,30 +147,36 @@ def dec(value: object) -> str:
 
 def _metrics() -> str:
     churn = cases(
-        zip(
-            [f"DaysSinceLastPurchase >= {limit}" for limit in (181, 91, 61, 31)],
-            [dec(v) for v in fx.CHURN_PROBABILITIES],
-        ),
-        dec(fx.CHURN_PROBABILITIES[-1]),
+        [
+            ("DaysSinceLastPurchase > 180", dec("0.8")),
+            ("DaysSinceLastPurchase > 90", dec("0.5")),
+            ("DaysSinceLastPurchase > 60", dec("0.3")),
+            ("DaysSinceLastPurchase > 30", dec("0.1")),
+        ],
+        dec("0.05"),
     )
     propensity = cases(
         [
-            ("DaysSinceLastPurchase <= 29 AND TotalOrders >= 4", dec(fx.PURCHASE_PROPENSITIES[0])),
-            ("DaysSinceLastPurchase <= 59 AND TotalOrders >= 3", dec(fx.PURCHASE_PROPENSITIES[1])),
-            ("DaysSinceLastPurchase <= 89", dec(fx.PURCHASE_PROPENSITIES[2])),
+            ("DaysSinceLastPurchase < 30 AND TotalOrders > 3", dec("0.8")),
+            ("DaysSinceLastPurchase < 60 AND TotalOrders > 2", dec("0.6")),
+            ("DaysSinceLastPurchase < 90", dec("0.4")),
         ],
-        dec(fx.PURCHASE_PROPENSITIES[3]),
+        dec("0.2"),
     )
-    # One tenth of each weight, so that no division is needed.
+    # Weights 0.6 and 0.4 over a scale of 10, one tenth of each weight taken here so that no division is needed.
     loyalty = (
         "CASE WHEN TotalOrders >= 5 AND ReturnRate < 10 "
         f"THEN CAST(TotalOrders AS DECIMAL(12,0)) * {dec('0.06')} + (100 - ReturnRate) * {dec('0.04')} "
         f"ELSE CAST(TotalOrders AS DECIMAL(12,0)) * {dec('0.04')} END"
     )
-    levels = [(f"Loyalty > {dec(limit)}", text(name)) for limit, name in fx.HEALTH_LEVELS]
     health = cases(
-        [(f"ChurnProbability > {dec(fx.HEALTH_CHURN_LIMIT)}", text(fx.HEALTH_AT_RISK)), *levels],
-        text(fx.HEALTH_REST),
+        [
+            (f"ChurnProbability > {dec('0.7')}", "'At Risk'"),
+            (f"Loyalty > {dec('0.8')}", "'Excellent'"),
+            (f"Loyalty > {dec('0.6')}", "'Good'"),
+            (f"Loyalty > {dec('0.4')}", "'Average'"),
+        ],
+        "'Needs Attention'",
     )
     return f"""s AS (
     SELECT *, {scores("DaysSinceLastPurchase", "TotalOrders", "TotalSpent")}, {churn} AS ChurnProbability,
@@ -187,65 +193,56 @@ m AS (
 def _segments() -> str:
     top, half = dec(HIGH_VALUE), dec(HIGH_VALUE / 2)
     new = "(TotalOrders = 1 AND DaysSinceLastPurchase <= 30)"
-    low = dec(fx.CHURN_LOW_LIMIT)
-    high = dec(fx.CHURN_HIGH_LIMIT)
     value = cases(
-        [(f"CustomerLifetimeValue >= {top}", "0"), (f"CustomerLifetimeValue >= {half}", "1")], "2"
+        [(f"CustomerLifetimeValue >= {top}", "'High Value'"), (f"CustomerLifetimeValue >= {half}", "'Medium Value'")],
+        "'Low Value'",
     )
-    r, f, m = SCORES
     behavior = cases(
         [
-            ("RFMScore > 12", "0"),
-            (f"{r} > 3 AND {f} > 2", "1"),
-            (f"{r} > 3", "2"),
-            (f"{r} < 3 AND {f} > 2 AND {m} > 2", "3"),
-            (f"{r} < 3 AND {f} < 3 AND {m} < 3", "4"),
-            (f"{r} = 1", "5"),
+            ("RFMScore >= 13", "'Champions'"),
+            ("RecencyScore >= 4 AND FrequencyScore >= 3", "'Loyal Customers'"),
+            ("RecencyScore >= 4", "'Potential Loyalists'"),
+            ("RecencyScore <= 2 AND FrequencyScore >= 3 AND MonetaryScore >= 3", "'At Risk'"),
+            ("RecencyScore <= 2 AND FrequencyScore <= 2 AND MonetaryScore <= 2", "'Hibernating'"),
+            ("RecencyScore = 1", "'Lost'"),
         ],
-        "6",
+        "'Others'",
     )
     lifecycle = cases(
         [
-            (new, "0"),
-            (f"TotalOrders > 1 AND ChurnProbability < {low}", "1"),
-            (f"ChurnProbability >= {high}", "3"),
-            (f"ChurnProbability >= {low}", "2"),
+            (new, "'New Customer'"),
+            (f"TotalOrders > 1 AND ChurnProbability < {dec('0.3')}", "'Active'"),
+            (f"ChurnProbability >= {dec('0.3')} AND ChurnProbability < {dec('0.7')}", "'At Risk'"),
+            (f"ChurnProbability >= {dec('0.7')}", "'Churned'"),
         ],
-        "4",
+        "'Inactive'",
     )
     target = cases(
         [
-            (f"CustomerLifetimeValue >= {top} AND ChurnProbability < {low}", "0"),
-            (f"CustomerLifetimeValue >= {half} AND ChurnProbability >= {low}", "1"),
-            (new, "2"),
-            (f"NextPurchasePropensity > {dec(fx.GROWTH_PROPENSITY)}", "3"),
-            ("ReturnRate > 20", "4"),
+            (f"CustomerLifetimeValue >= {top} AND ChurnProbability < {dec('0.3')}", "'VIP'"),
+            (f"CustomerLifetimeValue >= {half} AND ChurnProbability >= {dec('0.3')}", "'Retention Priority'"),
+            (new, "'Nurture New'"),
+            (f"NextPurchasePropensity > {dec('0.6')}", "'Growth Opportunity'"),
+            ("ReturnRate > 20", "'Service Improvement'"),
         ],
-        "5",
-    )
-    names = {
-        "ValueSegment": (fx.VALUE_SEGMENTS, value),
-        "BehaviorSegment": (fx.BEHAVIOR_SEGMENTS, behavior),
-        "LifecycleSegment": (fx.LIFECYCLE_SEGMENTS, lifecycle),
-        "TargetGroup": (fx.TARGET_GROUPS, target),
-    }
-    picked = ", ".join(
-        f"list_extract([{', '.join(text(n) for n in labels)}], 1 + {choice}) AS {column}"
-        for column, (labels, choice) in names.items()
+        "'Standard'",
     )
-    before, unknown, after = fx.RECOMMEND_GROWTH
-    lead, unit = fx.RECOMMEND_STANDARD
-    advice = {
-        "VIP": text(fx.RECOMMEND_VIP),
-        "Retention Priority": text(fx.RECOMMEND_RETENTION),
-        "Nurture New": text(fx.RECOMMEND_NEW),
-        "Growth Opportunity": f"{text(before)} || coalesce(TopCategory, {text(unknown)}) || {text(after)}",
-        "Service Improvement": text(fx.RECOMMEND_SERVICE),
-        "Standard": f"{text(lead)} || CAST(CAST(trunc(DaysSinceLastPurchase / 30.0) AS INT) AS VARCHAR) || {text(unit)}",
-    }
-    chosen = " ".join(f"WHEN {text(group)} THEN {words}" for group, words in advice.items())
-    return f"""g AS (SELECT *, {picked} FROM m),
-seg AS (SELECT *, CASE TargetGroup {chosen} END AS MarketingRecommendation FROM g)"""
+    advice = """CASE TargetGroup
+        WHEN 'VIP' THEN 'Exclusive offers, VIP events, Personal shopping assistance, Early access to new products'
+        WHEN 'Retention Priority'
+            THEN 'Re-engagement campaign, Loyalty rewards, Personalized recommendations based on past purchases'
+        WHEN 'Nurture New' THEN 'Welcome series, Educational content, First purchase follow-up, Category exploration'
+        WHEN 'Growth Opportunity' THEN 'Cross-sell/upsell, Bundle offers based on '
+            || coalesce(TopCategory, 'preferred category') || ', Category expansion'
+        WHEN 'Service Improvement'
+            THEN 'Satisfaction survey, Improved product information, Size/fit guides, Service recovery'
+        ELSE 'Standard seasonal promotions, Category newsletters, Reactivation after '
+            || CAST(CAST(trunc(DaysSinceLastPurchase / 30.0) AS INT) AS VARCHAR) || ' months' END"""
+    return f"""g AS (
+    SELECT *, {value} AS ValueSegment, {behavior} AS BehaviorSegment, {lifecycle} AS LifecycleSegment,
+           {target} AS TargetGroup
+    FROM m),
+seg AS (SELECT *, {advice} AS MarketingRecommendation FROM g)"""
 
 
 PRELUDE = ",\n".join([ORDERS, DETAILS, RETURNS, CUSTOMERS, CONTACTS])
@@ -295,8 +292,7 @@ def _line_summary(average: str) -> str:
 
 
 def _simple(lifecycle: list[tuple[str, str]]) -> str:
-    high, medium, low = (text(v) for v in fx.VALUE_SEGMENTS)
-    value = cases([("TotalSpent >= 5000", high), ("TotalSpent >= 2500", medium)], low)
+    value = cases([("TotalSpent >= 5000", "'High Value'"), ("TotalSpent >= 2500", "'Medium Value'")], "'Low Value'")
     behavior = cases([("TotalOrders >= 10", "'Champions'"), ("TotalOrders >= 5", "'Loyal Customers'")], "'Others'")
     return _from(
         SUMMARY,
@@ -491,20 +487,36 @@ def oracle_sql() -> dict[str, str]:
         "q_retention_plan": _from(HISTORY, f"SELECT {history} FROM h WHERE NOT ProcessDate < DATE '{EARLIER_DATE}'"),
     }
 
-    counted = {"Customers": "customer", "Orders": "orders", "OrderDetails": "lineitem", "Products": "part"}
+    counted = {
+        "Customers": "customer", "CustomerAddresses": "customer", "CustomerInteractions": "events", "Orders": "orders",
+        "OrderDetails": "lineitem", "Products": "part",
+        "Returns": "(SELECT 1 FROM lineitem JOIN o ON l_orderkey = OrderID "
+        "WHERE l_returnflag = 'R' AND l_linenumber = 1 AND Status = 'Completed') returned",
+    }
+    domains = {
+        "ValueSegment": "'High Value', 'Medium Value', 'Low Value'",
+        "BehaviorSegment": "'Champions', 'Loyal Customers', 'Potential Loyalists', 'At Risk', 'Hibernating', 'Lost', 'Others'",
+        "LifecycleSegment": "'New Customer', 'Active', 'At Risk', 'Churned', 'Inactive'",
+        "TargetGroup": "'VIP', 'Retention Priority', 'Nurture New', 'Growth Opportunity', 'Service Improvement', 'Standard'",
+    }
     checks = {
-        "q_dq_row_counts": " UNION ALL ".join(
-            f"SELECT '{name}' AS table_name, count(*) AS source_rows, count(*) AS stored_rows, true AS passed FROM {table}"
-            for name, table in counted.items()
+        "q_dq_row_counts": _from(
+            ORDERS,
+            " UNION ALL ".join(
+                f"SELECT '{name}' AS table_name, count(*) AS source_rows, count(*) AS stored_rows, true AS passed FROM {table}"
+                for name, table in counted.items()
+            ),
         ),
+        "q_dq_schema": """SELECT 'Orders' AS table_name, x.*, (SELECT count(*) FROM orders) AS source_rows FROM (VALUES
+            ('OrderDate', 'date', 'timestamp'), ('Status', 'string', NULL), ('State', NULL, 'string'))
+            x(column_name, expected_type, actual_type)""",
         "q_dq_segment_domain": _from(
             SEGMENTS,
             " UNION ALL ".join(
-                f"SELECT '{column}' AS column_name, count(*) FILTER (WHERE {column} IS NULL OR {column} NOT IN "
-                f"({', '.join(text(v) for v in allowed)})) AS invalid_rows, "
-                f"count(*) FILTER (WHERE {column} IS NULL OR {column} NOT IN "
-                f"({', '.join(text(v) for v in allowed)})) = 0 AS passed FROM seg"
-                for column, allowed in fx.SEGMENT_DOMAINS.items()
+                f"SELECT '{column}' AS column_name, count(*) FILTER (WHERE {column} IS NULL OR {column} NOT IN ({allowed})) "
+                f"AS invalid_rows, count(*) FILTER (WHERE {column} IS NULL OR {column} NOT IN ({allowed})) = 0 AS passed "
+                "FROM seg"
+                for column, allowed in domains.items()
             ),
         ),
         "q_dq_retention": _from(
@@ -518,21 +530,92 @@ def oracle_sql() -> dict[str, str]:
             "WHERE NOT EXISTS (SELECT 1 FROM ts WHERE ts.CustomerID = b.CustomerID)",
         ),
         "q_dq_expected_values": _from(
-            FACTS,
-            """SELECT CustomerID, fin.n IS NOT NULL AS present, 'TotalOrders' AS column_name,
-               CAST(total.n AS VARCHAR) AS expected, CAST(fin.n AS VARCHAR) AS actual
-               FROM (SELECT CustomerID, count(*) AS n FROM o GROUP BY 1) total
-               LEFT JOIN (SELECT CustomerID, count(DISTINCT OrderID) AS n FROM f GROUP BY 1) fin USING (CustomerID)
-               WHERE fin.n IS DISTINCT FROM total.n""",
-        ),
+            LINES,
+            """SELECT CustomerID, fin.CustomerID IS NOT NULL AS present, column_name, expected, actual FROM (
+               SELECT total.CustomerID, fin.CustomerID AS there, x.column_name, x.expected, x.actual,
+               FROM (SELECT CustomerID, count(DISTINCT OrderID) AS n, sum(NetAmount) AS v FROM f GROUP BY 1) total
+               LEFT JOIN (SELECT CustomerID, count(DISTINCT OrderID) AS n, sum(NetAmount) AS v FROM f
+                          WHERE Status = 'Completed' GROUP BY 1) fin USING (CustomerID),
+               LATERAL (VALUES ('TotalOrders', CAST(total.n AS DECIMAL(38,4)), CAST(fin.n AS DECIMAL(38,4))),
+                               ('TotalSpent', CAST(total.v AS DECIMAL(38,4)), CAST(fin.v AS DECIMAL(38,4))))
+                       x(column_name, expected, actual)
+               WHERE x.expected IS DISTINCT FROM x.actual)""",
+        ).replace("fin.CustomerID IS NOT NULL AS present, column_name, expected, actual FROM (",
+                  "there IS NOT NULL AS present, column_name, CAST(expected AS DOUBLE) AS expected, "
+                  "CAST(actual AS DOUBLE) AS actual FROM ("),
         "q_dq_reconcile": _from(
             ORDERS, f"SELECT {order_columns}, 'right' AS only_in FROM o WHERE OrderDate >= DATE '{EARLIER_DATE}'"
         ),
     }
 
-    line_list = "string_split(text, chr(10))"
+    changed = ",\n".join(
+        [PRELUDE, base_cte("b", CHANGED), summary_ctes("ts", "b", CHANGED_SINCE), _metrics(), _segments()]
+    )
+
+    def run_summary(prelude: str, day: object, kind: str) -> str:
+        return _from(
+            prelude,
+            f"""SELECT '{day}' AS ProcessDate, '{kind}' AS ProcessType, count(*) AS TotalCustomers,
+            count(*) FILTER (WHERE LifecycleSegment = 'Active') AS ActiveCustomers,
+            count(*) FILTER (WHERE LifecycleSegment = 'New Customer') AS NewCustomers,
+            count(*) FILTER (WHERE LifecycleSegment IN ('At Risk', 'Churned')) AS ChurningCustomers,
+            count(*) FILTER (WHERE ValueSegment = 'High Value') AS HighValueCustomers,
+            CAST((2 * CAST(sum(CustomerLifetimeValue) * 1000000 AS HUGEINT) + count(*)) // (2 * count(*)) AS DOUBLE)
+                / 1000000 AS AverageLifetimeValue, 'Success' AS ProcessingStatus, CAST(NULL AS VARCHAR) AS ErrorMessage
+            FROM seg""",
+        )
+
+    steps = [
+        ("Initialize", "0", f"Starting Customer Analytics processing for date: {DATA_DATE} - Type: FULL"),
+        ("Bronze Ingestion", " + ".join(f"(SELECT count(*) FROM {t})" for t in counted.values()), "Ingested source tables"),
+        ("Extract Customer Base", "(SELECT count(*) FROM b)", "Extracted base customer data"),
+        ("Process Transaction Summary", "(SELECT count(*) FROM ts)", "Calculated transaction summary metrics"),
+        ("Calculate Customer Metrics", "(SELECT count(*) FROM ts)", "Calculated advanced customer metrics"),
+        ("Customer Segmentation", "(SELECT count(*) FROM ts)", "Completed customer segmentation"),
+        ("Data Persistence", "(SELECT count(*) FROM ts)", "Data persistence completed"),
+        ("Generate Summary", "1", "Summary statistics generated"),
+    ]
+    unknown = "(SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS k FROM events)"
+    null_lines = DETAILS.replace(
+        "(1 - CAST(l_discount AS DECIMAL(4,2)))", "(1 - CASE WHEN l_orderkey % 3 <> 0 THEN CAST(l_discount AS DECIMAL(4,2)) END)"
+    )
+    runs = {
+        "q_run_analytics": groups["q_customer_analytics"],
+        "q_run_analytics_incremental": _from(
+            changed, f"SELECT '{CHANGED_SINCE}' AS ProcessDate, {out(ANALYTICS_COLUMNS[1:])} FROM seg"
+        ),
+        "q_run_summary": f"SELECT * FROM ({run_summary(SEGMENTS, DATA_DATE, 'FULL')}) UNION ALL "
+        f"SELECT * FROM ({run_summary(changed, CHANGED_SINCE, 'INCREMENTAL')})",
+        "q_run_log": _from(
+            SUMMARY,
+            " UNION ALL ".join(
+                f"SELECT {k} AS LogID, '{name}' AS StepName, CAST({count} AS BIGINT) AS RowCount, '{message}' AS Message"
+                for k, (name, count, message) in enumerate(steps, start=1)
+            ),
+        ),
+        "q_ntile_null_keys": f"""SELECT event_id, ntile(5) OVER (ORDER BY k ASC NULLS FIRST, event_id) AS up,
+            ntile(5) OVER (ORDER BY k DESC NULLS LAST, event_id) AS down FROM {unknown}""",
+        "q_null_favourites": _from(
+            f"{ORDERS}, {null_lines}, l AS (SELECT * FROM o JOIN d USING (OrderID) WHERE Status = 'Completed'), "
+            "p AS (SELECT l.*, p_type AS Category, p_name AS ProductName FROM l JOIN part ON p_partkey = ProductID)",
+            """SELECT CustomerID, TotalOrders, CAST(CAST(x AS DECIMAL(24,4)) AS DOUBLE) AS TotalSpent, TopCategory, TopProduct
+            FROM (SELECT CustomerID, count(DISTINCT OrderID) AS TotalOrders, sum(NetAmount) AS x FROM l GROUP BY 1)
+            LEFT JOIN (SELECT CustomerID, Category AS TopCategory FROM p GROUP BY CustomerID, Category QUALIFY row_number()
+                OVER (PARTITION BY CustomerID ORDER BY sum(NetAmount) DESC NULLS LAST, Category) = 1) USING (CustomerID)
+            LEFT JOIN (SELECT CustomerID, ProductName AS TopProduct FROM p GROUP BY CustomerID, ProductName QUALIFY row_number()
+                OVER (PARTITION BY CustomerID ORDER BY sum(Quantity) DESC NULLS LAST, ProductName) = 1) USING (CustomerID)""",
+        ),
+    }
+
+    line_list = """CASE {0} % 4 WHEN 0 THEN [text] WHEN 1 THEN ['', text] WHEN 2 THEN CAST([] AS VARCHAR[])
+        ELSE string_split(text, chr(10)) END"""
     said = "coalesce(arg_max(text, turn) FILTER (WHERE role = '{}'), '')"
-    blocks = "coalesce(replace(" + "arg_max(text, turn) FILTER (WHERE role = '{}'), chr(10), chr(10) || chr(10)), '')"
+    latest = "arg_max(text, turn) FILTER (WHERE role = '{0}')"
+    # One block; an empty one before it; none, as the fence stays open; a block for each line.
+    blocks = (
+        f"coalesce(CASE conv_id % 4 WHEN 0 THEN {latest} WHEN 1 THEN chr(10) || chr(10) || {latest} WHEN 2 THEN '' "
+        f"ELSE replace({latest}, chr(10), chr(10) || chr(10)) END, '')"
+    )
     stages = " ".join(f"WHEN '{role}' THEN '{stage}'" for role, stage in ROLE_STAGES.items())
     markers = " ".join(
         f"WHEN '{role}' THEN '{dict(fx.STAGE_MARKERS)[stage]}'" for role, stage in ROLE_STAGES.items()
@@ -554,20 +637,28 @@ def oracle_sql() -> dict[str, str]:
             contains(upper(text), 'GROUP BY') AS has_group_by, contains(upper(text), 'ORDER BY') AS has_order_by,
             contains(upper(text), 'OVER (') AS has_window_function,
             contains(string_split(upper(text), 'FROM')[1], 'SELECT') AS select_before_from FROM documents""",
-        "q_code_blocks": f"""SELECT doc_id, CAST(generate_subscripts({line_list}, 1) AS BIGINT) - 1 AS position,
-            unnest({line_list}) AS block FROM documents""",
-        "q_code_text": f"""SELECT doc_id, trim(CASE WHEN lang = 'en' THEN array_to_string(list_transform(
-            {line_list}, lambda line: ltrim(line, {BLANKS}) || chr(10)), chr(10) || chr(10)) ELSE text END, {BLANKS})
-            AS code FROM documents""",
+        "q_code_blocks": f"""SELECT doc_id, CAST(unnest(range(len(l))) AS BIGINT) AS position, unnest(l) AS block
+            FROM (SELECT doc_id, {line_list.format("doc_id")} AS l FROM documents)""",
+        "q_code_text": f"""SELECT doc_id, trim(CASE WHEN lang <> 'en' THEN text WHEN doc_id % 4 = 2
+            THEN 'never closed' || chr(10) || '```python' || chr(10) || text
+            ELSE array_to_string(list_transform({line_list.format("doc_id")},
+                lambda line: ltrim(CASE WHEN doc_id % 4 = 1 AND line = '' THEN '' ELSE line || chr(10) END, {BLANKS})
+                    || CASE WHEN trim(line, {BLANKS}) = '' AND NOT (doc_id % 4 = 1) THEN chr(10) ELSE '' END),
+                chr(10) || chr(10)) END, {BLANKS}) AS code FROM documents""",
         "q_stage_blocks": f"""SELECT conv_id, CASE role {stages} END AS stage,
             CASE role {markers} END || chr(10) || arg_max(text, turn) AS block
             FROM conversations GROUP BY conv_id, role""",
         "q_artifacts": f"""SELECT conv_id, {blocks.format("assistant")} AS code_blocks,
             {blocks.format("user")} AS test_blocks,
-            coalesce('first' || chr(10) || '```python' || chr(10) || replace(
-                arg_max(text, turn) FILTER (WHERE role = 'system'), chr(10),
-                chr(10) || '```' || chr(10) || 'then' || chr(10) || ' ```python ' || chr(10))
-                || chr(10) || '```' || chr(10) || 'end', '') AS plan
+            coalesce(CASE conv_id % 4
+                WHEN 0 THEN 'intro' || chr(10) || '```python' || chr(10) || {latest.format("system")}
+                    || chr(10) || '```' || chr(10) || 'end'
+                WHEN 1 THEN '```python' || chr(10) || '```' || chr(10) || 'after' || chr(10) || '```pyspark' || chr(10)
+                    || {latest.format("system")} || chr(10) || '```'
+                WHEN 2 THEN 'never closed' || chr(10) || '```python' || chr(10) || {latest.format("system")}
+                ELSE 'first' || chr(10) || '```python' || chr(10) || replace({latest.format("system")}, chr(10),
+                    chr(10) || '```' || chr(10) || 'then' || chr(10) || ' ```python ' || chr(10))
+                    || chr(10) || '```' || chr(10) || 'end' END, '') AS plan
             FROM conversations GROUP BY conv_id""",
     }
-    return {**lookups, **transactions, **figures, **groups, **other_grains, **maintenance, **checks, **words}
+    return {**lookups, **transactions, **figures, **groups, **other_grains, **maintenance, **checks, **runs, **words}

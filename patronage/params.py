@@ -37,7 +37,6 @@ class RunParams:
     churn_days_high: int = 90
     churn_days_medium: int = 60
     churn_days_low: int = 30
-    batch_size: int = 10000
     score_orientation: str = "as_written"
     null_safe_name: bool = False
     on_duplicate_address: str = "keep"

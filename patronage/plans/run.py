@@ -14,6 +14,7 @@ from patronage.params import FULL, INCREMENTAL, RunParams
 from patronage.plans.layers import Source, run_bronze, run_gold, run_silver
 from patronage.plans.runlog import RunLog, failed_row
 from patronage.sources.delta import DeltaStore
+from patronage.sources.durable import shared_dir
 from patronage.sources.jdbc import JdbcSource, sql_server_url
 from patronage.sources.star_schema import StarSchema
 from patronage.sources.store import TableStore
@@ -28,6 +29,7 @@ LAYERS = ("bronze", "silver", "gold")
 
 def run(store: TableStore, source: Source, p: RunParams) -> dict:
     """Runs all layers and returns the report. A failure leaves a failed row and the log, then raises."""
+    shared_dir(store.spark)  # gold needs it; a cluster without one is told before bronze starts
     log = RunLog(p)
     layers = {layer: {"status": "Not Run", "tables": []} for layer in LAYERS}
     report = {"status": fx.STATUS_SUCCESS, "layers": layers, "error": None, "started_at": p.started_at}

@@ -16,14 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patronage.contracts import SOURCES
 from patronage.functions import rules
 from patronage.functions import fixed_values as fx
 from patronage.functions.columns import date_text
 from patronage.operators import customers as cust
 from patronage.operators import merge, messages, metrics, quality, scripts, segments, variants
 from patronage.operators import transactions as txn
-from patronage.params import INCREMENTAL, RunParams
+from patronage.operators.ntile import By, ntile_global
+from patronage.params import FULL, INCREMENTAL, RunParams
 from patronage.plans import layers
+from patronage.plans.run import run
 from patronage.sources.durable import durable, scratch_path
 from patronage.sources.star_schema import StarSchema
 from patronage.sources.store import TableStore
@@ -108,6 +111,14 @@ class Workspace:
     def store(self) -> TableStore:
         return TableStore(self.spark, scratch_path(self.spark))
 
+    def run(self, process_type: str) -> tuple[TableStore, RunParams]:
+        """The whole run into a store of its own; an incremental one of what changed since the middle of the data."""
+        day = CHANGED_SINCE if process_type == INCREMENTAL else DATA_DATE
+        p = replace(self.p, process_type=process_type, data_date=day)
+        store = TableStore(self.spark, scratch_path(self.spark))
+        run(store, self.source, p)
+        return store, p
+
     def history(self) -> DataFrame:
         """Analytics-like rows of three process dates: one row per order, dated by its status."""
         day = (
@@ -456,14 +467,31 @@ def q_keyset_page(w):
 
 @query
 def q_dq_row_counts(w):
-    names = ("Customers", "Orders", "OrderDetails", "Products")
-    for name in names:
+    for name in SOURCES:
         layers.ingest_bronze(w.store, w.source, name, w.p)
     return quality.row_counts(
-        {n: (w.table(n), layers.read_slice(w.store, "bronze", f"dbo.{n}", w.p)) for n in names}
+        {n: (w.table(n), layers.read_slice(w.store, "bronze", f"dbo.{n}", w.p)) for n in SOURCES}
     )
 
 
+@query
+def q_dq_schema(w):
+    """Columns of each source's stored tables beside the contract, with an order table that lacks and renames some,
+    and how many rows each source has."""
+    found = []
+    for name, contract in SOURCES.items():
+        df = w.table(name)
+        if name == "Orders":
+            df = df.withColumn("OrderDate", F.col("OrderDate").cast("timestamp")).withColumnRenamed("Status", "State")
+        rows = df.agg(F.count(F.lit(1)).alias("source_rows"))
+        differing = quality.schema_differences(df, contract.schema, contract.optional)
+        found.append(differing.withColumn("table_name", F.lit(name)).join(rows))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 @query
 def q_dq_segment_domain(w):
     return quality.segment_domains(w.segments)
@@ -481,9 +509,16 @@ def q_dq_no_orders(w):
 
 @query
 def q_dq_expected_values(w):
-    """Completed orders per customer against all orders per customer: every customer that differs."""
-    expected = w.table("Orders").groupBy("CustomerID").agg(F.count("OrderID").alias("TotalOrders"))
-    return quality.expected_values(w.order_summary(), expected, "CustomerID")
+    """Completed orders and spend per customer against all orders and their spend: every customer that differs.
+
+    Spend is given with other digits than the summary's, which is no difference.
+    """
+    expected = w.all_lines.groupBy("CustomerID").agg(
+        F.countDistinct("OrderID").alias("TotalOrders"), F.sum("NetAmount").cast("decimal(30,8)").alias("TotalSpent")
+    )
+    found = quality.expected_values(w.order_summary(), expected, "CustomerID")
+    number = lambda c: F.round(F.col(c).cast("double"), 4).alias(c)
+    return found.select("CustomerID", "present", "column_name", number("expected"), number("actual"))
 
 
 @query
@@ -492,6 +527,57 @@ def q_dq_reconcile(w):
     return quality.reconcile(orders.where(F.col("OrderDate") < F.lit(EARLIER_DATE)), orders)
 
 
+# Rankings with unknown keys, favourites with unknown amounts
+
+
+@query
+def q_ntile_null_keys(w):
+    """Tiles of events by value, where every third value is unknown, both ways round."""
+    value = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    events = durable(w.source.raw("events").select("event_id", value.alias("value")))
+    rankings = {"up": By(F.col("value")), "down": By(F.col("value"), descending=True)}
+    return ntile_global(events, rankings, 5, "event_id").select("event_id", "up", "down")
+
+
+@query
+def q_null_favourites(w):
+    """Favourites where the discount of every third order is unknown."""
+    unknown = F.when(F.col("OrderID") % 3 != 0, F.col("Discount"))
+    lines = txn.line_facts(w.table("Orders"), w.table("OrderDetails").withColumn("Discount", unknown))
+    totals = txn.purchase_totals(lines, w.table("Products"))
+    return totals.select("CustomerID", "TotalOrders", "TotalSpent", "TopCategory", "TopProduct")
+
+
+# The whole run
+
+
+def _run_analytics(w, process_type):
+    store, _ = w.run(process_type)
+    return store.read("gold", "CustomerAnalytics").select(*segments.ANALYTICS_COLUMNS)
+
+
+@query
+def q_run_analytics(w):
+    return _run_analytics(w, FULL)
+
+
+@query
+def q_run_analytics_incremental(w):
+    return _run_analytics(w, INCREMENTAL)
+
+
+@query
+def q_run_summary(w):
+    rows = [w.run(kind)[0].read("gold", "CustomerAnalyticsSummary") for kind in (FULL, INCREMENTAL)]
+    return rows[0].unionByName(rows[1]).drop("TotalProcessingTimeMs")
+
+
+@query
+def q_run_log(w):
+    store, _ = w.run(FULL)
+    return store.read("log", "ProcessLog").select("LogID", "StepName", "RowCount", "Message")
+
+
 # Texts
 
 
@@ -532,25 +618,33 @@ def q_sql_inventory(w):
     return found.withColumns({c: F.array_join(c, ",") for c in lists})
 
 
-def _fenced(text):
-    """Each line of a text as a fenced block of its own, with prose between the blocks."""
+def _fenced(text, number):
+    """A text with fences, in one of four shapes by a number: one block of several lines; an empty block and one with
+    another language's name; a fence that is never closed; each line as a block of its own with prose between."""
     between = "\n```\nthen\n ```python \n"
-    return F.concat(F.lit("first\n```python\n"), F.regexp_replace(text, "\n", between), F.lit("\n```\nend"))
+    shape = F.pmod(number, F.lit(4))
+    return (
+        F.when(shape == 0, F.concat(F.lit("intro\n```python\n"), text, F.lit("\n```\nend")))
+        .when(shape == 1, F.concat(F.lit("```python\n```\nafter\n```pyspark\n"), text, F.lit("\n```")))
+        .when(shape == 2, F.concat(F.lit("never closed\n```python\n"), text))
+        .otherwise(F.concat(F.lit("first\n```python\n"), F.regexp_replace(text, "\n", between), F.lit("\n```\nend")))
+    )
 
 
 def _fenced_messages(w: Workspace) -> DataFrame:
-    return w.source.raw("conversations").withColumn("text", _fenced(F.col("text")))
+    return w.source.raw("conversations").withColumn("text", _fenced(F.col("text"), F.col("conv_id")))
 
 
 @query
 def q_code_blocks(w):
-    return messages.code_blocks(w.source.raw("documents").withColumn("text", _fenced(F.col("text"))), "doc_id")
+    fenced = w.source.raw("documents").withColumn("text", _fenced(F.col("text"), F.col("doc_id")))
+    return messages.code_blocks(fenced, "doc_id")
 
 
 @query
 def q_code_text(w):
     """Fenced code of the documents in English, the plain text of all others."""
-    text = F.when(F.col("lang") == "en", _fenced(F.col("text"))).otherwise(F.col("text"))
+    text = F.when(F.col("lang") == "en", _fenced(F.col("text"), F.col("doc_id"))).otherwise(F.col("text"))
     return scripts.cleaned_code(w.source.raw("documents").withColumn("text", text), "doc_id")
 
 

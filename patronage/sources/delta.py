@@ -74,10 +74,11 @@ class DeltaStore(TableStore):
         keep: Sequence[str] = (),
         key_checked: bool = False,
     ) -> int:
+        """As the base store's; returns the rows of the source, each of which is written once."""
+        if not key_checked:
+            require_unique(source, key)
         stamped = source.withColumn("ModifiedDate", F.lit(now))
         if not self.exists(layer, name):
-            if not key_checked:
-                require_unique(source, key)
             return self.overwrite(stamped, layer, name)
         changed = {c: f"new.{c}" for c in stamped.columns if c != key and c not in keep}
         (
@@ -88,13 +89,16 @@ class DeltaStore(TableStore):
             .whenNotMatchedInsertAll()
             .execute()
         )
-        return self.read(layer, name).count()
+        return source.count()
 
     def append(self, df: DataFrame, layer: str, name: str) -> int:
         """Delta itself refuses columns that differ from the table's."""
         return self._write(df, lambda d: d.write.mode("append"), self.path(layer, name))
 
     def drop_before(self, layer: str, name: str, column: str, cutoff: date) -> list[str]:
+        """Deletes the rows before the cutoff; returns their partitions, named as the base store does."""
         table = self._table.forPath(self.spark, self.path(layer, name))
-        table.delete(f"{column} < '{cutoff.isoformat()}'")
-        return []
+        condition = f"{column} < '{cutoff.isoformat()}'"
+        days = self.read(layer, name).where(condition).select(column).distinct().collect()
+        table.delete(condition)
+        return sorted(f"{column}={r[0]}" for r in days)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.contracts import SOURCES, conform
+from patronage.contracts import FRACTION, MONEY, SOURCES, conform
 
 ORDER_STATUS = {"F": "Completed", "O": "Open", "P": "Pending"}
 
@@ -82,15 +82,12 @@ class StarSchema:
         )
 
     def _addresses(self) -> DataFrame:
-        # nation and region hold 25 and 5 rows at every scale.
-        place = self.raw("nation").join(
-            F.broadcast(self.raw("region")), F.col("n_regionkey") == F.col("r_regionkey")
-        )
+        place = self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         kind = F.when(F.col("c_custkey") % 10 == 0, "Billing").otherwise("Primary")
         nothing = F.lit(None).cast("string")
         return (
             self.raw("customer")
-            .join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(place, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
                 F.col("c_custkey").alias("CustomerID"),
                 kind.alias("AddressType"),
@@ -124,9 +121,9 @@ class StarSchema:
         return self.raw("lineitem").select(
             F.col("l_orderkey").alias("OrderID"),
             F.col("l_partkey").alias("ProductID"),
-            F.col("l_quantity").alias("Quantity"),
-            F.col("l_discount").alias("Discount"),
-            F.col("l_extendedprice").alias("GrossAmount"),
+            F.col("l_quantity").cast(MONEY).alias("Quantity"),
+            F.col("l_discount").cast(FRACTION).alias("Discount"),
+            F.col("l_extendedprice").cast(MONEY).alias("GrossAmount"),
         )
 
     def _products(self) -> DataFrame:

@@ -2,26 +2,34 @@
 
 Three kinds of table, by how they change:
 
-* versioned: written whole (``overwrite``, ``upsert``). Each write makes a new version folder, which
-  counts once Spark has marked it complete, so a plan may read the table it replaces and a failed write
-  leaves the old version in force.
+* versioned: written whole (``overwrite``) or by buckets of the key (``upsert``). Each write makes a new
+  version folder, which counts once its commit record is written after the job, so a plan may read the table
+  it replaces and a failed write leaves the old version in force. The record is the store's own and depends on
+  no marker that a cluster may switch off. An upsert writes the buckets it touches; its record names, for each
+  bucket, the version that holds it.
 * partitioned: replaced partition by partition (``replace_partitions``), expired by dropping partitions.
 * appended: only ever added to (``append``).
 
-Writers return the number of rows written, observed during the write itself.
+Writers return the number of rows written, observed during the write itself. A table's schema is kept beside its
+data, so every write is checked against it and partition values are read back in their own type.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from patronage.operators.merge import require_unique, upsert
 
-COMPLETE = "_SUCCESS"
+COMMIT, SCHEMA = "_commit.json", "_schema.json"
+BUCKET = "key_bucket"
+#: Buckets of an upserted table; fixed when the table is first written.
+BUCKETS = 64
 
 
 class TableStore:
@@ -51,18 +59,50 @@ class TableStore:
         fs, handle = self._fs(path)
         fs.delete(handle, True)
 
+    def _put(self, path: str, value: dict) -> None:
+        """A small file, complete once it can be seen."""
+        fs, handle = self._fs(f"{path}.new")
+        stream = fs.create(handle, True)
+        stream.write(bytearray(json.dumps(value).encode()))
+        stream.close()
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs.delete(target, False)
+        if not fs.rename(handle, target):
+            raise OSError(f"{path} could not be written")
+
+    def _get(self, path: str) -> dict | None:
+        fs, handle = self._fs(path)
+        if not fs.exists(handle):
+            return None
+        stream = fs.open(handle)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
+
     def _versions(self, path: str) -> list[str]:
         return [c for c in self._children(path) if c.startswith("v") and c[1:].isdigit()]
 
+    def _committed(self, path: str) -> list[tuple[str, dict]]:
+        """The versions that count, oldest first, with their records."""
+        records = [(v, self._get(f"{path}/{v}/{COMMIT}")) for v in self._versions(path)]
+        return [(v, record) for v, record in records if record is not None]
+
     def _current(self, layer: str, name: str) -> str | None:
-        """The folder to read: the newest complete version, or the table folder when it holds data."""
+        """The newest version that counts, or the table folder when it holds data."""
         path = self.path(layer, name)
-        versions = self._versions(path)
-        for version in reversed(versions):
-            if COMPLETE in self._children(f"{path}/{version}"):
-                return f"{path}/{version}"
-        data = [c for c in self._children(path) if c[0] not in "._" or "=" in c]
-        return path if data and not versions else None
+        committed = self._committed(path)
+        if committed:
+            return f"{path}/{committed[-1][0]}"
+        children = self._children(path)
+        if any(c.startswith("v") and c[1:].isdigit() for c in children):
+            raise OSError(f"{path} has versions but none was committed; overwrite the table or remove its folder")
+        data = [c for c in children if c[0] not in "._" or "=" in c]
+        return path if data else None
+
+    def _schema(self, layer: str, name: str) -> StructType | None:
+        """The schema kept for a table that is not versioned."""
+        kept = self._get(f"{self.path(layer, name)}/{SCHEMA}")
+        return None if kept is None else StructType.fromJson(kept)
 
     # Reading
 
@@ -70,20 +110,39 @@ class TableStore:
         folder = self._current(layer, name)
         if folder is None:
             raise FileNotFoundError(f"no table {name} in layer {layer} at {self.path(layer, name)}")
-        df = self.spark.read.format(self.fmt).load(folder)
+        df = self._load(layer, name, folder)
         return df if where is None else df.where(where)
 
+    def _load(self, layer: str, name: str, folder: str, buckets: Sequence[int] | None = None) -> DataFrame:
+        """A table's current content, or some buckets of it."""
+        path = self.path(layer, name)
+        record = None if folder == path else self._get(f"{folder}/{COMMIT}")
+        schema = self._schema(layer, name) if record is None else StructType.fromJson(record["schema"])
+        reader = self.spark.read.format(self.fmt)
+        if schema is not None:
+            reader = reader.schema(schema)
+        if record is None or record["buckets"] is None:
+            return reader.load(folder)
+        holders = {int(b): v for b, v in record["buckets"].items() if buckets is None or int(b) in buckets}
+        if not holders:
+            return self.spark.createDataFrame([], schema)
+        return reader.load([f"{path}/{v}/{BUCKET}={b}" for b, v in sorted(holders.items())])
+
     def read_partition(self, layer: str, name: str, partition: Mapping[str, date | str | int]) -> DataFrame:
         """One partition, given by its values. The others are not even listed."""
         path = self.path(layer, name)
         folder = self._partition_path(path, partition)
         if not self._children(folder):
             raise FileNotFoundError(f"no partition {folder}")
-        return self.spark.read.format(self.fmt).option("basePath", path).load(folder)
+        reader, schema = self.spark.read.format(self.fmt), self._schema(layer, name)
+        if schema is not None:
+            reader = reader.schema(schema)
+        return reader.option("basePath", path).load(folder)
 
-    @staticmethod
-    def _partition_path(path: str, partition: Mapping[str, date | str | int]) -> str:
-        return "/".join([path, *(f"{column}={value}" for column, value in partition.items())])
+    def _partition_path(self, path: str, partition: Mapping[str, date | str | int]) -> str:
+        """The folder of a partition, its name escaped as Spark's writer does."""
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        return "/".join([path, *(escaped(column, str(value)) for column, value in partition.items())])
 
     def read_table(self, table: str) -> DataFrame:
         return self.spark.read.table(table)
@@ -92,16 +151,41 @@ class TableStore:
 
     def overwrite(self, df: DataFrame, layer: str, name: str, partition_by: Sequence[str] = ()) -> int:
         path = self.path(layer, name)
-        versions = self._versions(path)
-        number = int(versions[-1][1:]) + 1 if versions else 1
-        rows = self._write(df, lambda d: d.write.mode("error").partitionBy(*partition_by), f"{path}/v{number:08d}")
-        for old in versions[:-1]:  # the version just replaced stays for plans that still read it
-            self._delete(f"{path}/{old}")
+        version = self._next_version(path)
+        rows = self._write(df, lambda d: d.write.mode("error").partitionBy(*partition_by), f"{path}/{version}")
+        self._commit(path, version, df.schema, None)
         return rows
 
+    def _next_version(self, path: str) -> str:
+        versions = self._versions(path)
+        return f"v{int(versions[-1][1:]) + 1 if versions else 1:08d}"
+
+    def _commit(self, path: str, version: str, schema: StructType, buckets: dict[int, str] | None) -> None:
+        """Makes a version count, then removes what neither it nor the version before it holds.
+
+        The version just replaced stays for plans that still read it.
+        """
+        held = None if buckets is None else {str(b): v for b, v in sorted(buckets.items())}
+        self._put(f"{path}/{version}/{COMMIT}", {"schema": schema.jsonValue(), "buckets": held})
+        committed = self._committed(path)[-2:]
+        used = {v for v, _ in committed}
+        parts = {f"{v}/{BUCKET}={b}" for _, r in committed for b, v in (r["buckets"] or {}).items()}
+        for old in self._versions(path):
+            if old in used:
+                continue
+            mine = [c for c in self._children(f"{path}/{old}") if c.startswith(f"{BUCKET}=")]
+            if not any(f"{old}/{c}" in parts for c in mine):
+                self._delete(f"{path}/{old}")
+                continue
+            for c in mine:
+                if f"{old}/{c}" not in parts:
+                    self._delete(f"{path}/{old}/{c}")
+
     def append(self, df: DataFrame, layer: str, name: str) -> int:
         self._check_schema(df, layer, name)
-        return self._write(df, lambda d: d.write.mode("append"), self.path(layer, name))
+        rows = self._write(df, lambda d: d.write.mode("append"), self.path(layer, name))
+        self._keep_schema(df.schema, layer, name)
+        return rows
 
     def replace_partitions(
         self, df: DataFrame, layer: str, name: str, partition: Mapping[str, date | str | int]
@@ -113,8 +197,11 @@ class TableStore:
         """
         literals = {column: F.lit(value) for column, value in partition.items()}
         rows_only = df.drop(*partition)
-        self._check_schema(rows_only.withColumns(literals), layer, name)
+        whole = rows_only.withColumns(literals)
+        self._check_schema(whole, layer, name)
         path = self.path(layer, name)
+        folder = self._partition_path(path, partition)
+        before = set(self._children(folder))
         rows = self._write(
             rows_only,
             lambda d: d.withColumns(literals)
@@ -123,8 +210,10 @@ class TableStore:
             .partitionBy(*partition),
             path,
         )
-        if rows == 0:  # nothing was written, so nothing was replaced either
-            self._delete(self._partition_path(path, partition))
+        self._keep_schema(whole.schema, layer, name)
+        if not set(self._children(folder)) - before:  # no new file: nothing was written, so nothing replaced either
+            self._delete(folder)
+            return 0
         return rows
 
     def upsert(
@@ -137,17 +226,31 @@ class TableStore:
         keep: Sequence[str] = (),
         key_checked: bool = False,
     ) -> int:
-        """Updates matched rows, inserts the others; see ``operators.merge.upsert``.
+        """Updates matched rows, inserts the others; see ``operators.merge.upsert``. Returns the rows written.
 
-        Repeated source keys raise. ``key_checked`` says the caller has already made sure of that.
+        Rows lie in BUCKETS buckets by the hash of their key. Only buckets that occur in the source are read and
+        written; the others stay as they are. Repeated source keys raise; ``key_checked`` says the caller has
+        already made sure of that. The source is read twice on a table that exists, so store a costly one.
         """
         if not key_checked:
             require_unique(source, key)
-        if self.exists(layer, name):
-            merged = upsert(self.read(layer, name), source, key, now, keep)
-        else:
+        path, bucket = self.path(layer, name), F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        folder, held = self._current(layer, name), {}
+        if folder is None:
             merged = source.withColumn("ModifiedDate", F.lit(now))
-        return self.overwrite(merged, layer, name)
+        else:
+            touched = None
+            record = self._get(f"{folder}/{COMMIT}") if folder != path else None
+            if record is not None and record["buckets"] is not None:
+                held = {int(b): v for b, v in record["buckets"].items()}
+                touched = [r[0] for r in source.select(bucket).distinct().collect()]  # BUCKETS rows at most
+            merged = upsert(self._load(layer, name, folder, touched), source, key, now, keep)
+        version = self._next_version(path)
+        dealt = merged.withColumn(BUCKET, bucket).repartition(BUCKET)
+        rows = self._write(dealt, lambda d: d.write.mode("error").partitionBy(BUCKET), f"{path}/{version}")
+        new = {int(c.split("=")[1]): version for c in self._children(f"{path}/{version}") if c.startswith(f"{BUCKET}=")}
+        self._commit(path, version, merged.schema, held | new)
+        return rows
 
     def drop_before(self, layer: str, name: str, column: str, cutoff: date) -> list[str]:
         """Deletes the date partitions strictly before the cutoff; no data file is read."""
@@ -176,19 +279,19 @@ class TableStore:
         seen = Observation()
         observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
         writer(observed).format(self.fmt).save(path)
-        return int(seen.get.get("rows", 0))
+        found = seen.get
+        return int(found["rows"]) if "rows" in found else 0  # no count comes from a plan known to be empty
 
-    def _newest_part(self, layer: str, name: str) -> DataFrame:
-        """The last partition of a table, or all of it: enough to see its columns."""
-        base = folder = self._current(layer, name)
-        while parts := [c for c in self._children(folder) if "=" in c]:
-            folder = f"{folder}/{parts[-1]}"
-        return self.spark.read.format(self.fmt).option("basePath", base).load(folder)
+    def _keep_schema(self, schema: StructType, layer: str, name: str) -> None:
+        if self._schema(layer, name) is None:
+            self._put(f"{self.path(layer, name)}/{SCHEMA}", schema.jsonValue())
 
     def _check_schema(self, df: DataFrame, layer: str, name: str) -> None:
-        if not self.exists(layer, name):
+        kept = self._schema(layer, name)
+        if kept is None and not self.exists(layer, name):
             return
-        stored = {f.name: f.dataType for f in self._newest_part(layer, name).schema}
+        schema = kept if kept is not None else self.read(layer, name).schema
+        stored = {f.name: f.dataType for f in schema}
         given = {f.name: f.dataType for f in df.schema}
         if stored != given:
             differing = sorted(

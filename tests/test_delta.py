@@ -58,7 +58,9 @@ def test_upsert_is_a_merge(delta, spark, monkeypatch):
     store, table = delta
     monkeypatch.setattr(DeltaStore, "read", lambda self, *a: spark.range(7))
     source = spark.createDataFrame([(1, "a", date(2020, 1, 1))], "CustomerID long, Name string, CreatedDate date")
-    assert store.upsert(source, "gold", "P", "CustomerID", datetime(2024, 1, 1), ("CreatedDate",)) == 7
+    assert store.upsert(source, "gold", "P", "CustomerID", datetime(2024, 1, 1), ("CreatedDate",)) == 1
+    with pytest.raises(ValueError, match="occurs more than once"):
+        store.upsert(source.unionAll(source), "gold", "P", "CustomerID", datetime(2024, 1, 1))
     named = {call[0]: call[1:] for call in table.calls}
     assert named["forPath"] == ("/data/gold/P",)
     assert named["merge"][1] == "old.CustomerID = new.CustomerID"
@@ -66,9 +68,12 @@ def test_upsert_is_a_merge(delta, spark, monkeypatch):
     assert "whenNotMatchedInsertAll" in named and "execute" in named
 
 
-def test_retention_is_a_delete(delta):
+def test_retention_is_a_delete(delta, spark, monkeypatch):
     store, table = delta
-    store.drop_before("gold", "T", "ProcessDate", date(2024, 1, 2))
+    days = spark.sql("SELECT explode(sequence(date'2023-12-30', date'2024-01-03')) AS ProcessDate")
+    monkeypatch.setattr(DeltaStore, "read", lambda self, *a: days)
+    dropped = store.drop_before("gold", "T", "ProcessDate", date(2024, 1, 2))
+    assert dropped == ["ProcessDate=2023-12-30", "ProcessDate=2023-12-31", "ProcessDate=2024-01-01"]
     assert ("delete", "ProcessDate < '2024-01-02'") in table.calls
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from patronage.operators.ntile import ntile_global
+from patronage.operators.ntile import By, ntile_global
 
 
 def windowed(df, order, n):
@@ -40,6 +40,19 @@ def test_decimals_that_differ_in_the_last_digit(spark):
     assert {r["t"]: r["low"] for r in got} == {1: 30, 2: 20, 3: 10, 4: 0}
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_null_keys_and_fine_digits(spark, descending):
+    """Nulls first when ascending and last when descending, as the window has them; no key is rounded."""
+    data = [(i, None if i % 3 == 0 else i * 1e-5) for i in range(1, 23)]
+    df = spark.createDataFrame(data, "id long, k double")
+    for kind in ("double", "decimal(38,6)"):
+        typed = df.withColumn("k", F.col("k").cast(kind))
+        order = F.col("k").desc() if descending else F.col("k").asc()
+        got = ntile_global(typed, {"tile": By(F.col("k"), descending)}, 5, "id")
+        want = windowed(typed, order, 5)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_many_partitions_small_batches(spark):
     """Ranks must add up over many range partitions, not just one coalesced partition."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

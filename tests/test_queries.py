@@ -3,12 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry
+from patronage import oracle
+from patronage import queries as registry
 from compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
 # Pairing all rows with all rows, and rows handed to Python one by one or in batches.
 NEVER = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "InPandas")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")

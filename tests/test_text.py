@@ -121,7 +121,6 @@ def test_scripts(spark, tmp_path):
         (tmp_path / name).write_text(text)
     loaded = scripts.read_scripts(spark, str(tmp_path))
     assert {r["text"] for r in loaded.collect()} == set(SCRIPTS.values())
-    assert {len(r["text"]) for r in scripts.read_scripts(spark, str(tmp_path), 10).collect()} == {10}
     rows = {r["path"].rsplit("/", 1)[1]: r for r in scripts.sql_inventory(loaded).collect()}
     assert rows["a.sql"][1:] == (["S.U", "dbo.T"], ["x"], True, True, True, True)
     assert rows["b.sql"][1:] == ([], [], False, False, False, False)

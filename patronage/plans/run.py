@@ -15,7 +15,7 @@ from patronage.plans.layers import Source, run_bronze, run_gold, run_silver
 from patronage.plans.runlog import RunLog, failed_row
 from patronage.sources.delta import DeltaStore
 from patronage.sources.durable import shared_dir
-from patronage.sources.jdbc import JdbcSource, sql_server_url
+from patronage.sources.jdbc import JdbcSource, TableRead, sql_server_url
 from patronage.sources.star_schema import StarSchema
 from patronage.sources.store import TableStore
 
@@ -96,6 +96,9 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--user")
     parser.add_argument("--password-file")
     parser.add_argument("--read-partitions", type=int, default=16)
+    parser.add_argument(
+        "--read-partitions-for", action="append", default=[], metavar="TABLE=N", help="key ranges of one table; repeat"
+    )
     parser.add_argument("--process-date", type=date.fromisoformat, help="YYYY-MM-DD; yesterday when left out")
     parser.add_argument("--process-type", choices=(FULL, INCREMENTAL), default=FULL)
     parser.add_argument("--debug", action="store_true")
@@ -131,7 +134,10 @@ def source(spark: SparkSession, args: argparse.Namespace) -> Source:
     if args.password_file:
         with open(args.password_file) as handle:
             properties["password"] = handle.read().strip()
-    return JdbcSource(spark, sql_server_url(host, database), properties, num_partitions=args.read_partitions)
+    pairs = (item.partition("=") for item in args.read_partitions_for)
+    reads = {name: TableRead(num_partitions=int(count)) for name, _, count in pairs}
+    url = sql_server_url(host, database)
+    return JdbcSource(spark, url, properties, num_partitions=args.read_partitions, reads=reads)
 
 
 def main(argv: list[str] | None = None) -> int:

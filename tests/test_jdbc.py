@@ -2,7 +2,7 @@
 
 import pytest
 
-from patronage.sources.jdbc import JdbcSource, read_jdbc, sql_server_url
+from patronage.sources.jdbc import JdbcSource, TableRead, key_predicates, read_jdbc, sql_server_url
 
 
 class Recorder:
@@ -59,3 +59,24 @@ def test_source_splits_every_table_on_its_key(name, key):
     JdbcSource(spark, URL, {"user": "u"}, num_partitions=6).table(name)
     assert spark.calls[-1]["table"] == f"dbo.{name}" and spark.calls[-1]["column"] == key
     assert spark.calls[-1]["numPartitions"] == 6
+
+
+def test_tables_may_be_read_each_in_its_own_way():
+    spark = Recorder()
+    reads = {"Orders": TableRead(num_partitions=40, bounds=(1, 9)), "Returns": TableRead(predicates=("ReturnID < 5", "ReturnID >= 5"))}
+    source = JdbcSource(spark, URL, num_partitions=6, reads=reads)
+    for name in ("Orders", "Returns", "Products"):
+        source.table(name)
+    orders, returns, _, products = spark.calls
+    assert (orders["numPartitions"], orders["lowerBound"]) == (40, 1) and products["numPartitions"] == 6
+    assert returns["predicates"] == ["ReturnID < 5", "ReturnID >= 5"]
+    with pytest.raises(ValueError, match="Order"):
+        JdbcSource(spark, URL, reads={"Order": TableRead()})
+
+
+def test_predicates_cover_every_row_once(spark):
+    conditions = key_predicates("k", [10, 20], hot={7: ("m", 3), 15: ("m", 2)})
+    rows = spark.range(200).selectExpr("if(id % 11 = 0, null, id % 30) AS k", "if(id % 13 = 0, null, id - 100) AS m")
+    hits = rows.selectExpr("+".join(f"if({c}, 1, 0)" for c in conditions) + " AS n")
+    assert hits.where("n <> 1").count() == 0
+    assert key_predicates("k", []) == ("k IS NOT NULL", "k IS NULL")

@@ -14,9 +14,9 @@ the sum of the smaller coordinates; for a box of points, of the smaller of a poi
 texts entered under one content form a tree of such boxes. Pairs that pass the bound are verified on their shingles.
 
 Order of work: first, each entry's members are compared with its first member and with the one before, which joins
-groups of copies with few pairs; within a step of a task this happens before anything is shuffled. Only the texts of
-components with a failed pair then enter trees, and each tree returns pairs of different components. Trees are split
-into blocks of BLOCK members, each pair of blocks in its own task.
+groups of copies with few pairs. A step of a task sends one row for each entry, however many of its texts share it.
+Entries whose members are still of several components then become trees, and each tree returns pairs of different
+components. Trees are split into blocks of BLOCK members, each pair of blocks in its own task.
 
 Defined results. Null, empty and wordless texts have no shingles, link with nothing and are their own component. Rows
 without id are returned with no component and link with nothing. Rows that repeat an id are one node: it links if any
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,22 +125,19 @@ def entries(hashes: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarra
     return np.concatenate(owners), np.concatenate(signatures)
 
 
-def pre_joined(ids: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries after joining within a step: each content keeps its first id; pairs with the others get a content of
-    their own, which stands for the pair."""
+def pre_joined(ids: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries joined within a step: each content once, with its first id and the other ids, ascending, as a list."""
     order = np.lexsort((ids, signatures))
     ids, signatures = ids[order], signatures[order]
     new = np.ones(len(ids), bool)
     new[1:] = signatures[1:] != signatures[:-1]
-    first = ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))] if len(ids) else ids
-    later = np.flatnonzero(~new)
-    pairs = np.concatenate((np.stack((first[later], ids[later]), 1), np.stack((ids[later - 1], ids[later]), 1)))
-    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-    code = mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64) * np.uint64(_PAIR))
-    return np.concatenate((ids[new], pairs[:, 0], pairs[:, 1])), np.concatenate((signatures[new], code, code))
-
-
-_PAIR = 0x589965CC75374CC3
+    again = np.zeros(len(ids), bool)
+    again[1:] = ~new[1:] & (ids[1:] == ids[:-1])
+    begins = np.flatnonzero(new)
+    others = ~new & ~again
+    ends = np.concatenate(([0], np.cumsum(others)))
+    offsets = ends[np.append(begins, len(ids))]
+    return signatures[new], ids[new], offsets, ids[others]
 
 
 def counts_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -186,6 +184,61 @@ class CountTree:
         return found[bound >= needed_overlap(size, self.sizes[found], percent)]
 
 
+def list_pairs(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, points: np.ndarray, begins: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of pairs, the smaller id first, of different components in one list that pass the bound; and their lists.
+
+    Lists are stretches of rows that ascend by id. Short ones are single leaves, and those of one length are compared together.
+    """
+    nothing = np.zeros(0, np.int64)
+    out, lengths = [(nothing, nothing, nothing)], ends - begins
+    for n in np.unique(lengths):
+        which = np.flatnonzero(lengths == n)
+        firsts = begins[which]
+        if n > 2 * LEAF:
+            for k, begin in zip(which.tolist(), firsts.tolist()):
+                a, b = _tree_pairs(*(x[begin : begin + n] for x in (ids, roots, sizes, points)), percent)
+                out.append((a + begin, b + begin, np.full(len(a), k)))
+            continue
+        for i in range(n):
+            for j in range(i + 1, n):
+                a, b = firsts + i, firsts + j
+                apart = np.flatnonzero(roots[a] != roots[b])
+                for k in range(0, len(apart), 50_000):
+                    part = apart[k : k + 50_000]
+                    x, y = a[part], b[part]
+                    passed = np.minimum(points[x], points[y]).sum(1) >= needed_overlap(sizes[x], sizes[y], percent)
+                    out.append((x[passed], y[passed], which[part[passed]]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _tree_pairs(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, points: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Only members outside the list's largest component ask the tree: every pair of two components has such a member."""
+    names, counts = np.unique(roots, return_counts=True)
+    asking = roots != names[counts.argmax()]
+    tree, out = CountTree(points, sizes), [np.zeros((2, 0), np.int64)]
+    for k in np.flatnonzero(asking):
+        found = tree.search(points[k], sizes[k], percent)
+        found = found[(roots[found] != roots[k]) & (~asking[found] | (ids[found] > ids[k]))]
+        out.append(np.stack((np.full(len(found), k), found)))
+    a, b = np.concatenate(out, 1)
+    swapped = ids[a] > ids[b]
+    return np.where(swapped, b, a), np.where(swapped, a, b)
+
+
+def first_common(mine: list[list[int]], a: np.ndarray, b: np.ndarray, here: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """Which pairs to tell: those of short lists, and of longer ones those that are in no longer list before this one.
+
+    Copies share many lists; without this, each would tell the same pairs.
+    """
+    order = {name: k for k, name in enumerate(sorted({x for names in mine for x in names}))}
+    masks = [sum(1 << order[x] for x in set(names)) for names in mine]
+    keep = ~longer
+    for k in np.flatnonzero(longer).tolist():
+        common = masks[a[k]] & masks[b[k]]
+        keep[k] = common & -common == 1 << order[int(here[k])]
+    return keep
+
+
 class NgramJoin:
     """The join of one frame of texts with itself."""
 
@@ -208,8 +261,8 @@ class NgramJoin:
 
         return add_columns(self.rows, "text", "n_shingles bigint, point binary", lambda: measure, STEP_BYTES).drop("text")
 
-    def entered(self, texts: DataFrame) -> DataFrame:
-        """signature, id: all contents under which texts are entered."""
+    def entered(self) -> DataFrame:
+        """signature, id, others: the contents under which texts are entered, joined within each step of a task."""
         words, percent = self.words, self.percent
 
         def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,27 +272,44 @@ class NgramJoin:
                     ids = batch.column("id").slice(begin, len(part)).to_numpy()
                     begin += len(part)
                     owners, signatures = entries(*shingle_hashes(part, words), percent)
-                    found, signatures = pre_joined(ids[owners], signatures)
+                    signatures, firsts, offsets, others = pre_joined(ids[owners], signatures)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(others, pa.int64()))
+                    alone = pa.array(offsets[1:] == offsets[:-1])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(signatures.view(np.int64)), pa.array(found, pa.int64())], names=["signature", "id"]
+                        [pa.array(signatures.view(np.int64)), pa.array(firsts, pa.int64()), pc.if_else(alone, None, lists)],
+                        names=["signature", "id", "others"],
                     )
 
-        return texts.mapInArrow(enter, "signature bigint, id bigint")
+        return self.texts.mapInArrow(enter, "signature bigint, id bigint, others array<bigint>")
 
-    def first_pairs(self) -> DataFrame:
-        """Each entry's members with its first member and with the one before."""
+    def shared(self) -> DataFrame:
+        """Entries that two texts or more have in common, with the first id of all and the one before."""
         members = Window.partitionBy("signature").orderBy("id")
-        ranked = self.entered(self.texts).select(
-            "id", F.first("id").over(members).alias("head"), F.lag("id").over(members).alias("before")
+        ranked = self.entered().select(
+            "signature", "id", "others", F.first("id").over(members).alias("head"), F.lag("id").over(members).alias("before"),
+            F.lead("id").over(members).alias("after"),
+        )
+        return ranked.where("before is not null or after is not null or others is not null").drop("after")
+
+    @staticmethod
+    def first_pairs(shared: DataFrame) -> DataFrame:
+        """Each entry's members with its first member and with the one before."""
+        pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+        own = F.when(F.col("before").isNotNull(), F.array(pair(F.col("head"), F.col("id")), pair(F.col("before"), F.col("id"))))
+        with_first = F.transform("others", lambda o: pair(F.col("id"), o))
+        in_turn = F.transform(F.sequence(F.lit(1), F.size("others") - 1), lambda k: pair(F.col("others")[k - 1], F.col("others")[k]))
+        nothing = F.array().cast("array<struct<a: bigint, b: bigint>>")
+        pairs = F.concat(
+            F.coalesce(own, nothing), F.coalesce(with_first, nothing), F.when(F.size("others") > 1, in_turn).otherwise(nothing)
         )
-        pairs = ranked.where(F.col("before").isNotNull()).select(F.explode(F.array("head", "before")).alias("a"), F.col("id").alias("b"))
-        return pairs.where("a <> b").distinct()
+        return shared.select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
 
     def pick(self, ids: DataFrame) -> DataFrame:
-        """Texts of the ids, without a shuffle of texts as long as the ids are few enough to be held by each task."""
+        """Texts of the ids, with the other columns of `ids`; without a shuffle of texts as long as the ids are few
+        enough to be held by each task."""
         few = ids.count() <= BROADCAST_IDS
-        ids = ids.toDF("wanted")
-        return self.texts.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("wanted"), "left_semi")
+        ids = ids.withColumnRenamed("id", "wanted")
+        return self.texts.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("wanted")).drop("wanted")
 
     def bounded(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
         """Pairs whose points' summed smaller coordinates reach the overlap they need."""
@@ -275,77 +345,73 @@ class NgramJoin:
         linked = counted.where(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common")))
         return linked.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("united")).dropDuplicates(["a", "b"])
 
-    def tree_pairs(self, open_ids: DataFrame, roots: DataFrame, points: DataFrame) -> DataFrame:
+    @staticmethod
+    def tree_lists(shared: DataFrame, roots: DataFrame) -> DataFrame:
+        """list, other, n, id, root: the members of each content that may hold an untried pair of two components.
+
+        Two members have been compared already. Contents with the same members, as copies have many of, are one list,
+        known by two sums of their ids' hashes.
+        """
+        everyone = F.concat(F.array("id"), F.coalesce("others", F.array().cast("array<bigint>")))
+        members = shared.select("signature", F.explode(everyone).alias("id"))
+        few = roots.count() <= BROADCAST_IDS
+        rooted = members.join(F.broadcast(roots) if few else roots, F.col("id") == F.col("node"), "left").select("signature", "id", F.coalesce("root", "id").alias("root"))
+        together = Window.partitionBy("signature")
+        hashed = lambda seed: F.sum(F.shiftright(F.xxhash64("id", F.lit(seed)), 30)).over(together)
+        described = rooted.select(
+            "id", "root", F.count("*").over(together).alias("n"), F.min("root").over(together).alias("least"),
+            F.max("root").over(together).alias("most"), hashed(1).alias("list"), hashed(2).alias("other"),
+        )
+        return described.where("n > 2 and least <> most").select("list", "other", "n", "id", "root").distinct()
+
+    def tree_pairs(self, shared: DataFrame, roots: DataFrame, points: DataFrame) -> DataFrame:
         """Pairs of different components that meet in a tree and pass its bound."""
         percent = self.percent
-        entered = self.entered_apart(self.pick(open_ids.select("id")))
-        sizes = entered.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
-        sizes = sizes.select("signature", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        described = open_ids.join(points, "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-        described = described.select("id", "n_shingles", "point", F.coalesce("root", "id").alias("root"))
-        members = entered.join(sizes, "signature").join(described, "id")
-        # block i meets block j once, for i <= j
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+        lists = written(self.tree_lists(shared, roots))
+        buckets = max(1, lists.count() // (8 * BLOCK))
+        # the longer lists that a member is in, by a short name, at most as many as its text has groups
+        lists = lists.withColumn("name", F.hash("list", "other"))
+        named = F.collect_set(F.when(F.col("n") > 2 * LEAF, F.col("name")))
+        members = lists.join(points.join(lists.groupBy("id").agg(named.alias("mine")), "id"), "id")
+        # small lists share a task by their hash; in larger ones block i meets block j, for i <= j, in a task of its own
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+        dealt = members.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select(
+            F.when(F.col("n") <= BLOCK, F.pmod("list", F.lit(buckets))).otherwise(F.col("list")).alias("place"),
+            F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"),
+            "list", "other", "name", "id", "root", "n_shingles", "point", "mine",
+        )
 
         def search(group: pa.Table) -> pa.Table:
-            ids, roots_here, sizes_here = (group.column(c).to_numpy() for c in ("id", "root", "n_shingles"))
-            out_a, out_b = [], []
-            if len(np.unique(roots_here)) > 1:
-                points_here = np.frombuffer(b"".join(group.column("point").to_pylist()), np.int32).reshape(-1, DIMENSIONS)
-                tree = CountTree(points_here, sizes_here)
-                for k in range(len(ids)):
-                    found = tree.search(points_here[k], sizes_here[k], percent)
-                    found = found[(roots_here[found] != roots_here[k]) & (ids[found] > ids[k])]
-                    out_a.append(np.full(len(found), ids[k]))
-                    out_b.append(ids[found])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        dealt = dealt.select("signature", "low", "high", "id", "root", "n_shingles", "point")
-        return dealt.groupBy("signature", "low", "high").applyInArrow(search, "a bigint, b bigint").distinct()
-
-    def entered_apart(self, texts: DataFrame) -> DataFrame:
-        """All entries of these texts, without joining any beforehand."""
-        words, percent = self.words, self.percent
-
-        def signatures(part: pa.Array) -> list[pa.Array]:
-            hashes, at = shingle_hashes(part, words)
-            owners, found = entries(hashes, at, percent)
-            order = np.argsort(owners, kind="stable")
-            offsets = np.searchsorted(owners[order], np.arange(len(part) + 1))
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found[order].view(np.int64)))]
-
-        lists = add_columns(texts, "text", "entries array<bigint>", lambda: signatures, STEP_BYTES)
-        return lists.select("id", F.explode("entries").alias("signature")).distinct()
+            group = group.sort_by([("list", "ascending"), ("other", "ascending"), ("id", "ascending")])
+            ids, roots, sizes, first, second = (group.column(c).to_numpy() for c in ("id", "root", "n_shingles", "list", "other"))
+            points_here = np.frombuffer(b"".join(group.column("point").to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+            cuts = np.flatnonzero((first[1:] != first[:-1]) | (second[1:] != second[:-1])) + 1
+            begins, ends = np.append(0, cuts), np.append(cuts, len(ids))
+            a, b, which = list_pairs(ids, roots, sizes, points_here, begins, ends, percent)
+            names = group.column("name").to_numpy()[begins]
+            told = first_common(group.column("mine").to_pylist(), a, b, names[which], (ends - begins)[which] > 2 * LEAF)
+            pairs = np.unique(np.stack((ids[a[told]], ids[b[told]]), 1), axis=0)
+            return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+        return dealt.groupBy("place", "low", "high").applyInArrow(search, "a bigint, b bigint").distinct()
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """All rows with n_shingles and component_id; and links that span every component."""
         measured = written(self.measured())
-        points = measured.where("id is not null and n_shingles > 0").dropDuplicates(["id", "point"])
-        tried = written(self.first_pairs())
+        points = measured.where("id is not null and n_shingles > 0")
+        shared = written(self.shared())
+        tried = written(self.first_pairs(shared))
         links = written(self.verified(self.bounded(tried, points)))
         roots = components(links.select("a", "b"))
-        failed = tried.join(links, ["a", "b"], "left_anti")
-        unsettled = self.of_roots(failed.select(F.col("a").alias("id")).union(failed.select("b")), roots)
-        # all texts of components with a failed pair
-        label = points.select("id").distinct().join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-        label = label.select("id", F.coalesce("root", "id").alias("root"))
-        open_ids = written(label.join(unsettled, "root", "left_semi").select("id"))
-        if open_ids.head(1):
-            pairs = written(self.tree_pairs(open_ids, roots, points).join(tried, ["a", "b"], "left_anti"))
-            if pairs.head(1):
-                links = written(links.unionByName(self.verified(pairs)))
-                roots = components(links.select("a", "b"))
+        pairs = written(self.tree_pairs(shared, roots, points).join(tried, ["a", "b"], "left_anti"))
+        if pairs.head(1):
+            links = written(links.unionByName(self.verified(pairs)))
+            roots = components(links.select("a", "b"))
         result = measured.join(roots, F.col("id") == F.col("node"), "left")
         return result.select("id", "n_shingles", F.coalesce("root", "id").alias("component_id")), links
 
-    @staticmethod
-    def of_roots(ids: DataFrame, roots: DataFrame) -> DataFrame:
-        known = ids.distinct().join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-        return known.select(F.coalesce("root", "id").alias("root")).distinct()
-
 
 def ngram_join(
     documents: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT

@@ -141,6 +141,32 @@ def test_count_tree_bound_loses_nothing():
         assert sorted(tree.search(points[k], sizes[k], 85)) == want.tolist()
 
 
+def test_lists_tell_every_pair_of_two_components_once():
+    rng = np.random.default_rng(11)
+    base = rng.poisson(2, (1, ngram_join.DIMENSIONS))
+    all_points = np.maximum(base + rng.integers(-1, 2, (120, ngram_join.DIMENSIONS)) * (rng.random((120, ngram_join.DIMENSIONS)) < 0.15), 0).astype(np.int32)
+    all_roots = np.where(rng.random(120) < 0.9, 0, np.arange(120))
+    lists = [np.sort(rng.choice(120, n, replace=False)) for n in (3, 3, 20, 33, 70, 90, 90)]
+    rows = np.concatenate(lists)
+    ends = np.cumsum([len(x) for x in lists])
+    begins = ends - [len(x) for x in lists]
+    points, sizes = all_points[rows], all_points[rows].sum(1)
+    longer = (ends - begins) > 2 * ngram_join.LEAF
+    mine = [[100 + k for k, x in enumerate(lists) if longer[k] and r in x] for r in rows]
+    a, b, which = ngram_join.list_pairs(rows, all_roots[rows], sizes, points, begins, ends, 85)
+    told = ngram_join.first_common(mine, a, b, (100 + np.arange(len(lists)))[which], longer[which])
+    want = set()
+    for x in lists:
+        for i in x:
+            for j in x[x > i]:
+                bound = np.minimum(all_points[i], all_points[j]).sum()
+                if all_roots[i] != all_roots[j] and bound >= ngram_join.needed_overlap(all_points[i].sum(), all_points[j].sum(), 85):
+                    want.add((i, j))
+    assert set(zip(rows[a], rows[b])) == set(zip(rows[a[told]], rows[b[told]])) == want and len(want) > 100
+    pairs = [p for p, k in zip(zip(rows[a[told]], rows[b[told]]), longer[which[told]]) if k]
+    assert len(pairs) == len(set(pairs))
+
+
 def test_sentencepiece(documents, empty):
     model = public_tokenizers.path(pieces.MODEL)
     df = pieces.round_trip(documents, model, ids="ids", decoded="decoded")

@@ -10,13 +10,13 @@ TINY shingles differ in at most one and are entered whole and with each one left
 many texts share gives no common entry unless it fills a group alone.
 
 What is compared: the counts of a set's shingles in DIMENSIONS groups are a point. The overlap of two sets is at most
-the sum of the smaller coordinates; for a box of points, of the smaller of a point's and the box's largest ones. The
-texts entered under one content form a tree of such boxes. Pairs that pass the bound are verified on their shingles.
+the sum of the smaller coordinates; for a box of points, of the smaller of a point's and the box's largest ones. Trees
+of such boxes are searched for each component that may have more links. Pairs that pass are verified on their shingles.
 
 Order of work: first, each entry's members are compared with its first member and with the one before, which joins
 groups of copies with few pairs. A step of a task sends one row for each entry, however many of its texts share it.
-Entries whose members are still of several components then become trees, and each tree returns pairs of different
-components. Trees are split into blocks of BLOCK members, each pair of blocks in its own task.
+Components that still meet under some content are then compared as a whole: the larger one is an R-tree, and all
+texts of the smaller ones ask it. Members and askers are split into blocks of BLOCK, each pair of blocks in its own task.
 
 Defined results. Null, empty and wordless texts have no shingles, link with nothing and are their own component. Rows
 without id are returned with no component and link with nothing. Rows that repeat an id are one node: it links if any
@@ -184,59 +184,56 @@ class CountTree:
         return found[bound >= needed_overlap(size, self.sizes[found], percent)]
 
 
-def list_pairs(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, points: np.ndarray, begins: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of pairs, the smaller id first, of different components in one list that pass the bound; and their lists.
-
-    Lists are stretches of rows that ascend by id. Short ones are single leaves, and those of one length are compared together.
-    """
-    nothing = np.zeros(0, np.int64)
-    out, lengths = [(nothing, nothing, nothing)], ends - begins
-    for n in np.unique(lengths):
-        which = np.flatnonzero(lengths == n)
-        firsts = begins[which]
-        if n > 2 * LEAF:
-            for k, begin in zip(which.tolist(), firsts.tolist()):
-                a, b = _tree_pairs(*(x[begin : begin + n] for x in (ids, roots, sizes, points)), percent)
-                out.append((a + begin, b + begin, np.full(len(a), k)))
+def meeting_pairs(ids: np.ndarray, asks: np.ndarray, sizes: np.ndarray, points: np.ndarray, begins: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of ids that pass the bound, of an asking row and another in one stretch of rows. A short stretch is a leaf."""
+    out = [np.zeros((0, 2), np.int64)]
+    for begin, end in zip(begins.tolist(), ends.tolist()):
+        here = np.arange(begin, end)
+        queries, members = here[asks[begin:end]], here[~asks[begin:end]]
+        if not len(queries) or not len(members):
             continue
-        for i in range(n):
-            for j in range(i + 1, n):
-                a, b = firsts + i, firsts + j
-                apart = np.flatnonzero(roots[a] != roots[b])
-                for k in range(0, len(apart), 50_000):
-                    part = apart[k : k + 50_000]
-                    x, y = a[part], b[part]
-                    passed = np.minimum(points[x], points[y]).sum(1) >= needed_overlap(sizes[x], sizes[y], percent)
-                    out.append((x[passed], y[passed], which[part[passed]]))
-    return tuple(np.concatenate(c) for c in zip(*out))
-
-
-def _tree_pairs(ids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, points: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Only members outside the list's largest component ask the tree: every pair of two components has such a member."""
-    names, counts = np.unique(roots, return_counts=True)
-    asking = roots != names[counts.argmax()]
-    tree, out = CountTree(points, sizes), [np.zeros((2, 0), np.int64)]
-    for k in np.flatnonzero(asking):
-        found = tree.search(points[k], sizes[k], percent)
-        found = found[(roots[found] != roots[k]) & (~asking[found] | (ids[found] > ids[k]))]
-        out.append(np.stack((np.full(len(found), k), found)))
-    a, b = np.concatenate(out, 1)
-    swapped = ids[a] > ids[b]
-    return np.where(swapped, b, a), np.where(swapped, a, b)
-
-
-def first_common(mine: list[list[int]], a: np.ndarray, b: np.ndarray, here: np.ndarray, longer: np.ndarray) -> np.ndarray:
-    """Which pairs to tell: those of short lists, and of longer ones those that are in no longer list before this one.
-
-    Copies share many lists; without this, each would tell the same pairs.
-    """
-    order = {name: k for k, name in enumerate(sorted({x for names in mine for x in names}))}
-    masks = [sum(1 << order[x] for x in set(names)) for names in mine]
-    keep = ~longer
-    for k in np.flatnonzero(longer).tolist():
-        common = masks[a[k]] & masks[b[k]]
-        keep[k] = common & -common == 1 << order[int(here[k])]
-    return keep
+        if len(members) <= 2 * LEAF:
+            for q in queries:
+                bound = np.minimum(points[members], points[q]).sum(1)
+                found = members[bound >= needed_overlap(sizes[members], sizes[q], percent)]
+                out.append(np.stack((np.full(len(found), ids[q]), ids[found]), 1))
+            continue
+        tree = CountTree(points[members], sizes[members])
+        for q in queries:
+            found = members[tree.search(points[q], sizes[q], percent)]
+            out.append(np.stack((np.full(len(found), ids[q]), ids[found]), 1))
+    return np.sort(np.concatenate(out), axis=1)
+
+
+def root_pairs(roots: np.ndarray, sizes: np.ndarray, boxes: np.ndarray, begins: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of components of one list whose boxes pass the bound; lists are stretches of rows that ascend by root."""
+    out = [np.zeros((0, 2), np.int64)]
+    for begin, end in zip(begins.tolist(), ends.tolist()):
+        names, low, high = roots[begin:end], sizes[begin:end], boxes[begin:end]
+        if len(names) <= 2 * LEAF:
+            overlap = np.minimum(high[:, None, :], high[None, :, :]).sum(2)
+            a, b = np.nonzero(np.triu(overlap >= needed_overlap(low[:, None], low[None, :], percent), 1))
+            out.append(np.stack((names[a], names[b]), 1))
+            continue
+        tree = CountTree(high, low)
+        for k in range(len(names)):
+            found = tree.search(high[k], low[k], percent)
+            found = found[found > k]
+            out.append(np.stack((np.full(len(found), names[k]), names[found]), 1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def boxes_of(table: pa.Table) -> pa.Table:
+    """For each root the largest coordinates and the smallest size of its rows."""
+    table = table.sort_by("root")
+    roots, sizes = table.column("root").to_numpy(), table.column("n_shingles").to_numpy()
+    points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+    begins = np.flatnonzero(np.append(True, roots[1:] != roots[:-1])) if len(roots) else np.zeros(0, np.int64)
+    top = np.maximum.reduceat(points, begins) if len(begins) else points
+    low = np.minimum.reduceat(sizes, begins) if len(begins) else sizes
+    return pa.table(
+        {"root": pa.array(roots[begins]), "n_shingles": pa.array(low), "point": pa.array([x.tobytes() for x in top], pa.binary())}
+    )
 
 
 class NgramJoin:
@@ -346,56 +343,108 @@ class NgramJoin:
         return linked.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("united")).dropDuplicates(["a", "b"])
 
     @staticmethod
-    def tree_lists(shared: DataFrame, roots: DataFrame) -> DataFrame:
-        """list, other, n, id, root: the members of each content that may hold an untried pair of two components.
+    def component_lists(shared: DataFrame, roots: DataFrame) -> DataFrame:
+        """list, other, n, root: the components that meet under each content, where there are several.
 
-        Two members have been compared already. Contents with the same members, as copies have many of, are one list,
-        known by two sums of their ids' hashes.
+        Contents with the same components, as copies have many of, are one list, known by two sums of hashes.
         """
         everyone = F.concat(F.array("id"), F.coalesce("others", F.array().cast("array<bigint>")))
         members = shared.select("signature", F.explode(everyone).alias("id"))
         few = roots.count() <= BROADCAST_IDS
-        rooted = members.join(F.broadcast(roots) if few else roots, F.col("id") == F.col("node"), "left").select("signature", "id", F.coalesce("root", "id").alias("root"))
+        rooted = members.join(F.broadcast(roots) if few else roots, F.col("id") == F.col("node"), "left")
+        rooted = rooted.select("signature", F.coalesce("root", "id").alias("root")).distinct()
         together = Window.partitionBy("signature")
-        hashed = lambda seed: F.sum(F.shiftright(F.xxhash64("id", F.lit(seed)), 30)).over(together)
-        described = rooted.select(
-            "id", "root", F.count("*").over(together).alias("n"), F.min("root").over(together).alias("least"),
-            F.max("root").over(together).alias("most"), hashed(1).alias("list"), hashed(2).alias("other"),
-        )
-        return described.where("n > 2 and least <> most").select("list", "other", "n", "id", "root").distinct()
+        hashed = lambda seed: F.sum(F.shiftright(F.xxhash64("root", F.lit(seed)), 30)).over(together)
+        described = rooted.select("root", F.count("*").over(together).alias("n"), hashed(1).alias("list"), hashed(2).alias("other"))
+        return described.where("n > 1").distinct()
+
+    @staticmethod
+    def component_boxes(rooted: DataFrame) -> DataFrame:
+        """root, n_shingles (the smallest), point (the largest coordinates) of every component, combined in each task first."""
+        kind = "root bigint, n_shingles bigint, point binary"
 
-    def tree_pairs(self, shared: DataFrame, roots: DataFrame, points: DataFrame) -> DataFrame:
-        """Pairs of different components that meet in a tree and pass its bound."""
+        def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from boxes_of(pa.Table.from_batches([batch])).combine_chunks().to_batches()
+
+        partial = rooted.select("root", "n_shingles", "point").mapInArrow(combine, kind)
+        buckets = max(1, rooted.count() // (8 * BLOCK))
+        return partial.groupBy(F.pmod(F.xxhash64("root"), F.lit(buckets))).applyInArrow(boxes_of, kind)
+
+    def component_pairs(self, lists: DataFrame, boxes: DataFrame) -> DataFrame:
+        """(r, s): components that meet somewhere and whose boxes pass the bound, r < s. Small lists share a task; in
+        larger ones blocks meet blocks."""
         percent = self.percent
-        lists = written(self.tree_lists(shared, roots))
         buckets = max(1, lists.count() // (8 * BLOCK))
-        # the longer lists that a member is in, by a short name, at most as many as its text has groups
-        lists = lists.withColumn("name", F.hash("list", "other"))
-        named = F.collect_set(F.when(F.col("n") > 2 * LEAF, F.col("name")))
-        members = lists.join(points.join(lists.groupBy("id").agg(named.alias("mine")), "id"), "id")
-        # small lists share a task by their hash; in larger ones block i meets block j, for i <= j, in a task of its own
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        dealt = members.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        own = F.pmod(F.xxhash64("root"), blocks).cast("int")
+        dealt = lists.join(boxes, "root").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.select(
             F.when(F.col("n") <= BLOCK, F.pmod("list", F.lit(buckets))).otherwise(F.col("list")).alias("place"),
-            F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"),
-            "list", "other", "name", "id", "root", "n_shingles", "point", "mine",
+            F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "list", "other", "root", "n_shingles", "point",
+        )
+
+        def meet(group: pa.Table) -> pa.Table:
+            group = group.sort_by([("list", "ascending"), ("other", "ascending"), ("root", "ascending")])
+            first, second, roots, sizes = (group.column(c).to_numpy() for c in ("list", "other", "root", "n_shingles"))
+            boxes_here = np.frombuffer(b"".join(group.column("point").to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+            cuts = np.flatnonzero((first[1:] != first[:-1]) | (second[1:] != second[:-1])) + 1
+            pairs = root_pairs(roots, sizes, boxes_here, np.append(0, cuts), np.append(cuts, len(roots)), percent)
+            return pa.table({"r": pa.array(pairs[:, 0], pa.int64()), "s": pa.array(pairs[:, 1], pa.int64())})
+
+        return dealt.groupBy("place", "low", "high").applyInArrow(meet, "r bigint, s bigint").where("r <> s").distinct()
+
+    def tree_pairs(self, shared: DataFrame, roots: DataFrame, points: DataFrame, tried: DataFrame) -> DataFrame:
+        """Untried pairs of texts, of components that meet, that pass the bound of a tree.
+
+        Of two components the larger is the tree, and all texts of the smaller ones it meets ask it.
+        """
+        percent = self.percent
+        rooted = points.join(roots, F.col("id") == F.col("node"), "left")
+        rooted = rooted.select("id", F.coalesce("root", "id").alias("root"), "n_shingles", "point")
+        lists = written(self.component_lists(shared, roots))
+        met = written(self.component_pairs(lists, self.component_boxes(rooted.join(lists.select("root").distinct(), "root"))))
+        sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("m"))
+        count = lambda c: sizes.select(F.col("root").alias(c), F.col("m").alias(f"m_{c}"))
+        sized = met.join(count("r"), "r", "left").join(count("s"), "s", "left").fillna(1, ["m_r", "m_s"])
+        # two single texts that were compared already are done
+        alone = (F.col("m_r") == 1) & (F.col("m_s") == 1)
+        done = tried.select(F.col("a").alias("r"), F.col("b").alias("s"), F.lit(True).alias("done"))
+        sized = sized.join(done, ["r", "s"], "left").where(~(alone & F.coalesce("done", F.lit(False))))
+        larger = F.col("m_r") >= F.col("m_s")
+        asked = sized.select(
+            F.when(larger, F.col("r")).otherwise(F.col("s")).alias("tree"), F.when(larger, F.col("s")).otherwise(F.col("r")).alias("root")
+        )
+        queries = rooted.join(asked, "root").select("tree", "id", "n_shingles", "point", F.lit(True).alias("asks"))
+        trees = asked.select(F.col("tree").alias("root")).distinct()
+        members = rooted.join(trees, "root").select(F.col("root").alias("tree"), "id", "n_shingles", "point", F.lit(False).alias("asks"))
+        both = members.unionByName(queries)
+        counts = both.groupBy("tree").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("m"))
+        block = lambda c: F.ceil(F.col(c) / BLOCK).cast("int").alias(c)
+        blocks = counts.select("tree", block("q"), block("m"))
+        own = F.pmod(F.xxhash64("id"), F.when(F.col("asks"), F.col("q")).otherwise(F.col("m"))).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("m")).otherwise(F.col("q")) - 1))
+        dealt = both.join(blocks, "tree").withColumn("own", own).withColumn("other", others)
+        small = (F.col("q") == 1) & (F.col("m") == 1)
+        buckets = max(1, met.count() // (2 * BLOCK))
+        dealt = dealt.select(
+            F.when(small, F.pmod(F.xxhash64("tree"), F.lit(buckets))).otherwise(F.col("tree")).alias("place"),
+            F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("qb"),
+            F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("mb"),
+            small.alias("small"), "tree", "asks", "id", "n_shingles", "point",
         )
 
         def search(group: pa.Table) -> pa.Table:
-            group = group.sort_by([("list", "ascending"), ("other", "ascending"), ("id", "ascending")])
-            ids, roots, sizes, first, second = (group.column(c).to_numpy() for c in ("id", "root", "n_shingles", "list", "other"))
+            group = group.sort_by([("tree", "ascending"), ("id", "ascending")])
+            trees, ids, sizes = (group.column(c).to_numpy() for c in ("tree", "id", "n_shingles"))
+            asks = group.column("asks").to_numpy()
             points_here = np.frombuffer(b"".join(group.column("point").to_pylist()), np.int32).reshape(-1, DIMENSIONS)
-            cuts = np.flatnonzero((first[1:] != first[:-1]) | (second[1:] != second[:-1])) + 1
-            begins, ends = np.append(0, cuts), np.append(cuts, len(ids))
-            a, b, which = list_pairs(ids, roots, sizes, points_here, begins, ends, percent)
-            names = group.column("name").to_numpy()[begins]
-            told = first_common(group.column("mine").to_pylist(), a, b, names[which], (ends - begins)[which] > 2 * LEAF)
-            pairs = np.unique(np.stack((ids[a[told]], ids[b[told]]), 1), axis=0)
+            cuts = np.flatnonzero(trees[1:] != trees[:-1]) + 1
+            pairs = meeting_pairs(ids, asks, sizes, points_here, np.append(0, cuts), np.append(cuts, len(ids)), percent)
             return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-        return dealt.groupBy("place", "low", "high").applyInArrow(search, "a bigint, b bigint").distinct()
+        found = dealt.groupBy("small", "place", "qb", "mb").applyInArrow(search, "a bigint, b bigint")
+        return found.where("a <> b").distinct().join(tried, ["a", "b"], "left_anti")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """All rows with n_shingles and component_id; and links that span every component."""
@@ -405,7 +454,7 @@ class NgramJoin:
         tried = written(self.first_pairs(shared))
         links = written(self.verified(self.bounded(tried, points)))
         roots = components(links.select("a", "b"))
-        pairs = written(self.tree_pairs(shared, roots, points).join(tried, ["a", "b"], "left_anti"))
+        pairs = written(self.tree_pairs(shared, roots, points, tried))
         if pairs.head(1):
             links = written(links.unionByName(self.verified(pairs)))
             roots = components(links.select("a", "b"))

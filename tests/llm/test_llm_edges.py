@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,30 +142,35 @@ def test_count_tree_bound_loses_nothing():
         assert sorted(tree.search(points[k], sizes[k], 85)) == want.tolist()
 
 
-def test_lists_tell_every_pair_of_two_components_once():
+def test_component_boxes_and_trees_lose_no_pair():
     rng = np.random.default_rng(11)
     base = rng.poisson(2, (1, ngram_join.DIMENSIONS))
-    all_points = np.maximum(base + rng.integers(-1, 2, (120, ngram_join.DIMENSIONS)) * (rng.random((120, ngram_join.DIMENSIONS)) < 0.15), 0).astype(np.int32)
-    all_roots = np.where(rng.random(120) < 0.9, 0, np.arange(120))
-    lists = [np.sort(rng.choice(120, n, replace=False)) for n in (3, 3, 20, 33, 70, 90, 90)]
-    rows = np.concatenate(lists)
-    ends = np.cumsum([len(x) for x in lists])
-    begins = ends - [len(x) for x in lists]
-    points, sizes = all_points[rows], all_points[rows].sum(1)
-    longer = (ends - begins) > 2 * ngram_join.LEAF
-    mine = [[100 + k for k, x in enumerate(lists) if longer[k] and r in x] for r in rows]
-    a, b, which = ngram_join.list_pairs(rows, all_roots[rows], sizes, points, begins, ends, 85)
-    told = ngram_join.first_common(mine, a, b, (100 + np.arange(len(lists)))[which], longer[which])
-    want = set()
-    for x in lists:
-        for i in x:
-            for j in x[x > i]:
-                bound = np.minimum(all_points[i], all_points[j]).sum()
-                if all_roots[i] != all_roots[j] and bound >= ngram_join.needed_overlap(all_points[i].sum(), all_points[j].sum(), 85):
-                    want.add((i, j))
-    assert set(zip(rows[a], rows[b])) == set(zip(rows[a[told]], rows[b[told]])) == want and len(want) > 100
-    pairs = [p for p, k in zip(zip(rows[a[told]], rows[b[told]]), longer[which[told]]) if k]
-    assert len(pairs) == len(set(pairs))
+    noise = rng.integers(-1, 2, (200, ngram_join.DIMENSIONS)) * (rng.random((200, ngram_join.DIMENSIONS)) < 0.2)
+    points = np.maximum(base + noise, 0).astype(np.int32)
+    sizes, roots = points.sum(1), np.where(rng.random(200) < 0.5, rng.integers(0, 4, 200), np.arange(200))
+    passed = np.minimum(points[:, None], points[None]).sum(2) >= ngram_join.needed_overlap(sizes[:, None], sizes[None], 85)
+    table = pa.table({"root": roots, "n_shingles": sizes, "point": pa.array([p.tobytes() for p in points], pa.binary())})
+    boxes = ngram_join.boxes_of(table)
+    names, low = (boxes.column(c).to_numpy() for c in ("root", "n_shingles"))
+    top = np.frombuffer(b"".join(boxes.column("point").to_pylist()), np.int32).reshape(-1, ngram_join.DIMENSIONS)
+    for cuts in ([0, len(names)], [0, 20, 27, len(names)]):  # one long list; short ones and a longer one
+        begins, ends = np.array(cuts[:-1]), np.array(cuts[1:])
+        found = {tuple(p) for p in ngram_join.root_pairs(names, low, top, begins, ends, 85)}
+        want = set()
+        for begin, end in zip(begins, ends):
+            here = set(names[begin:end].tolist())
+            for a, b in zip(*np.nonzero(passed)):
+                if roots[a] < roots[b] and {roots[a], roots[b]} <= here:
+                    want.add((roots[a], roots[b]))
+        assert want <= found and len(want) > 20
+    asks = rng.random(200) < 0.3
+    order = np.lexsort((np.arange(200), roots % 3))
+    stretch = (roots % 3)[order]
+    cuts = np.flatnonzero(np.diff(stretch)) + 1
+    ids = order.astype(np.int64)
+    got = ngram_join.meeting_pairs(ids, asks[order], sizes[order], points[order], np.append(0, cuts), np.append(cuts, 200), 85)
+    want = {(min(a, b), max(a, b)) for a, b in zip(*np.nonzero(passed)) if asks[a] and not asks[b] and roots[a] % 3 == roots[b] % 3}
+    assert {tuple(p) for p in got} == want and len(want) > 100
 
 
 def test_sentencepiece(documents, empty):

@@ -38,7 +38,7 @@ from patronage.llm.components import components
 from patronage.llm.shingles import mix, shingle_hashes
 
 WORDS, PERCENT = 4, 85
-DIMENSIONS = 64
+DIMENSIONS = 256
 STEP_BYTES = 4 << 20
 #: Ids broadcast to the scan of texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000

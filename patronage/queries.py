@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime
 from decimal import Decimal
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -478,18 +478,15 @@ def q_dq_row_counts(w):
 def q_dq_schema(w):
     """Columns of each source's stored tables beside the contract, with an order table that lacks and renames some,
     and how many rows each source has."""
-    found = []
+    differing, rows = [], []
     for name, contract in SOURCES.items():
         df = w.table(name)
         if name == "Orders":
             df = df.withColumn("OrderDate", F.col("OrderDate").cast("timestamp")).withColumnRenamed("Status", "State")
-        rows = df.agg(F.count(F.lit(1)).alias("source_rows"))
-        differing = quality.schema_differences(df, contract.schema, contract.optional)
-        found.append(differing.withColumn("table_name", F.lit(name)).join(rows))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        named = F.lit(name).alias("table_name")
+        rows.append(df.agg(F.count(F.lit(1)).alias("source_rows")).select(named, "source_rows"))
+        differing.append(quality.schema_differences(df, contract.schema, contract.optional).select(named, "*"))
+    return reduce(DataFrame.unionAll, differing).join(reduce(DataFrame.unionAll, rows), "table_name")
 
 
 @query

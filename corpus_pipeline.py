@@ -9,7 +9,8 @@ Parquet and read again. Stages but the last return the columns of `documents`, w
 - decontamination: documents go that hold benchmark passages in at least one word of twenty;
 - sentencepiece: returns id, number of tokens and digests of each document left.
 
-Classifiers learn from the stage's own documents that have a label and are not held out. Documents without id are
+Classifiers learn from the stage's own documents that have a label and are not held out; where these do not hold both
+label values, the stage keeps all. Documents without id are
 scored like others and have no near duplicates. Rows that repeat an id are one document to the third stage: the one
 with the least text stays. Empty tables pass through all stages.
 """
@@ -25,12 +26,16 @@ from patronage.llm.common import table, written
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    if not toxicity.learned(model):
+        return docs
     scored = toxicity.score(docs, model, into="__toxicity")
     return scored.where(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not quality.learned(model):
+        return docs
     scored = quality.score(docs, model, into="__quality")
     return scored.where(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
 

@@ -6,8 +6,8 @@ and which signs stand before, in and after the word, so words not seen in learni
 found by its hash; a text's score is the logistic function of the mean weight over positions, times SCALE, plus a bias.
 
 Defined results. Null, empty and wordless texts get the bias alone as their score. Equal texts get scores equal to
-six digits, to which scores are rounded. Without any usable
-label every score is 0.5. Null ids are neither held out nor learned from; their rows are scored like others. An empty
+six digits, to which scores are rounded. With labels of one value only every score is their base rate, 0 or 1; without
+any usable label every score is 0.5 and `predicted` is null. Null ids are neither held out nor learned from; their rows are scored like others. An empty
 table gives an empty result. Labels, language, source and id are no inputs of a score.
 """
 
@@ -36,6 +36,8 @@ BITS = 18
 SCALE = 10.0
 #: FTRL: learning rate and its smoothing, and the weights of the absolute and squared penalties.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
+#: Log odds that round to 0 and 1.
+CERTAIN = 50.0
 CACHED_WORDS = 150_000
 STEP_BYTES = 2 << 20
 _RUNS = re.compile(rb"[A-Z]+|[a-z]+|[0-9]+|[\x80-\xff]+|(.)\1*", re.S)
@@ -104,8 +106,9 @@ def learn(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 1) ->
     """Weights by hash and the bias, by FTRL-proximal updates text by text."""
     size = 1 << BITS
     z, n, weights = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    if not sample:
-        return np.zeros(size, np.float32), 0.0
+    values = {label for _, label in sample}
+    if len(values) < 2:
+        return np.zeros(size, np.float32), 0.0 if not values else CERTAIN if values == {1} else -CERTAIN
     reader = Scorer(np.zeros(size, np.float32), 0.0)
     examples = []
     for begin in range(0, len(sample), 500):
@@ -145,18 +148,25 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], *, text: str =
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[np.ndarray, float]:
-    sample = labelled_sample(
+    sample, odds = labelled_sample(
         documents, labels, key=key, text=text, label=label, learn=fold(key, FOLDS) != HELD_OUT, rows=SAMPLE_ROWS, max_bytes=SAMPLE_BYTES
     )
-    return learn(sample)
+    weights, bias = learn(sample)
+    return weights, bias + odds
+
+
+def learned(model: tuple[np.ndarray, float]) -> bool:
+    """Whether the labels told texts apart; if not, scores are no reason to drop any."""
+    return bool(model[0].any())
 
 
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    scored = score(documents, fit(documents, table(spark, folder, "labels")))
-    return scored.select(
+    model = fit(documents, table(spark, folder, "labels"))
+    labelled = learned(model) or model[1] != 0
+    return score(documents, model).select(
         "doc_id",
         F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.when(F.lit(labelled), (F.col("score") >= THRESHOLD).cast("int")).alias("predicted"),
     )

@@ -8,8 +8,9 @@ put through a fitted scale and shift. Learning runs in numpy on a bounded sample
 its most toxic window, the others by a random draw from all their windows.
 
 Defined results. Null, empty and wordless texts have one empty window, whose score is that of the bias. Equal texts
-get scores equal to six digits, to which scores are rounded, as single precision depends a little on the batch. Without any usable label every score is 0.5. Null ids are neither held out nor learned from; their
-rows are scored like others. An empty table gives an empty result. Labels, language, source and id are no inputs.
+get scores equal to six digits, to which scores are rounded, as single precision depends a little on the batch. With labels of one value
+only every score is their base rate, 0 or 1; without any usable label every score is 0.5 and `predicted` is null. Null
+ids are neither held out nor learned from; their rows are scored like others. An empty table gives an empty result. Labels, language, source and id are no inputs.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 8000
 #: Rounds of learning, texts' windows without toxicity drawn in each, windows to a step, and its rate.
 EPOCHS, EPOCH_WINDOWS, BATCH, RATE = 10, 5000, 256, 0.01
+#: Log odds that round to 0 and 1.
+CERTAIN = 50.0
 CACHED_WORDS = 150_000
 STEP_BYTES = 2 << 20
 ROWS_AT_ONCE = 4096
@@ -267,10 +270,11 @@ def gradients(weights: dict[str, np.ndarray], vocabulary, windows: np.ndarray, r
 
 
 def learn(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 1) -> tuple[dict[str, np.ndarray], float, float]:
-    """Weights, and the scale and shift of a text's largest logit."""
+    """Weights, and the scale and shift of a text's largest logit. Without two label values the scale is 0."""
     weights, rng = start_weights(seed), np.random.default_rng(seed)
-    if len({label for _, label in sample}) < 2:
-        return weights | {"out": np.zeros(2 * STATES, np.float32)}, 0.0, 0.0
+    values = {label for _, label in sample}
+    if len(values) < 2:
+        return weights | {"out": np.zeros(2 * STATES, np.float32)}, 0.0, 0.0 if not values else CERTAIN if values == {1} else -CERTAIN
     numbers: dict[bytes, int] = {}
     texts = [[numbers.setdefault(w, len(numbers)) for w in words_of(t)] for t, _ in sample]
     label = np.array([y for _, y in sample], np.float32)
@@ -333,18 +337,25 @@ def score(documents: DataFrame, model, *, text: str = "text", into: str = "score
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic"):
-    sample = labelled_sample(
+    sample, odds = labelled_sample(
         documents, labels, key=key, text=text, label=label, learn=fold(key, FOLDS) != HELD_OUT, rows=SAMPLE_ROWS, max_bytes=SAMPLE_BYTES
     )
-    return learn(sample)
+    weights, scale, shift = learn(sample)
+    return weights, scale, shift + odds
+
+
+def learned(model) -> bool:
+    """Whether the labels told texts apart; if not, scores are no reason to drop any."""
+    return model[1] != 0
 
 
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    scored = score(documents, fit(documents, table(spark, folder, "labels")))
-    return scored.select(
+    model = fit(documents, table(spark, folder, "labels"))
+    labelled = learned(model) or model[2] != 0
+    return score(documents, model).select(
         "doc_id",
         F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.when(F.lit(labelled), (F.col("score") >= THRESHOLD).cast("int")).alias("predicted"),
     )

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.common import column_ref
+from patronage.llm.common import column_ref, written
 
 
 class _Numbers(dict):
@@ -52,17 +53,35 @@ def fold(key: str, parts: int) -> Column:
     return F.crc32(column_ref(key).cast("string").cast("binary")) % parts
 
 
+def quotas(counts: dict[int, int], rows: int) -> dict[int, int]:
+    """How many of each label value to learn from: equal shares of `rows`; what a rare value leaves goes to the others."""
+    out: dict[int, int] = {}
+    for value, count in sorted(counts.items(), key=lambda c: (c[1], c[0])):
+        out[value] = min(count, (rows - sum(out.values())) // (len(counts) - len(out)))
+    return out
+
+
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, learn: Column, rows: int, max_bytes: int
-) -> list[tuple[str, int]]:
-    """Up to `rows` labelled documents that may be learned from, those with the smallest hash of their id.
+) -> tuple[list[tuple[str, int]], float]:
+    """Up to `rows` labelled documents that may be learned from, of each label value those with the smallest hash of
+    their id; and what to add to log odds learned from them, so that they hold for all such documents.
 
-    Texts of more than `max_bytes` are not learned from, which bounds what reaches the driver to rows * max_bytes. Of
-    several labels of one id the largest counts; of several documents with one id the least text.
+    Texts of more than `max_bytes` are not learned from, which bounds what reaches the driver to rows * max_bytes; only
+    documents that are there and within the bound count. Of several labels of one id the largest counts; of several
+    documents with one id the least text.
     """
     known = labels.where(column_ref(label).isNotNull() & column_ref(key).isNotNull() & learn)
     known = known.groupBy(column_ref(key).alias("key")).agg(F.max(column_ref(label)).cast("int").alias("label"))
-    chosen = F.broadcast(known.orderBy(F.xxhash64("key"), "key").limit(rows))  # `rows` ids and labels, not more
     texts = documents.select(column_ref(key).alias("key"), F.coalesce(column_ref(text), F.lit("")).alias("text"))
-    found = texts.where(F.octet_length("text") <= max_bytes).join(chosen, "key").groupBy("key", "label").agg(F.min("text").alias("text"))
-    return [(r.text, r.label) for r in sorted(found.collect(), key=lambda r: r.key)]
+    texts = texts.where(F.octet_length("text") <= max_bytes)
+    usable = written(known.join(texts.select("key"), "key", "left_semi"))
+    counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    taken = quotas(counts, rows)
+    chosen = usable.limit(0)
+    for value, n in taken.items():
+        chosen = chosen.union(usable.where(F.col("label") == value).orderBy(F.xxhash64("key"), "key").limit(n))
+    # `rows` ids and labels are broadcast, not more
+    found = texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+    sample = [(r.text, r.label) for r in sorted(found.collect(), key=lambda r: r.key)]
+    return sample, math.log(counts[1] * taken[0] / (taken[1] * counts[0])) if {0, 1} <= counts.keys() else 0.0

@@ -1,6 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
-A text's words are its runs of ASCII letters (lowered), digits and bytes above 0x7F. Each word enters as an embedding
+A text's words are its runs of ASCII letters (lowered), digits and bytes above 0x7F; runs of more than MAX_WORD bytes are
+read as overlapping pieces, each a word, so that every byte n-gram of a text without blanks counts. Each word enters as an embedding
 found by its hash beside the mean of embeddings of its bytes and byte n-grams. Overlapping windows of WINDOW words, STRIDE
 apart, are read by one recurrent network forwards and one backwards; attention weighs their states into one vector, and
 a linear layer gives the window's logit. All windows of the whole text are scored; the text's logit is the largest,
@@ -42,13 +43,22 @@ CERTAIN = 50.0
 CACHED_WORDS = 150_000
 STEP_BYTES = 2 << 20
 ROWS_AT_ONCE = 4096
-#: Bytes of a word that give n-grams, and the longest n-gram.
+#: The longest word in bytes, and the longest n-gram.
 MAX_WORD, MAX_GRAM = 40, 5
 _WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_WORD_BYTES).split()
+    words = (text or "").encode().translate(_WORD_BYTES).split()
+    if max(map(len, words), default=0) <= MAX_WORD:
+        return words
+    return [piece for w in words for piece in ((w,) if len(w) <= MAX_WORD else pieces(w))]
+
+
+def pieces(run: bytes) -> list[bytes]:
+    """Pieces of MAX_WORD bytes that overlap so far that each n-gram of the run lies in one."""
+    overlap = MAX_GRAM - 1
+    return [run[k : k + MAX_WORD] for k in range(0, max(1, len(run) - overlap), MAX_WORD - overlap)]
 
 
 def window_starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +208,7 @@ def read_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A word stands between two marks; its n-grams have one to MAX_GRAM bytes.
     """
     buckets = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int64)
-    marked = [b"<" + w[:MAX_WORD] + b">" for w in words]
+    marked = [b"<" + w + b">" for w in words]
     raw = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     sizes = np.array([len(w) for w in marked], np.int64)
     word = np.repeat(np.arange(len(words)), sizes)

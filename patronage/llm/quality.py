@@ -1,6 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, learned with FTRL, scored as sparse dot products.
 
-A text's words are its runs without ASCII white space. Each position gives four n-grams: the word, the word with the
+A text's words are its runs without ASCII white space, longer ones in consecutive pieces of at most WORD_BYTES bytes and
+WORD_SIGNS signs of a shape, so that texts without blanks are read to their end. Each position gives four n-grams: the word, the word with the
 one after it, the word's shape, and the shapes of three words in a row. A shape tells of upper and lower case, digits
 and which signs stand before, in and after the word, so words not seen in learning still count. An n-gram's weight is
 found by its hash; a text's score is the logistic function of the mean weight over positions, times SCALE, plus a bias.
@@ -36,6 +37,8 @@ BITS = 18
 SCALE = 10.0
 #: FTRL: learning rate and its smoothing, and the weights of the absolute and squared penalties.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
+#: Bounds of a word; longer runs are read in pieces.
+WORD_BYTES, WORD_SIGNS = 64, 12
 #: Log odds that round to 0 and 1.
 CERTAIN = 50.0
 CACHED_WORDS = 150_000
@@ -46,7 +49,7 @@ _RUNS = re.compile(rb"[A-Z]+|[a-z]+|[0-9]+|[\x80-\xff]+|(.)\1*", re.S)
 def shape(word: bytes) -> bytes:
     """Runs of capitals, letters, digits and bytes above 0x7F by one sign each, other signs as they are, three at most."""
     out = []
-    for m in _RUNS.finditer(word[:64]):
+    for m in _RUNS.finditer(word):
         c = m.group()
         if 65 <= c[0] <= 90:
             out.append(b"A" if len(c) > 1 else b"C")
@@ -57,7 +60,32 @@ def shape(word: bytes) -> bytes:
             out.append(b"0")
         else:
             out.append(c[:3])
-    return b"".join(out[:12])
+    return b"".join(out)
+
+
+def pieces(run: bytes) -> list[bytes]:
+    """A run without white space in consecutive pieces within the bounds of a word."""
+    out, begin, signs, letters = [], 0, 0, False
+    for m in _RUNS.finditer(run):
+        start, end = m.span()
+        small = 97 <= run[start] <= 122 or run[start] >= 128
+        if not (small and letters):  # small letters and bytes above 0x7F in a row are one sign
+            if signs == WORD_SIGNS:
+                out.append(run[begin:start])
+                begin, signs = start, 0
+            signs += 1
+        letters = small
+        while end - begin > WORD_BYTES:
+            out.append(run[begin : begin + WORD_BYTES])
+            begin, signs = begin + WORD_BYTES, 1
+    return [*out, run[begin:]]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    runs = (text or "").encode().split()
+    if max(map(len, runs), default=0) <= WORD_SIGNS:
+        return runs
+    return [piece for run in runs for piece in ((run,) if len(run) <= WORD_SIGNS else pieces(run))]
 
 
 def _hash_words(words: list[bytes]) -> np.ndarray:
@@ -91,7 +119,7 @@ class Scorer:
         self.table = WordTable(_hash_words, CACHED_WORDS)
 
     def grams(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        numbers, at, rows = self.table.look_up([(t or "").encode().split() for t in texts])
+        numbers, at, rows = self.table.look_up([words_of(t) for t in texts])
         hashes = rows[numbers]
         return *features(hashes[:, 0], hashes[:, 1], at), at
 

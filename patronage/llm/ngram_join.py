@@ -418,21 +418,7 @@ class NgramJoin:
         queries = rooted.join(asked, "root").select("tree", "id", "n_shingles", "point", F.lit(True).alias("asks"))
         trees = asked.select(F.col("tree").alias("root")).distinct()
         members = rooted.join(trees, "root").select(F.col("root").alias("tree"), "id", "n_shingles", "point", F.lit(False).alias("asks"))
-        both = members.unionByName(queries)
-        counts = both.groupBy("tree").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("m"))
-        block = lambda c: F.ceil(F.col(c) / BLOCK).cast("int").alias(c)
-        blocks = counts.select("tree", block("q"), block("m"))
-        own = F.pmod(F.xxhash64("id"), F.when(F.col("asks"), F.col("q")).otherwise(F.col("m"))).cast("int")
-        others = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("m")).otherwise(F.col("q")) - 1))
-        dealt = both.join(blocks, "tree").withColumn("own", own).withColumn("other", others)
-        small = (F.col("q") == 1) & (F.col("m") == 1)
-        buckets = max(1, met.count() // (2 * BLOCK))
-        dealt = dealt.select(
-            F.when(small, F.pmod(F.xxhash64("tree"), F.lit(buckets))).otherwise(F.col("tree")).alias("place"),
-            F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("qb"),
-            F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("mb"),
-            small.alias("small"), "tree", "asks", "id", "n_shingles", "point",
-        )
+        dealt = self.dealt(members.unionByName(queries))
 
         def search(group: pa.Table) -> pa.Table:
             group = group.sort_by([("tree", "ascending"), ("id", "ascending")])
@@ -446,6 +432,27 @@ class NgramJoin:
         found = dealt.groupBy("small", "place", "qb", "mb").applyInArrow(search, "a bigint, b bigint")
         return found.where("a <> b").distinct().join(tried, ["a", "b"], "left_anti")
 
+    @staticmethod
+    def dealt(both: DataFrame) -> DataFrame:
+        """Members and askers of trees with the place where they meet: small, place, qb, mb. Trees of one block of each
+        share places of about 8 * BLOCK rows; of the others each pair of blocks has its own."""
+        counts = both.groupBy("tree").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("m"))
+        counts = written(counts)
+        shared = counts.where((F.col("q") <= BLOCK) & (F.col("m") <= BLOCK)).agg(F.sum(F.col("q") + F.col("m"))).first()[0]
+        buckets = max(1, (shared or 0) // (8 * BLOCK))
+        block = lambda c: F.ceil(F.col(c) / BLOCK).cast("int").alias(c)
+        blocks = counts.select("tree", block("q"), block("m"))
+        own = F.pmod(F.xxhash64("id"), F.when(F.col("asks"), F.col("q")).otherwise(F.col("m"))).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("m")).otherwise(F.col("q")) - 1))
+        dealt = both.join(blocks, "tree").withColumn("own", own).withColumn("other", others)
+        small = (F.col("q") == 1) & (F.col("m") == 1)
+        return dealt.select(
+            F.when(small, F.pmod(F.xxhash64("tree"), F.lit(buckets))).otherwise(F.col("tree")).alias("place"),
+            F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("qb"),
+            F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("mb"),
+            small.alias("small"), "tree", "asks", "id", "n_shingles", "point",
+        )
+
     def run(self) -> tuple[DataFrame, DataFrame]:
         """All rows with n_shingles and component_id; and links that span every component."""
         measured = written(self.measured())

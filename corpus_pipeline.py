@@ -24,6 +24,10 @@ from patronage.llm import decontaminate, ngram_join, pieces, quality, toxicity
 from patronage.llm.common import table, written
 
 
+#: Near duplicates share this many hundredths of their shingles of so many words; op2_ngram_join has its own setting.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     if not toxicity.learned(model):
@@ -41,7 +45,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes, _ = ngram_join.ngram_join(docs)
+    classes, _ = ngram_join.ngram_join(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     dropped = classes.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__dropped")).distinct()
     kept = docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")

@@ -6,7 +6,7 @@ and the groups serve twice.
 Which texts meet: sets that link differ in at most r = floor((100 - p) * (|A| + |B|) / (100 + p)) shingles. With more
 than r groups at least one group holds the same shingles in both sets, so every set is entered under the content of
 each of its groups, with groups for its band of sizes, and for the next band if a partner may be there. Sets of up to
-TINY shingles differ in at most one and are entered whole and with each one left out. No link is lost; a passage that
+TINY shingles differ in at most one and are entered whole and, where so small a part still links, with each one left out. No link is lost; a passage that
 many texts share gives no common entry unless it fills a group alone.
 
 What is compared: the counts of a set's shingles in DIMENSIONS groups are a point. The overlap of two sets is at most
@@ -84,7 +84,8 @@ def entries(hashes: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarra
     whole = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64)))
     whole = whole[at[1:]] - whole[at[:-1]]
     small = np.flatnonzero((band == 0) & (sizes > 0))
-    of_small = np.isin(np.repeat(np.arange(len(sizes)), sizes), small)
+    shrinks = small[100 * (sizes[small] - 1) >= percent * sizes[small]]  # others link with no set of one shingle less
+    of_small = np.isin(np.repeat(np.arange(len(sizes)), sizes), shrinks)
     owner = np.repeat(np.arange(len(sizes)), sizes)[of_small]
     owners += [small, owner]
     signatures += [mix(whole[small] + np.uint64(1)), mix(whole[owner] - spread[of_small] + np.uint64(1))]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patronage.llm import decontaminate, licenses, ngram_join, pieces, quality, token_counts, token_files, toxicity, vectors, warc
+from patronage.llm import decontaminate, licenses, ngram_join, pieces, quality, runs, token_counts, token_files, toxicity, vectors, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_token_files": token_files.op8_token_files,
         "op9_quality": quality.op9_quality,
         "op10_vectors": vectors.op10_vectors,
+        "op11_periodic_runs": runs.op11_periodic_runs,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.OP6_SQL,
         "op7_licenses": licenses.OP7_SQL,
         "op10_vectors": vectors.OP10_SQL,
+        "op11_periodic_runs": runs.OP11_SQL,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patronage.llm import decontaminate, licenses, ngram_join, pieces, quality, runs, token_counts, token_files, toxicity, vectors, warc
+from patronage.llm import decontaminate, licenses, mixing, ngram_join, pieces, quality, runs, token_counts, token_files, toxicity, vectors, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_quality": quality.op9_quality,
         "op10_vectors": vectors.op10_vectors,
         "op11_periodic_runs": runs.op11_periodic_runs,
+        "op12_source_mix": mixing.op12_source_mix,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_licenses": licenses.OP7_SQL,
         "op10_vectors": vectors.OP10_SQL,
         "op11_periodic_runs": runs.OP11_SQL,
+        "op12_source_mix": mixing.OP12_SQL,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from patronage.llm import decontaminate, licenses, mixing, ngram_join, pieces, quality, runs, token_counts, token_files, toxicity, vectors, warc
+from patronage.llm import decontaminate, licenses, mixing, ngram_join, pieces, quality, runs, token_counts, token_files, toxicity, vector_codes, vectors, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_vectors": vectors.op10_vectors,
         "op11_periodic_runs": runs.op11_periodic_runs,
         "op12_source_mix": mixing.op12_source_mix,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_vectors": vectors.OP10_SQL,
         "op11_periodic_runs": runs.OP11_SQL,
         "op12_source_mix": mixing.OP12_SQL,
+        "op13_vector_codes": vector_codes.OP13_SQL,
     }

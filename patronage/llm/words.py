@@ -83,5 +83,6 @@ def labelled_sample(
         chosen = chosen.union(usable.where(F.col("label") == value).orderBy(F.xxhash64("key"), "key").limit(n))
     # `rows` ids and labels are broadcast, not more
     found = texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
-    sample = [(r.text, r.label) for r in sorted(found.collect(), key=lambda r: r.key)]
+    found = found.toArrow().sort_by("key")
+    sample = list(zip(found.column("text").to_pylist(), found.column("label").to_pylist(), strict=True))
     return sample, math.log(counts[1] * taken[0] / (taken[1] * counts[0])) if {0, 1} <= counts.keys() else 0.0

@@ -112,20 +112,21 @@ class PieceModel:
         for end, (piece, size) in self.automaton.iter(text):
             longest[end - size + 1] = piece
         length, fits, shorter = self.length, self.fits, self.shorter
-        possible, out, at, end = (1 << (len(text) + 1)) - 1, [], 0, len(text)
+        # a bit for each position, set where the rest cannot be encoded from there
+        failed, out, at, end = bytearray((len(text) >> 3) + 1), [], 0, len(text)
         piece = longest[0]
         while at < end:
             last = out[-1] if out else -1
             while True:
                 stop = at + length[piece]
-                if possible >> stop & 1 and (last < 0 and stop < end or fits(last, piece)):
+                if not failed[stop >> 3] >> (stop & 7) & 1 and (last < 0 and stop < end or fits(last, piece)):
                     out.append(piece)
                     at = stop
                     piece = longest[at] if at < end else -1
                     break
                 piece = shorter(piece)
                 if piece < 0:
-                    possible &= ~(1 << at)
+                    failed[at >> 3] |= 1 << (at & 7)
                     piece = out.pop()
                     at -= length[piece]
                     break

@@ -21,7 +21,7 @@ import itertools
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -33,6 +33,7 @@ from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
 from patronage.llm.common import column_ref, ship, sub_batches, table, written
+from patronage.llm.words import _Numbers
 from patronage.sources.durable import scratch_path
 
 MODEL = "word_bpe_49k.json"
@@ -46,15 +47,45 @@ STEP_BYTES = 4 << 20
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters of ASCII and Latin-1; or digits; or ASCII signs but the apostrophe; or all that is left of a part.
 _WORD = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])"
-_CUT = re.compile(_WORD + rb"|[0-9]++(?![\x80-\xff])|[\x00-\x08\x0e-\x1f!-&(-/:-@\[-`{-\x7f]++(?!['\x80-\xff])|.+", re.S)
+#: Parts hold no blank, so a blank stands between them.
+_CUT = re.compile(_WORD + rb"|[0-9]++(?![\x80-\xff])|[\x00-\x08\x0e-\x1f!-&(-/:-@\[-`{-\x7f]++(?!['\x80-\xff])|[^ ]+| ", re.S)
 _IS_WORD = re.compile(_WORD)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-class _Parts(dict):
-    def __missing__(self, part: bytes) -> int:
-        number = self[part] = len(self)
-        return number
+class CodedTable:
+    """Ids of different byte strings, each encoded once; the first CACHED_PARTS stay, later ones are for one step."""
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+        self.encode, self.numbers = encode, _Numbers()
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def look_up(self, items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all items one after another, and the n + 1 offsets between items."""
+        known, used = len(self.numbers), self.used
+        which = np.fromiter(map(self.numbers.__getitem__, items), np.int64, len(items))
+        added = list(itertools.islice(self.numbers, known, None))
+        if added:
+            self._add(*self.encode(added), known)
+        sizes = self.size[which]
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.flat[np.arange(at[-1]) + np.repeat(self.start[which] - at[:-1], sizes)]
+        if len(self.numbers) > CACHED_PARTS:
+            for item in added:
+                del self.numbers[item]
+            self.used = used
+        return ids, at
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray, first: int) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while first + len(sizes) > len(self.size):
+            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[first : first + len(sizes)] = sizes
+        self.start[first : first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
 
 
 class CachedTokenizer:
@@ -67,11 +98,8 @@ class CachedTokenizer:
         splits = [p.get("pattern", {}).get("Regex") for p in (config.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.cuts = normalizers == ["NFC", "Replace", "Lowercase"] and splits[:1] == [_SPLIT]
         self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in config.get("added_tokens", [])) or rb"(?!)")
-        self.parts = _Parts()
         self.signs = {b: self._sign(b) for b in range(0x80, 0x100)}
-        self.small: dict[bytes, tuple[int, ...]] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.parts, self.cuts_of = CodedTable(self._encode_parts), CodedTable(self._encode_cuts)
 
     def _sign(self, byte: int) -> str:
         """The character by which byte-level vocabularies spell a byte above 0x7F."""
@@ -82,55 +110,42 @@ class CachedTokenizer:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[bytes]) -> list[tuple[int, ...]]:
-        cut = [_CUT.findall(p) for p in parts]
-        small, model = self.small, self.library.model
-        new = dict.fromkeys(c for cs in cut for c in cs if c not in small)
-        words = {c: c.decode().lower().encode().decode("latin-1").translate(self.signs) for c in new if _IS_WORD.fullmatch(c)}
-        fresh = {c: tuple(t.id for t in model.tokenize(w)) for c, w in words.items()}
-        rest = [c for c in new if c not in fresh]
-        fresh.update(zip(rest, map(tuple, self._whole([c.decode() for c in rest])), strict=True))
-        look = {**fresh}.get
-        out = [tuple(itertools.chain.from_iterable(small.get(c) or look(c, ()) for c in cs)) for cs in cut]
-        if len(small) < CACHED_PARTS:
-            small.update(fresh)
-        return out
-
-    def _add(self, parts: list[bytes], first: int) -> None:
-        encoded = self._encode_parts(parts)
+    def _encode_cuts(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        encoded: list = [()] * len(cuts)
+        tokenize, rest = self.library.model.tokenize, []
+        for k, cut in enumerate(cuts):
+            if cut == b" ":
+                continue
+            if not _IS_WORD.fullmatch(cut):
+                rest.append(k)
+            elif cut.isascii():
+                encoded[k] = [t.id for t in tokenize(cut.decode())]
+            else:
+                encoded[k] = [t.id for t in tokenize(cut.decode().lower().encode().decode("latin-1").translate(self.signs))]
+        for k, ids in zip(rest, self._whole([cuts[k].decode() for k in rest]), strict=True):
+            encoded[k] = ids
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while first + len(parts) > len(self.size):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(encoded), np.int32, total)
-        self.size[first : first + len(parts)] = sizes
-        self.start[first : first + len(parts)] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
+        return np.fromiter(itertools.chain.from_iterable(encoded), np.int32, int(sizes.sum())), sizes
+
+    def _encode_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        cuts = _CUT.findall(b" ".join(parts))
+        ids, at = self.cuts_of.look_up(cuts)
+        blanks = [k for k, cut in enumerate(cuts) if cut == b" "]
+        return ids, np.diff(at[np.array([0, *blanks, len(cuts)])])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the n + 1 offsets between texts."""
-        known, used = len(self.parts), self.used
-        number, numbers, counts, whole = self.parts.__getitem__, [], [0], {}
+        words: list[bytes] = []
+        counts, whole = [0], {}
         for k, text in enumerate(texts):
             raw = (text or "").encode()
             if not self.cuts or self.special.search(raw):
                 whole[k] = text or ""
             else:
-                numbers.extend(map(number, raw.translate(_LOWER).split()))
-            counts.append(len(numbers))
-        added = list(itertools.islice(self.parts, known, None))
-        self._add(added, known)
-        which = np.array(numbers, np.int64)
-        sizes = self.size[which]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[which] - ends[:-1], sizes)]
-        at = ends[np.array(counts)]
-        if len(self.parts) > CACHED_PARTS:
-            for part in added:
-                del self.parts[part]
-            self.used = used
+                words.extend(raw.translate(_LOWER).split())
+            counts.append(len(words))
+        ids, at = self.parts.look_up(words)
+        at = at[np.array(counts)]
         if whole:
             found = dict(zip(whole, self._whole(list(whole.values())), strict=True))
             lists = [np.array(found[k], np.int32) if k in found else ids[at[k] : at[k + 1]] for k in range(len(texts))]

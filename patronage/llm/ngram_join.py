@@ -148,6 +148,18 @@ def counts_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.bincount(slot, minlength=DIMENSIONS * (len(at) - 1)).astype(np.int32).reshape(-1, DIMENSIONS)
 
 
+def packed_points(points: np.ndarray) -> list[bytes]:
+    """One byte to a count; four where a count needs more."""
+    narrow = points.astype(np.uint8)
+    return [(n if m <= 255 else p).tobytes() for p, n, m in zip(points, narrow, points.max(1, initial=0).tolist())]
+
+
+def unpacked_points(packed: list[bytes]) -> np.ndarray:
+    if all(len(p) == DIMENSIONS for p in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, DIMENSIONS).astype(np.int32)
+    return np.stack([np.frombuffer(p, np.uint8 if len(p) == DIMENSIONS else np.int32).astype(np.int32) for p in packed])
+
+
 def needed_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """The fewest common shingles of sets of these sizes that link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -228,12 +240,12 @@ def boxes_of(table: pa.Table) -> pa.Table:
     """For each root the largest coordinates and the smallest size of its rows."""
     table = table.sort_by("root")
     roots, sizes = table.column("root").to_numpy(), table.column("n_shingles").to_numpy()
-    points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+    points = unpacked_points(table.column("point").to_pylist())
     begins = np.flatnonzero(np.append(True, roots[1:] != roots[:-1])) if len(roots) else np.zeros(0, np.int64)
     top = np.maximum.reduceat(points, begins) if len(begins) else points
     low = np.minimum.reduceat(sizes, begins) if len(begins) else sizes
     return pa.table(
-        {"root": pa.array(roots[begins]), "n_shingles": pa.array(low), "point": pa.array([x.tobytes() for x in top], pa.binary())}
+        {"root": pa.array(roots[begins]), "n_shingles": pa.array(low), "point": pa.array(packed_points(top), pa.binary())}
     )
 
 
@@ -255,7 +267,7 @@ class NgramJoin:
         def measure(texts: pa.Array) -> list[pa.Array]:
             hashes, at = shingle_hashes(texts, words)
             points = counts_of(hashes, at)
-            return [pa.array(np.diff(at), pa.int64()), pa.array([p.tobytes() for p in points], pa.binary())]
+            return [pa.array(np.diff(at), pa.int64()), pa.array(packed_points(points), pa.binary())]
 
         return add_columns(self.rows, "text", "n_shingles bigint, point binary", lambda: measure, STEP_BYTES).drop("text")
 
@@ -317,9 +329,7 @@ class NgramJoin:
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                left, right = (
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, DIMENSIONS) for c in ("point_a", "point_b")
-                )
+                left, right = (unpacked_points(batch.column(c).to_pylist()) for c in ("point_a", "point_b"))
                 needed = needed_overlap(batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), percent)
                 passed = pa.array(np.minimum(left, right).sum(1) >= needed)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(passed), batch.column("b").filter(passed)], names=["a", "b"])
@@ -388,7 +398,7 @@ class NgramJoin:
         def meet(group: pa.Table) -> pa.Table:
             group = group.sort_by([("list", "ascending"), ("other", "ascending"), ("root", "ascending")])
             first, second, roots, sizes = (group.column(c).to_numpy() for c in ("list", "other", "root", "n_shingles"))
-            boxes_here = np.frombuffer(b"".join(group.column("point").to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+            boxes_here = unpacked_points(group.column("point").to_pylist())
             cuts = np.flatnonzero((first[1:] != first[:-1]) | (second[1:] != second[:-1])) + 1
             pairs = root_pairs(roots, sizes, boxes_here, np.append(0, cuts), np.append(cuts, len(roots)), percent)
             return pa.table({"r": pa.array(pairs[:, 0], pa.int64()), "s": pa.array(pairs[:, 1], pa.int64())})
@@ -425,7 +435,7 @@ class NgramJoin:
             group = group.sort_by([("tree", "ascending"), ("id", "ascending")])
             trees, ids, sizes = (group.column(c).to_numpy() for c in ("tree", "id", "n_shingles"))
             asks = group.column("asks").to_numpy()
-            points_here = np.frombuffer(b"".join(group.column("point").to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+            points_here = unpacked_points(group.column("point").to_pylist())
             cuts = np.flatnonzero(trees[1:] != trees[:-1]) + 1
             pairs = meeting_pairs(ids, asks, sizes, points_here, np.append(0, cuts), np.append(cuts, len(ids)), percent)
             return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})

@@ -36,8 +36,6 @@ WEIGHTS, SHARE_PERCENT, MOST = (5, 2, 1), 150, 2
 BLOCK_WORDS, SHARD_SLOTS = 512, 1024
 #: Rounds of a permutation.
 ROUNDS = 24
-#: Rows of one bucket of a running sum, about.
-BUCKET_ROWS = 1 << 16
 HASH_BITS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,7 +71,8 @@ def sums_before(df: DataFrame, group: str, bucket: str, order: Sequence, value:
 
 
 def bucket_bits(rows: int) -> int:
-    return max(0, (max(rows, 1) - 1) // BUCKET_ROWS).bit_length()
+    """Buckets number about the root of the rows, so that neither they nor the rows of one are many."""
+    return rows.bit_length() // 2
 
 
 def weighed(sources: DataFrame, weights: Sequence[int], share_percent: int, most: int) -> DataFrame:
@@ -187,7 +186,7 @@ def _slots(spark: SparkSession, sources: DataFrame, slots: int, count: int, bloc
     drawn = in_cells(drawn, "u", sources.select("source_no", "low", "high"), "low", "high", slots, count)
     drawn = drawn.select("id", F.expr(f"id div {shard_slots}").alias("shard"), "source_no")
     # The multinomial counts of each shard, and where in its source's slots each shard begins.
-    counts = drawn.groupBy("source_no", "shard").agg(F.count("*").alias("n")).withColumn("bucket", F.expr(f"shard div {BUCKET_ROWS}"))
+    counts = drawn.groupBy("source_no", "shard").agg(F.count("*").alias("n")).withColumn("bucket", F.shiftright("shard", bucket_bits(slots // shard_slots)))
     counts = written(sums_before(counts, "source_no", "bucket", ["shard"], "n", "begin"))
     totals = counts.groupBy("source_no").agg(F.sum("n").alias("drawn"))
     known = sources.join(totals, "source_no", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))

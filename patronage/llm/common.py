@@ -98,9 +98,10 @@ def add_columns(df: DataFrame, source: str, added: str, make: Callable, step_byt
     ship(df.sparkSession)
     names = [f.name for f in StructType.fromDDL(added)]
     kept = [c for c in df.columns if c not in names or c == source]
-    fed = df.select(*[column_ref(c) for c in kept])
+    fed = df.select(*[column_ref(c).alias(f"c{k}") for k, c in enumerate(kept)])  # names with dots are not found in there
     out = [c for c in kept if c not in names]
-    schema = StructType([*fed.select(*[column_ref(c) for c in out]).schema, *StructType.fromDDL(added)])
+    inner = [f"c{kept.index(c)}" for c in out]
+    schema = StructType([*fed.select(*inner).schema, *StructType.fromDDL(added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
@@ -109,6 +110,6 @@ def add_columns(df: DataFrame, source: str, added: str, make: Callable, step_byt
             for part in sub_batches(batch.column(kept.index(source)), step_bytes):
                 rows = batch.slice(begin, len(part))
                 begin += len(part)
-                yield pa.RecordBatch.from_arrays([*(rows.column(kept.index(c)) for c in out), *compute(part)], names=[*out, *names])
+                yield pa.RecordBatch.from_arrays([*(rows.column(kept.index(c)) for c in out), *compute(part)], names=[*inner, *names])
 
-    return fed.mapInArrow(run, schema)
+    return fed.mapInArrow(run, schema).toDF(*out, *names)

@@ -23,8 +23,8 @@ def test_one_label_value_drops_nothing(spark, documents, tmp_path, value, score)
     known = TEXTS if value is not None else []
     labels = spark.createDataFrame([(k, value, value) for k, _ in known], "doc_id bigint, quality int, toxic int")
     labels.write.parquet(f"{folder}/labels.parquet")
-    for op in (toxicity.op4_toxicity, quality.op9_quality):
-        assert {(r.score, r.predicted) for r in op(spark, folder).collect()} == {(score, value)}
+    for op, least in ((toxicity.op4_toxicity, 0.5), (quality.op9_quality, 0.7)):
+        assert {(r.score, r.predicted) for r in op(spark, folder).collect()} == {(score, int(score >= least))}
     for stage in (corpus_pipeline.toxicity_stage, corpus_pipeline.quality_stage):
         assert stage(spark, documents, folder).count() == len(TEXTS)
 

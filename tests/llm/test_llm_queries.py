@@ -38,9 +38,9 @@ def test_query_equals_sql(spark, con, name):
     assert difference(df, con, SQL[name]) is None
 
 
-def test_ten_operators_and_the_pipeline():
+def test_all_operators_and_the_pipeline():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert QUERIES.keys() <= entry.queries().keys()
 
@@ -123,6 +123,15 @@ def test_classifier_on_what_was_held_out(spark, name, module, label, remainder,
     assert np.mean(right[0]) >= least[0] and np.mean(right[1]) >= least[1]
 
 
+def near_sql(words, percent):
+    """The SQL of the n-gram join for other settings than the query's."""
+    sql = ngram_join.OP2_SQL
+    for old, new in (("len(w) < 4", f"len(w) < {words}"), ("p + 3]", f"p + {words - 1}]"), ("len(w) - 3,", f"len(w) - {words - 1},"), (">= 85 *", f">= {percent} *")):
+        assert sql.count(old) == 1
+        sql = sql.replace(old, new)
+    return sql
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, con, texts):
     """The trained stages by their scores; the others by SQL and the library over what these kept."""
     documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
@@ -134,7 +143,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, con, texts):
     con.execute("CREATE SCHEMA stage; CREATE TABLE stage.kept (doc_id BIGINT)")
     con.executemany("INSERT INTO stage.kept VALUES (?)", [(k,) for k in kept])
     here = "(SELECT * FROM main.documents WHERE doc_id IN (SELECT doc_id FROM stage.kept)) AS documents"
-    rows = con.execute(ngram_join.OP2_SQL.replace("FROM documents)", f"FROM {here})").replace("FROM documents UNION", f"FROM {here} UNION").replace("FROM documents d", f"FROM {here[:-13]} d")).fetchall()
+    rows = con.execute(near_sql(corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SIMILAR_PERCENT).replace("FROM documents)", f"FROM {here})").replace("FROM documents UNION", f"FROM {here} UNION").replace("FROM documents d", f"FROM {here[:-13]} d")).fetchall()
     assert len(rows) == len(kept)
     left = {doc_id for doc_id, _, component in rows if doc_id == component}
     dirty = {r[0] for r in con.execute(f"SELECT doc_id FROM ({decontaminate.OP5_SQL}) WHERE contaminated").fetchall()}

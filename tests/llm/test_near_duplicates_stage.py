@@ -1,4 +1,4 @@
-"""The near_duplicates stage's own setting: five words and 80 hundredths."""
+"""The near_duplicates stage: its own setting, five words and 80 hundredths, and rows that repeat an id."""
 
 import corpus_pipeline
 
@@ -21,3 +21,12 @@ def test_copies_that_only_five_words_and_80_find(spark):
     rows = [(k, " ".join(t)) for k, t in enumerate((base, longer, other, apart))]
     kept = corpus_pipeline.near_duplicates_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
+def test_rows_of_one_id_stay_unless_equal_or_linked(spark):
+    base = [f"w{k}" for k in range(200)]
+    text, near, other = " ".join(base), " ".join(base + ["x"]), " ".join(f"v{k}" for k in range(50))
+    rows = [(1, text), (1, text), (1, None), (1, ""), (1, near), (1, other), (2, "few words"), (None, text), (None, text), (3, other + " y")]
+    kept = corpus_pipeline.near_duplicates_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, None), (1, ""), (1, text), (1, other), (2, "few words"), (None, text), (None, text)], key=repr)

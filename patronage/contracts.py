@@ -108,8 +108,9 @@ def _exact(df: DataFrame, field: T.StructField, name: str) -> Column:
     return column.cast(wanted)
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """Only the contract's columns, in its types; other columns never reach the job. No value loses digits."""
+def conform(df: DataFrame, name: str, others: bool = False) -> DataFrame:
+    """The contract's columns in its types; no value loses digits. Other columns never reach the job, unless
+    ``others`` carries them along behind."""
     contract = SOURCES[name]
     present = set(df.columns)
     missing = [f for f in contract.schema.names if f not in present and f not in contract.optional]
@@ -117,7 +118,9 @@ def conform(df: DataFrame, name: str) -> DataFrame:
         missing.append("UnitPrice")
     if missing:
         raise ValueError(f"{name} lacks columns: {', '.join(missing)}")
-    return df.select(*[_exact(df, f, name).alias(f.name) for f in contract.schema if f.name in present])
+    own = [_exact(df, f, name).alias(f.name) for f in contract.schema if f.name in present]
+    known = set(contract.schema.names)
+    return df.select(*own, *[F.col(f"`{c}`") for c in df.columns if others and c not in known])
 
 
 def require(frames: Mapping[str, DataFrame | None], *names: str) -> list[DataFrame]:

@@ -24,8 +24,9 @@ SUMMARY_COLUMNS = (
 
 
 def net_amount(details: DataFrame) -> Column:
-    """Line total after discount. A source that already holds the gross amount is used as it is."""
-    gross = F.col("GrossAmount") if "GrossAmount" in details.columns else F.col("Quantity") * F.col("UnitPrice")
+    """Line total after discount. A gross amount that the source already holds is used as it is."""
+    known = [c for c in (("GrossAmount",), ("Quantity", "UnitPrice")) if set(c) <= set(details.columns)]
+    gross = F.coalesce(*[F.col(c[0]) if len(c) == 1 else F.col(c[0]) * F.col(c[1]) for c in known])
     return gross * (F.lit(1) - F.col("Discount"))
 
 

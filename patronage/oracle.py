@@ -477,6 +477,13 @@ def oracle_sql() -> dict[str, str]:
         "q_bronze_slice": _from(
             ORDERS, f"SELECT {order_columns} FROM o WHERE OrderDate >= DATE '{EARLIER_DATE}'"
         ),
+        "q_bronze_evolved": _from(
+            ORDERS,
+            f"""SELECT {order_columns}, CAST(CASE WHEN early THEN floor(OrderTotal) ELSE OrderTotal END AS DOUBLE) AS OrderTotal,
+                CASE WHEN early THEN 'T' || (OrderID % 7) END AS Tag, CASE WHEN NOT early THEN OrderID % 5 END AS Level,
+                CASE WHEN early THEN '{EARLIER_DATE}' ELSE '{DATA_DATE}' END AS _ingestion_date
+                FROM (SELECT *, OrderDate < DATE '{EARLIER_DATE}' AS early FROM o)""",
+        ),
         "q_profile_merge": _profile_merge(),
         "q_replace_by_date": _from(
             HISTORY,

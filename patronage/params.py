@@ -25,6 +25,7 @@ class RunParams:
     ("keep"), one row with the smallest address ("first"), or fails the job ("error").
     ``strict_types``: cast money to decimal(15,2) and rates to decimal(5,2), failing on overflow,
     instead of the wider types that hold any total.
+    ``all_source_columns``: the bronze layer keeps columns beyond the contract's as well.
     """
 
     data_date: date = field(default_factory=_yesterday)
@@ -41,6 +42,7 @@ class RunParams:
     null_safe_name: bool = False
     on_duplicate_address: str = "keep"
     strict_types: bool = False
+    all_source_columns: bool = False
     started_at: datetime = field(default_factory=datetime.now)
 
     def __post_init__(self) -> None:

@@ -51,7 +51,7 @@ def write_slice(
 ) -> tuple[int, DataFrame]:
     """Writes the run date's partition of a layer table, metadata columns added; the rows and the slice."""
     stamped = with_run_metadata(df, layer, p.data_date, p.started_at)
-    rows = store.replace_partitions(stamped, layer, name, {RUN_DATE[layer]: p.data_date})
+    rows = store.replace_partitions(stamped, layer, name, {RUN_DATE[layer]: p.data_date}, evolve=True)
     if rows == 0:  # an empty partition leaves no folder to read
         return 0, store.spark.createDataFrame([], df.schema)
     return rows, read_slice(store, layer, name, p)
@@ -65,8 +65,9 @@ def read_slice(store: TableStore, layer: str, name: str, p: RunParams) -> DataFr
 
 
 def ingest_bronze(store: TableStore, source: Source, name: str, p: RunParams) -> tuple[int, DataFrame]:
-    """One source table into the bronze layer, read once."""
-    return write_slice(store, conform(source.table(name), name), "bronze", f"dbo.{name}", p)
+    """One source table into the bronze layer, read once. A source may gain, lose and widen columns from one ingest to
+    the next: the stored table follows, and earlier dates stay as they are."""
+    return write_slice(store, conform(source.table(name), name, p.all_source_columns), "bronze", f"dbo.{name}", p)
 
 
 def run_bronze(store: TableStore, source: Source, p: RunParams, log: RunLog) -> dict[str, DataFrame]:
@@ -122,7 +123,7 @@ def run_gold(
         )
         analytics = scored.withColumn("ProcessDate", F.lit(p.data_date)).select(*ANALYTICS_COLUMNS)
         stamped = with_run_metadata(analytics, "gold", p.data_date, p.started_at)
-        step.rows = store.replace_partitions(stamped, "gold", "CustomerAnalytics", {"ProcessDate": p.data_date})
+        step.rows = store.replace_partitions(stamped, "gold", "CustomerAnalytics", {"ProcessDate": p.data_date}, evolve=True)
         if not p.debug_mode:
             store.drop_before("gold", "CustomerAnalytics", "ProcessDate", p.retention_cutoff)
     with log.step(*fx.STEP_REPORT) as step:

@@ -410,6 +410,19 @@ def q_bronze_slice(w):
     return layers.read_slice(w.store, "bronze", "dbo.Orders", w.p)
 
 
+@query
+def q_bronze_evolved(w):
+    """Two ingests of orders whose source changed in between: a column went, one came, one got decimals. All rows."""
+    orders = w.table("Orders").join(w.source.order_totals().select("OrderID", "OrderTotal"), "OrderID")
+    early = orders.where(F.col("OrderDate") < F.lit(EARLIER_DATE)).withColumn("OrderTotal", F.col("OrderTotal").cast("int"))
+    late = orders.where(F.col("OrderDate") >= F.lit(EARLIER_DATE)).withColumn("Level", F.col("OrderID") % 5)
+    p = replace(w.p, all_source_columns=True)
+    tagged = early.withColumn("Tag", F.concat(F.lit("T"), F.col("OrderID") % 7))
+    layers.ingest_bronze(w.store, layers.Frames({"Orders": tagged}), "Orders", replace(p, data_date=EARLIER_DATE))
+    layers.ingest_bronze(w.store, layers.Frames({"Orders": late}), "Orders", p)
+    return w.store.read("bronze", "dbo.Orders").drop("_ingestion_timestamp")
+
+
 @query
 def q_profile_merge(w):
     """Profiles as of an earlier date, for the customers of that time, then merged with today's."""

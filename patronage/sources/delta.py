@@ -51,8 +51,9 @@ class DeltaStore(TableStore):
         )
 
     def replace_partitions(
-        self, df: DataFrame, layer: str, name: str, partition: Mapping[str, date | str | int]
+        self, df: DataFrame, layer: str, name: str, partition: Mapping[str, date | str | int], evolve: bool = False
     ) -> int:
+        """As the base store's; with ``evolve`` Delta itself adds new columns and widens types where the table allows it."""
         literals = {column: F.lit(value) for column, value in partition.items()}
         condition = " AND ".join(f"{column} = '{value}'" for column, value in partition.items())
         return self._write(
@@ -60,6 +61,7 @@ class DeltaStore(TableStore):
             lambda d: d.withColumns(literals)
             .write.mode("overwrite")
             .option("replaceWhere", condition)
+            .option("mergeSchema", str(evolve).lower())
             .partitionBy(*partition),
             self.path(layer, name),
         )

@@ -19,14 +19,16 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from patronage.operators.merge import require_unique, upsert
+from patronage.sources import evolution
 
-COMMIT, SCHEMA = "_commit.json", "_schema.json"
+COMMIT, SCHEMA, OLDER = "_commit.json", "_schema.json", "_older.json"
 BUCKET = "key_bucket"
 #: Buckets of an upserted table; fixed when the table is first written.
 BUCKETS = 64
@@ -118,6 +120,9 @@ class TableStore:
         path = self.path(layer, name)
         record = None if folder == path else self._get(f"{folder}/{COMMIT}")
         schema = self._schema(layer, name) if record is None else StructType.fromJson(record["schema"])
+        older = self._older(path) if record is None and schema is not None else evolution.Older()
+        if older.all():
+            return self._united(path, schema, older)
         reader = self.spark.read.format(self.fmt)
         if schema is not None:
             reader = reader.schema(schema)
@@ -134,10 +139,32 @@ class TableStore:
         folder = self._partition_path(path, partition)
         if not self._children(folder):
             raise FileNotFoundError(f"no partition {folder}")
-        reader, schema = self.spark.read.format(self.fmt), self._schema(layer, name)
-        if schema is not None:
-            reader = reader.schema(schema)
-        return reader.option("basePath", path).load(folder)
+        reader, schema = self.spark.read.format(self.fmt).option("basePath", path), self._schema(layer, name)
+        if schema is None:
+            return reader.load(folder)
+        own = self._older(path).of(folder[len(path) + 1 :])
+        return reader.schema(schema).load(folder) if own is None else evolution.fitted(reader.schema(own).load(folder), schema)
+
+    def _older(self, path: str) -> evolution.Older:
+        return evolution.Older.from_json(self._get(f"{path}/{OLDER}"))
+
+    def _partitions(self, path: str, schema: StructType) -> list[str]:
+        """Folders of the partitions below the table's, at any depth."""
+        found, open_ = [], [""]
+        while open_:
+            at = open_.pop()
+            inner = [f"{at}/{c}".lstrip("/") for c in self._children(f"{path}/{at}") if "=" in c and c.split("=")[0] in schema.names]
+            open_ += inner
+            if at and not inner:
+                found.append(at)
+        return sorted(found)
+
+    def _united(self, path: str, schema: StructType, older: evolution.Older) -> DataFrame:
+        """The partitions of each schema read with it, and given the current one."""
+        groups = [*older.held, (schema, set(self._partitions(path, schema)) - older.all())]
+        reader = lambda s: self.spark.read.format(self.fmt).schema(s).option("basePath", path)
+        parts = [evolution.fitted(reader(s).load([f"{path}/{x}" for x in sorted(p)]), schema) for s, p in groups if p]
+        return reduce(DataFrame.unionByName, parts)
 
     def _partition_path(self, path: str, partition: Mapping[str, date | str | int]) -> str:
         """The folder of a partition, its name escaped as Spark's writer does."""
@@ -188,19 +215,27 @@ class TableStore:
         return rows
 
     def replace_partitions(
-        self, df: DataFrame, layer: str, name: str, partition: Mapping[str, date | str | int]
+        self, df: DataFrame, layer: str, name: str, partition: Mapping[str, date | str | int], evolve: bool = False
     ) -> int:
         """Makes ``df`` the content of one partition, given by its values, and leaves all others as they are.
 
+        With ``evolve`` its columns may differ from the table's: those it lacks are null, new ones join the
+        table and types widen; see ``evolution``. Without it, and where no type holds both, that raises.
         The partition's columns are set here, as literals above the row count: Spark then knows that a
         task writes one partition only and does not sort the rows by it.
         """
         literals = {column: F.lit(value) for column, value in partition.items()}
-        rows_only = df.drop(*partition)
+        rows_only, path = df.drop(*partition), self.path(layer, name)
+        folder = self._partition_path(path, partition)
         whole = rows_only.withColumns(literals)
+        if evolve and self.exists(layer, name):
+            current = self._evolved(whole.schema, layer, name)
+            rows_only = evolution.fitted(whole, current).drop(*partition)
+            whole = rows_only.withColumns(literals)
         self._check_schema(whole, layer, name)
-        path = self.path(layer, name)
-        folder = self._partition_path(path, partition)
+        older = self._older(path)
+        if older.drop([folder[len(path) + 1 :]]):  # what is there now is about to go, and wider types read it until then
+            self._put(f"{path}/{OLDER}", older.json())
         before = set(self._children(folder))
         rows = self._write(
             rows_only,
@@ -216,6 +251,19 @@ class TableStore:
             return 0
         return rows
 
+    def _evolved(self, given: StructType, layer: str, name: str) -> StructType:
+        """The table's schema after it met the given one. Partitions stored so far are noted with the schema they have
+        before the current one changes, so whatever fails in between leaves a table that reads as before."""
+        path, kept = self.path(layer, name), self._schema(layer, name)
+        stored = kept if kept is not None else self.read(layer, name).schema
+        current = evolution.united(stored, given)
+        if not evolution.same(current, stored):
+            older = self._older(path)
+            older.add(stored, self._partitions(path, stored))
+            self._put(f"{path}/{OLDER}", older.json())
+            self._put(f"{path}/{SCHEMA}", current.jsonValue())
+        return current
+
     def upsert(
         self,
         source: DataFrame,
@@ -259,6 +307,9 @@ class TableStore:
         expired = [c for c in self._children(path) if c.startswith(prefix) and c[len(prefix) :] < cutoff.isoformat()]
         for child in expired:
             self._delete(f"{path}/{child}")
+        older = self._older(path)
+        if older.drop(p for p in older.all() if p.split("/")[0] in expired):
+            self._put(f"{path}/{OLDER}", older.json())
         return expired
 
     def save_table(self, df: DataFrame, table: str) -> None:

@@ -120,6 +120,12 @@ def return_rate(returns: DataFrame, summary: DataFrame, p: RunParams) -> DataFra
     )
 
 
+def favourite(label: str, amount: str, counts: Column) -> Column:
+    """Aggregate: the label of the largest amount among the rows that count, the first label on a tie, unknown amounts last."""
+    best_first = F.struct(F.col(amount).isNull().alias("unknown"), (-F.col(amount)).alias("rank"), F.col(label))
+    return F.min_by(label, F.when(counts, best_first))
+
+
 # grouping_id of (CustomerID, OrderID, Listed, Category, ProductName): a set bit marks a column left out.
 BY_ORDER, BY_CATEGORY, BY_PRODUCT = 0b00111, 0b01001, 0b01010
 
@@ -161,8 +167,7 @@ def purchase_totals(facts: DataFrame, products: DataFrame) -> DataFrame:
         return F.when(F.col("Grain") == grain, value)
 
     def most(grain: int, label: str, amount: str) -> Column:
-        best_first = F.struct(F.col(amount).isNull().alias("unknown"), (-F.col(amount)).alias("rank"), F.col(label))
-        return F.min_by(label, at(grain, F.when(F.col("Listed"), best_first)))
+        return favourite(label, amount, (F.col("Grain") == grain) & F.col("Listed"))
 
     return grains.groupBy("CustomerID").agg(
         F.count(at(BY_ORDER, F.lit(1))).alias("TotalOrders"),
@@ -195,9 +200,14 @@ def transaction_summary(
     totals = purchase_totals(line_facts(orders, details), products)
     if p.process_type != INCREMENTAL:
         totals = totals.join(members, "CustomerID", "left_semi")
+    return summary_columns(totals.join(return_counts(returns), "CustomerID", "left"), p)
+
+
+def summary_columns(totals: DataFrame, p: RunParams) -> DataFrame:
+    """The summary's columns from a customer's totals."""
     spent, count = F.col("TotalSpent"), F.col("TotalOrders")
     percentage = return_percentage(F.coalesce("TotalReturns", F.lit(0)), count)
-    return totals.join(return_counts(returns), "CustomerID", "left").select(
+    return totals.select(
         "CustomerID",
         "TotalOrders",
         spent.cast(p.money_type).alias("TotalSpent"),

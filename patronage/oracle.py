@@ -377,6 +377,17 @@ def oracle_sql() -> dict[str, str]:
                 JOIN (SELECT CustomerID, count(DISTINCT OrderID) AS TotalOrders FROM f GROUP BY 1) USING (CustomerID)""",
         ),
         "q_transaction_summary": _from(SUMMARY, f"SELECT {out(SUMMARY_COLUMNS)} FROM ts"),
+        "q_summary_from_state": _from(SUMMARY, f"SELECT {out(SUMMARY_COLUMNS)} FROM ts"),
+        "q_purchase_state": _from(
+            f"{ORDERS}, {DETAILS}, {RETURNS}, l AS (SELECT * FROM o JOIN d USING (OrderID) WHERE Status = 'Completed')",
+            """SELECT CustomerID, Kind, ProductID, Count, CAST(Net AS DOUBLE) AS Net, CAST(Quantity AS DOUBLE) AS Quantity,
+                strftime(First, '%Y-%m-%d') AS First, strftime(Last, '%Y-%m-%d') AS Last FROM (
+                SELECT CustomerID, 'orders' AS Kind, NULL AS ProductID, count(DISTINCT OrderID) AS Count, sum(NetAmount) AS Net,
+                  sum(Quantity) AS Quantity, min(OrderDate) AS First, max(OrderDate) AS Last FROM l GROUP BY CustomerID
+                UNION ALL SELECT CustomerID, 'product', ProductID, count(*), sum(NetAmount), sum(Quantity),
+                  min(OrderDate), max(OrderDate) FROM l GROUP BY CustomerID, ProductID
+                UNION ALL SELECT CustomerID, 'returns', NULL, count(DISTINCT ReturnID), NULL, NULL, NULL, NULL FROM r GROUP BY CustomerID)""",
+        ),
         "q_transaction_summary_incremental": _from(
             ",\n".join([PRELUDE, base_cte("b", CHANGED), summary_ctes("ts", "b", CHANGED_SINCE)]),
             f"SELECT {out(SUMMARY_COLUMNS)} FROM ts",

@@ -25,6 +25,9 @@ class RunParams:
     ("keep"), one row with the smallest address ("first"), or fails the job ("error").
     ``strict_types``: cast money to decimal(15,2) and rates to decimal(5,2), failing on overflow,
     instead of the wider types that hold any total.
+    ``keep_state``: purchases are kept as sums per customer and product. A full run starts them; the source of
+    an incremental run then delivers the orders, lines and returns that are new since the run before, and no
+    old line is read again.
     ``all_source_columns``: the bronze layer keeps columns beyond the contract's as well.
     """
 
@@ -43,6 +46,7 @@ class RunParams:
     on_duplicate_address: str = "keep"
     strict_types: bool = False
     all_source_columns: bool = False
+    keep_state: bool = False
     started_at: datetime = field(default_factory=datetime.now)
 
     def __post_init__(self) -> None:

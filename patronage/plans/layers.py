@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import date, timedelta
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -16,6 +18,7 @@ from patronage.functions.columns import with_run_metadata
 from patronage.operators.customers import customer_base
 from patronage.operators.merge import require_unique
 from patronage.operators.metrics import METRIC_COLUMNS
+from patronage.operators.purchase_state import merged, purchase_state, summary_from_state
 from patronage.operators.segments import (
     ANALYTICS_COLUMNS,
     SEGMENT_COLUMNS,
@@ -24,7 +27,7 @@ from patronage.operators.segments import (
     summarize,
 )
 from patronage.operators.transactions import transaction_summary
-from patronage.params import RunParams
+from patronage.params import FULL, RunParams
 from patronage.plans.runlog import RunLog, summary_row
 from patronage.sources.store import TableStore
 
@@ -89,11 +92,71 @@ def run_silver(
         step.rows, base = write_slice(store, base, "silver", "CustomerBase", p)
     with log.step(*fx.STEP_SUMMARY) as step:
         require_unique(products, SOURCES["Products"].key)
-        summary = transaction_summary(base, orders, details, products, returns, p)
+        if p.keep_state:
+            states = PurchaseStates(store)
+            states.put(purchase_state(orders, details, returns), p)
+            summary = summary_from_state(states.read(), base, products, p)
+        else:
+            summary = transaction_summary(base, orders, details, products, returns, p)
         step.rows, summary = write_slice(store, summary, "silver", "TransactionSummary", p)
     return {"CustomerBase": base, "TransactionSummary": summary}
 
 
+class PurchaseStates:
+    """The stored purchase states: that of a full run, and one of each slice since, by its date.
+
+    A slice that is put again replaces itself, so a run may be repeated. ``compact`` adds slices to the full
+    state; the new one counts, and the slices in it stop counting, with one commit.
+    """
+
+    LAYER, BASE, SLICES, DAY, THROUGH = "silver", "PurchaseState", "PurchaseStateSlices", "SliceDate", "ThroughDate"
+
+    def __init__(self, store: TableStore):
+        self.store = store
+
+    def through(self) -> date | None:
+        """The last day in the full state."""
+        if not self.store.exists(self.LAYER, self.BASE):
+            return None
+        return self.store.read(self.LAYER, self.BASE).agg(F.max(self.THROUGH)).first()[0]
+
+    def put(self, state: DataFrame, p: RunParams) -> None:
+        """The state of a full run starts anew; that of an incremental one is its day's slice."""
+        if p.process_type == FULL:
+            self._start(state, p.data_date)
+            return
+        through = self.through()
+        if through is not None and p.data_date <= through:
+            raise ValueError(f"the slice of {p.data_date} is part of the full state already, which goes through {through}")
+        self.store.replace_partitions(state, self.LAYER, self.SLICES, {self.DAY: p.data_date}, evolve=True)
+
+    def _start(self, state: DataFrame, through: date) -> None:
+        self.store.overwrite(state.withColumn(self.THROUGH, F.lit(through)), self.LAYER, self.BASE)
+        if self.store.exists(self.LAYER, self.SLICES):
+            self.store.drop_before(self.LAYER, self.SLICES, self.DAY, through + timedelta(days=1))
+
+    def read(self) -> DataFrame:
+        """The state of everything put so far, not yet added up by customer and product."""
+        parts, through = [], self.through()
+        if self.store.exists(self.LAYER, self.BASE):
+            parts.append(self.store.read(self.LAYER, self.BASE).drop(self.THROUGH))
+        if self.store.exists(self.LAYER, self.SLICES):
+            slices = self.store.read(self.LAYER, self.SLICES)
+            parts.append(slices.where(F.col(self.DAY) > F.lit(through or date.min)).drop(self.DAY))
+        if not parts:
+            raise FileNotFoundError("no purchase state was stored; start with a full run")
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
+    def compact(self, through: date) -> None:
+        """Adds the slices up to a day to the full state."""
+        if not self.store.exists(self.LAYER, self.SLICES):
+            return
+        slices, known = self.store.read(self.LAYER, self.SLICES), self.through()
+        due = slices.where((F.col(self.DAY) <= F.lit(through)) & (F.col(self.DAY) > F.lit(known or date.min))).drop(self.DAY)
+        parts = [due] if known is None else [self.store.read(self.LAYER, self.BASE).drop(self.THROUGH), due]
+        self._start(merged(*parts), max(through, known or through))
+
+
 def run_gold(
     store: TableStore, silver: Mapping[str, DataFrame], p: RunParams, log: RunLog
 ) -> dict[str, DataFrame]:

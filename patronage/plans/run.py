@@ -101,6 +101,7 @@ def arguments() -> argparse.ArgumentParser:
     )
     parser.add_argument("--process-date", type=date.fromisoformat, help="YYYY-MM-DD; yesterday when left out")
     parser.add_argument("--process-type", choices=(FULL, INCREMENTAL), default=FULL)
+    parser.add_argument("--keep-state", action="store_true", help="incremental runs read new orders only")
     parser.add_argument("--debug", action="store_true")
     parser.add_argument("--retention-days", type=int, default=365)
     parser.add_argument("--high-value-threshold", type=Decimal, default=Decimal("5000.00"))
@@ -115,6 +116,7 @@ def params(args: argparse.Namespace) -> RunParams:
     return RunParams(
         process_type=args.process_type,
         debug_mode=args.debug,
+        keep_state=args.keep_state,
         retention_days=args.retention_days,
         high_value_threshold=args.high_value_threshold,
         loyalty_threshold=args.loyalty_threshold,

@@ -21,7 +21,7 @@ from patronage.functions import rules
 from patronage.functions import fixed_values as fx
 from patronage.functions.columns import date_text
 from patronage.operators import customers as cust
-from patronage.operators import merge, messages, metrics, quality, scripts, segments, variants
+from patronage.operators import merge, messages, metrics, purchase_state, quality, scripts, segments, variants
 from patronage.operators import transactions as txn
 from patronage.operators.ntile import By, ntile_global
 from patronage.params import FULL, INCREMENTAL, RunParams
@@ -237,6 +237,48 @@ def q_transaction_summary_incremental(w):
     return w.summary(replace(w.p, process_type=INCREMENTAL, data_date=CHANGED_SINCE))
 
 
+def _slices(w: Workspace) -> list[layers.Frames]:
+    """The source as two deliveries: orders before a date with their lines and returns, and those since."""
+    out = []
+    for early in (True, False):
+        day = F.col("OrderDate") < F.lit(EARLIER_DATE)
+        orders = w.table("Orders").where(day if early else ~day)
+        ids = orders.select("OrderID")
+        parts = {
+            "Orders": orders,
+            "OrderDetails": w.table("OrderDetails").join(ids, "OrderID", "left_semi"),
+            "Returns": w.table("Returns").join(ids, F.col("ReturnID") == F.col("OrderID"), "left_semi"),
+        }
+        out.append(layers.Frames({name: parts[name] if name in parts else w.table(name) for name in SOURCES}))
+    return out
+
+
+def _state_runs(w: Workspace) -> layers.PurchaseStates:
+    """A full run of the first delivery, and an incremental one that reads only the second."""
+    kinds = (replace(w.p, data_date=EARLIER_DATE), replace(w.p, process_type=INCREMENTAL))
+    for frames, p in zip(_slices(w), kinds):
+        p = replace(p, keep_state=True)
+        names = ("Orders", "OrderDetails", "Returns")
+        bronze = [layers.ingest_bronze(w.store, frames, name, p)[1] for name in names]
+        layers.PurchaseStates(w.store).put(purchase_state.purchase_state(*bronze), p)
+    return layers.PurchaseStates(w.store)
+
+
+@query
+def q_summary_from_state(w):
+    """The summary of all customers after two deliveries, from the stored sums alone."""
+    state = _state_runs(w).read()
+    return purchase_state.summary_from_state(state, w.source.customer_ids(), w.table("Products"), w.p)
+
+
+@query
+def q_purchase_state(w):
+    """The stored sums themselves, the second delivery added to the first."""
+    states = _state_runs(w)
+    states.compact(DATA_DATE)
+    return states.read()
+
+
 # Metrics
 
 

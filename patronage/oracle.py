@@ -496,6 +496,10 @@ def oracle_sql() -> dict[str, str]:
                 FROM (SELECT *, OrderDate < DATE '{EARLIER_DATE}' AS early FROM o)""",
         ),
         "q_profile_merge": _profile_merge(),
+        "q_profile_lookup": _from(
+            SUMMARY,
+            f"SELECT {out(PROFILE_COLUMNS)}, {out(SUMMARY_COLUMNS[1:])} FROM b LEFT JOIN ts USING (CustomerID) WHERE CustomerID = {LOOKUP_ID}",
+        ),
         "q_replace_by_date": _from(
             HISTORY,
             f"""SELECT CASE WHEN ProcessDate = DATE '{DATA_DATE}' THEN -OrderID ELSE OrderID END AS OrderID, CustomerID,
@@ -593,6 +597,16 @@ def oracle_sql() -> dict[str, str]:
         ("Data Persistence", "(SELECT count(*) FROM ts)", "Data persistence completed"),
         ("Generate Summary", "1", "Summary statistics generated"),
     ]
+    # One product is listed twice: bronze has a row more, and the step that reads the products fails.
+    repeated = "'ProductID ' || (SELECT min(p_partkey) FROM part) || ' occurs more than once"
+    no_counts = ", ".join(f"CAST(NULL AS {t}) AS {c}" for c, t in (
+        ("ActiveCustomers", "BIGINT"), ("NewCustomers", "BIGINT"), ("ChurningCustomers", "BIGINT"), ("HighValueCustomers", "BIGINT"), ("AverageLifetimeValue", "DOUBLE"),
+    ))
+    stored = {
+        "bronze": "Customers CustomerAddresses CustomerInteractions Orders OrderDetails Products Returns",
+        "silver": "CustomerBase TransactionSummary",
+        "gold": "CustomerMetrics CustomerSegments CustomerAnalytics CustomerAnalyticsSummary",
+    }
     unknown = "(SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS k FROM events)"
     null_lines = DETAILS.replace(
         "(1 - CAST(l_discount AS DECIMAL(4,2)))", "(1 - CASE WHEN l_orderkey % 3 <> 0 THEN CAST(l_discount AS DECIMAL(4,2)) END)"
@@ -604,6 +618,15 @@ def oracle_sql() -> dict[str, str]:
         ),
         "q_run_summary": f"SELECT * FROM ({run_summary(SEGMENTS, DATA_DATE, 'FULL')}) UNION ALL "
         f"SELECT * FROM ({run_summary(changed, CHANGED_SINCE, 'INCREMENTAL')})",
+        "q_run_failed": f"""SELECT 'nightly' AS RunID, '{DATA_DATE}' AS ProcessDate, 'FULL' AS ProcessType, 0 AS TotalCustomers, {no_counts},
+            'Failed' AS ProcessingStatus, {repeated} at step Process Transaction Summary' AS ErrorMessage, 4 AS LogID,
+            'Process Transaction Summary' AS StepName, -1 AS RowCount, 'ERROR: ' || {repeated}' AS Message""",
+        "q_run_retried": f"SELECT 'nightly' AS RunID, *, 8 AS steps, 0 AS least_rows FROM ({run_summary(SEGMENTS, DATA_DATE, 'FULL')})",
+        "q_run_report": " UNION ALL ".join(
+            f"SELECT '{DATA_DATE}' AS process_date, 'FULL' AS process_type, 'Success' AS run_status, '{layer}' AS layer, "
+            f"'Success' AS layer_status, '{','.join(sorted(names.split()))}' AS tables, '' AS error"
+            for layer, names in stored.items()
+        ),
         "q_run_log": _from(
             SUMMARY,
             " UNION ALL ".join(

@@ -29,6 +29,7 @@ from patronage.operators.segments import (
 from patronage.operators.transactions import transaction_summary
 from patronage.params import FULL, RunParams
 from patronage.plans.runlog import RunLog, summary_row
+from patronage.sources.durable import durable
 from patronage.sources.store import TableStore
 
 TABLES_AT_ONCE = 4
@@ -176,7 +177,7 @@ def run_gold(
         step.rows, segments = write_slice(store, segments, "gold", "CustomerSegments", p)
     with log.step(*fx.STEP_PERSIST) as step:
         store.upsert(
-            customer_profile(base, summary),
+            durable(customer_profile(base, summary)),  # a join, and an upsert reads its source twice
             "gold",
             "CustomerProfiles",
             "CustomerID",
@@ -192,7 +193,7 @@ def run_gold(
     with log.step(*fx.STEP_REPORT) as step:
         counts = summarize(scored, p).first().asDict()
         row = summary_row(store.spark, p, counts, log.elapsed_ms())
-        step.rows = store.append(row.coalesce(1), "gold", "CustomerAnalyticsSummary")
+        step.rows = store.replace_run(row.coalesce(1), "gold", "CustomerAnalyticsSummary", log.run_id)
     return {
         "CustomerMetrics": metrics,
         "CustomerSegments": segments,

@@ -28,7 +28,8 @@ LAYERS = ("bronze", "silver", "gold")
 
 
 def run(store: TableStore, source: Source, p: RunParams) -> dict:
-    """Runs all layers and returns the report. A failure leaves a failed row and the log, then raises."""
+    """Runs all layers and returns the report. A failure leaves a failed row and the log, then raises. A run repeated
+    under the same id replaces its summary and log."""
     shared_dir(store.spark)  # gold needs it; a cluster without one is told before bronze starts
     log = RunLog(p)
     layers = {layer: {"status": "Not Run", "tables": []} for layer in LAYERS}
@@ -47,7 +48,7 @@ def run(store: TableStore, source: Source, p: RunParams) -> dict:
         layers[current]["status"] = fx.STATUS_FAILED
         report.update(status=fx.STATUS_FAILED, error=str(error))
         failed = failed_row(store.spark, p, error, log.steps[-1].name, log.elapsed_ms())
-        store.append(failed.coalesce(1), "gold", "CustomerAnalyticsSummary")
+        store.replace_run(failed.coalesce(1), "gold", "CustomerAnalyticsSummary", log.run_id)
         raise
     finally:
         report["completed_at"] = datetime.now()
@@ -101,6 +102,7 @@ def arguments() -> argparse.ArgumentParser:
     )
     parser.add_argument("--process-date", type=date.fromisoformat, help="YYYY-MM-DD; yesterday when left out")
     parser.add_argument("--process-type", choices=(FULL, INCREMENTAL), default=FULL)
+    parser.add_argument("--run-id", default="", help="name of this run; a repeated run replaces what it left")
     parser.add_argument("--keep-state", action="store_true", help="incremental runs read new orders only")
     parser.add_argument("--debug", action="store_true")
     parser.add_argument("--retention-days", type=int, default=365)
@@ -117,6 +119,7 @@ def params(args: argparse.Namespace) -> RunParams:
         process_type=args.process_type,
         debug_mode=args.debug,
         keep_state=args.keep_state,
+        run_id=args.run_id,
         retention_days=args.retention_days,
         high_value_threshold=args.high_value_threshold,
         loyalty_threshold=args.loyalty_threshold,

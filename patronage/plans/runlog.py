@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -50,6 +51,7 @@ class RunLog:
 
     def __init__(self, p: RunParams):
         self.p = p
+        self.run_id = p.run_id or uuid.uuid4().hex
         self.steps: list[Step] = []
         text = fx.START_MESSAGE.format(day=p.data_date.isoformat(), kind=p.process_type)
         now = datetime.now()
@@ -76,7 +78,7 @@ class RunLog:
         return spark.createDataFrame(rows, LOG_SCHEMA)
 
     def save(self, store: TableStore) -> None:
-        store.append(self.frame(store.spark).coalesce(1), "log", "ProcessLog")
+        store.replace_run(self.frame(store.spark).coalesce(1), "log", "ProcessLog", self.run_id)
 
     def elapsed_ms(self) -> int:
         return int((datetime.now() - self.p.started_at).total_seconds() * 1000)

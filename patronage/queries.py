@@ -25,8 +25,8 @@ from patronage.operators import merge, messages, metrics, purchase_state, qualit
 from patronage.operators import transactions as txn
 from patronage.operators.ntile import By, ntile_global
 from patronage.params import FULL, INCREMENTAL, RunParams
-from patronage.plans import layers
-from patronage.plans.run import run
+from patronage.plans import layers, runlog
+from patronage.plans.run import REPORT_SCHEMA, run
 from patronage.sources.durable import durable, scratch_path
 from patronage.sources.star_schema import StarSchema
 from patronage.sources.store import TableStore
@@ -483,6 +483,14 @@ def q_profile_merge(w):
     return merged.withColumn("ModifiedDate", day)
 
 
+@query
+def q_profile_lookup(w):
+    """One customer's stored profile, from the one bucket that can hold it."""
+    profiles = durable(segments.customer_profile(w.base(), w.summary()))
+    w.store.upsert(profiles, "gold", "CustomerProfiles", "CustomerID", RUN_MOMENT, keep=("CreatedDate",))
+    return w.store.lookup("gold", "CustomerProfiles", "CustomerID", LOOKUP_ID).drop("ModifiedDate")
+
+
 @query
 def q_replace_by_date(w):
     """A date's rows written twice: the second write replaces the first and leaves other dates alone."""
@@ -621,13 +629,65 @@ def q_run_analytics_incremental(w):
 @query
 def q_run_summary(w):
     rows = [w.run(kind)[0].read("gold", "CustomerAnalyticsSummary") for kind in (FULL, INCREMENTAL)]
-    return rows[0].unionByName(rows[1]).drop("TotalProcessingTimeMs")
+    return rows[0].unionByName(rows[1]).drop("TotalProcessingTimeMs", "RunID")
+
+
+class Broken:
+    """A source in which one product is listed twice, which the run finds when it comes to the products."""
+
+    def __init__(self, source):
+        self.source = source
+
+    def table(self, name: str) -> DataFrame:
+        df = self.source.table(name)
+        return df.unionByName(df.orderBy("ProductID").limit(1)) if name == "Products" else df
+
+
+def _failed_run(w: Workspace, run_id: str) -> TableStore:
+    store = TableStore(w.spark, scratch_path(w.spark))
+    try:
+        run(store, Broken(w.source), replace(w.p, run_id=run_id))
+    except ValueError:
+        return store
+    raise RuntimeError("the run did not fail")
+
+
+@query
+def q_run_failed(w):
+    """What a failed run leaves: its row in the summary, and its last step in the log."""
+    store = _failed_run(w, "nightly")
+    row = store.read("gold", "CustomerAnalyticsSummary").drop("TotalProcessingTimeMs")
+    last = store.read("log", "ProcessLog").orderBy(F.desc("LogID")).limit(1)
+    return row.join(last.select("RunID", "LogID", "StepName", "RowCount", "Message"), "RunID")
+
+
+@query
+def q_run_retried(w):
+    """A run that failed and then succeeded under one id: one summary row, one log."""
+    store = _failed_run(w, "nightly")
+    run(store, w.source, replace(w.p, run_id="nightly"))
+    log = store.read("log", "ProcessLog").groupBy("RunID").agg(F.count(F.lit(1)).alias("steps"), F.min("RowCount").alias("least_rows"))
+    return store.read("gold", "CustomerAnalyticsSummary").drop("TotalProcessingTimeMs").join(log, "RunID", "full")
+
+
+@query
+def q_run_report(w):
+    """The report of a run in debug mode, read back from its file, without times."""
+    store = TableStore(w.spark, scratch_path(w.spark))
+    p = replace(w.p, debug_mode=True)
+    run(store, w.source, p)
+    report = w.spark.read.schema(REPORT_SCHEMA).json(store.path("log", f"report_{p.data_date}_{p.process_type}"))
+    layer = report.select("process_date", "process_type", F.col("status").alias("run_status"), "error", F.explode("layers").alias("l"))
+    return layer.select(
+        "process_date", "process_type", "run_status", F.col("l.layer").alias("layer"), F.col("l.status").alias("layer_status"),
+        F.array_join("l.tables", ",").alias("tables"), F.coalesce("error", F.lit("")).alias("error"),
+    )
 
 
 @query
 def q_run_log(w):
     store, _ = w.run(FULL)
-    return store.read("log", "ProcessLog").select("LogID", "StepName", "RowCount", "Message")
+    return runlog.show(store).select("LogID", "StepName", "RowCount", "Message")
 
 
 # Texts

@@ -8,7 +8,8 @@ Three kinds of table, by how they change:
   no marker that a cluster may switch off. An upsert writes the buckets it touches; its record names, for each
   bucket, the version that holds it.
 * partitioned: replaced partition by partition (``replace_partitions``), expired by dropping partitions.
-* appended: only ever added to (``append``).
+* appended: only ever added to (``append``), or kept by run (``replace_run``), where a run that is repeated under one
+  id replaces its own rows.
 
 Writers return the number of rows written, observed during the write itself. A table's schema is kept beside its
 data, so every write is checked against it and partition values are read back in their own type.
@@ -20,18 +21,23 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
 from functools import reduce
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from patronage.operators.merge import require_unique, upsert
+from patronage.operators.merge import upsert
 from patronage.sources import evolution
 
 COMMIT, SCHEMA, OLDER = "_commit.json", "_schema.json", "_older.json"
 BUCKET = "key_bucket"
-#: Buckets of an upserted table; fixed when the table is first written.
-BUCKETS = 64
+#: Rows that a bucket of an upserted table is made for, and the fewest buckets. Their number is fixed when the table is
+#: first written and kept with it.
+BUCKET_ROWS, LEAST_BUCKETS = 250_000, 32
+#: Rows that one task writes of a bucket, about; a bucket that outgrew this is written by several.
+TASK_ROWS = 1_000_000
+RUN = "RunID"
 
 
 class TableStore:
@@ -187,13 +193,13 @@ class TableStore:
         versions = self._versions(path)
         return f"v{int(versions[-1][1:]) + 1 if versions else 1:08d}"
 
-    def _commit(self, path: str, version: str, schema: StructType, buckets: dict[int, str] | None) -> None:
+    def _commit(self, path: str, version: str, schema: StructType, buckets: dict[int, str] | None, more: Mapping = MappingProxyType({})) -> None:
         """Makes a version count, then removes what neither it nor the version before it holds.
 
         The version just replaced stays for plans that still read it.
         """
         held = None if buckets is None else {str(b): v for b, v in sorted(buckets.items())}
-        self._put(f"{path}/{version}/{COMMIT}", {"schema": schema.jsonValue(), "buckets": held})
+        self._put(f"{path}/{version}/{COMMIT}", {"schema": schema.jsonValue(), "buckets": held, **more})
         committed = self._committed(path)[-2:]
         used = {v for v, _ in committed}
         parts = {f"{v}/{BUCKET}={b}" for _, r in committed for b, v in (r["buckets"] or {}).items()}
@@ -208,6 +214,10 @@ class TableStore:
                 if f"{old}/{c}" not in parts:
                     self._delete(f"{path}/{old}/{c}")
 
+    def replace_run(self, df: DataFrame, layer: str, name: str, run_id: str) -> int:
+        """Makes ``df`` all that a run left in the table, whatever an earlier attempt under the same id left there."""
+        return self.replace_partitions(df, layer, name, {RUN: run_id}, evolve=True)
+
     def append(self, df: DataFrame, layer: str, name: str) -> int:
         self._check_schema(df, layer, name)
         rows = self._write(df, lambda d: d.write.mode("append"), self.path(layer, name))
@@ -276,30 +286,69 @@ class TableStore:
     ) -> int:
         """Updates matched rows, inserts the others; see ``operators.merge.upsert``. Returns the rows written.
 
-        Rows lie in BUCKETS buckets by the hash of their key. Only buckets that occur in the source are read and
-        written; the others stay as they are. Repeated source keys raise; ``key_checked`` says the caller has
-        already made sure of that. The source is read twice on a table that exists, so store a costly one.
+        Rows lie in buckets by the hash of their key, sorted by it, with a Bloom filter on it. Only buckets that occur in
+        the source are read and written; the others stay as they are. Each is written by as many tasks as its rows need.
+        One grouping of the source's keys finds repeated ones, which raise, and the buckets; ``key_checked`` says the
+        caller has made sure that keys are unique. The source is read twice, so store a costly one.
         """
-        if not key_checked:
-            require_unique(source, key)
-        path, bucket = self.path(layer, name), F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-        folder, held = self._current(layer, name), {}
+        path = self.path(layer, name)
+        folder = self._current(layer, name)
+        record = self._get(f"{folder}/{COMMIT}") if folder not in (None, path) else None
+        dealt_before = record is not None and record["buckets"] is not None
+        count = record.get("count", 64) if dealt_before else None
+        rows, touched = self._keys(source, key, count, key_checked)
+        if not dealt_before:
+            count = LEAST_BUCKETS
+            while count * BUCKET_ROWS < rows:
+                count *= 2
+        bucket = self._bucket(F.col(key), count)
+        held = {int(b): v for b, v in record["buckets"].items()} if dealt_before else {}
         if folder is None:
             merged = source.withColumn("ModifiedDate", F.lit(now))
         else:
-            touched = None
-            record = self._get(f"{folder}/{COMMIT}") if folder != path else None
-            if record is not None and record["buckets"] is not None:
-                held = {int(b): v for b, v in record["buckets"].items()}
-                touched = [r[0] for r in source.select(bucket).distinct().collect()]  # BUCKETS rows at most
-            merged = upsert(self._load(layer, name, folder, touched), source, key, now, keep)
+            merged = upsert(self._load(layer, name, folder, touched if dealt_before else None), source, key, now, keep)
         version = self._next_version(path)
-        dealt = merged.withColumn(BUCKET, bucket).repartition(BUCKET)
-        rows = self._write(dealt, lambda d: d.write.mode("error").partitionBy(BUCKET), f"{path}/{version}")
+        usual = max(record.get("bucket_rows", 0) if dealt_before else 0, -(-rows // count))
+        part = F.pmod(F.shiftright(F.xxhash64(key), 32), F.lit(-(-usual // TASK_ROWS) or 1))
+        dealt = merged.withColumn(BUCKET, bucket).repartition(F.col(BUCKET), part).sortWithinPartitions(BUCKET, key)
+        bloom = {f"parquet.bloom.filter.enabled#{key}": "true", f"parquet.bloom.filter.expected.ndv#{key}": str(min(TASK_ROWS, max(1000, 2 * usual)))}
+        rows = self._write(dealt, lambda d: d.write.mode("error").options(**bloom).partitionBy(BUCKET), f"{path}/{version}")
         new = {int(c.split("=")[1]): version for c in self._children(f"{path}/{version}") if c.startswith(f"{BUCKET}=")}
-        self._commit(path, version, merged.schema, held | new)
+        found = {"count": count, "bucket_rows": max(usual, -(-rows // max(1, len(new))))}
+        self._commit(path, version, merged.schema, held | new, found)
         return rows
 
+    @staticmethod
+    def _bucket(key: Column, count: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+
+    def _keys(self, source: DataFrame, key: str, count: int | None, checked: bool) -> tuple[int, list[int]]:
+        """How many rows the source has and which buckets occur in it, from its keys alone."""
+        which = F.collect_set(self._bucket(F.col(key), count)) if count else F.array()  # `count` values at most
+        if checked:
+            found = source.select(key).agg(F.count(F.lit(1)).alias("rows"), F.lit(1).alias("most"), F.lit(None).alias("name"), which.alias("buckets"))
+        else:
+            found = source.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(
+                F.sum("n").alias("rows"), F.max("n").alias("most"), F.max_by(F.col(key), "n").alias("name"), which.alias("buckets")
+            )
+        row = found.first()
+        if (row["most"] or 0) > 1:
+            raise ValueError(f"{key} {row['name']} occurs more than once")
+        return row["rows"] or 0, list(row["buckets"])
+
+    def lookup(self, layer: str, name: str, key: str, value: object) -> DataFrame:
+        """The rows of one key of an upserted table: one bucket's files are listed, and of these the key's statistics and
+        Bloom filter leave those that may hold it."""
+        folder = self._current(layer, name)
+        if folder is None:
+            raise FileNotFoundError(f"no table {name} in layer {layer} at {self.path(layer, name)}")
+        record = self._get(f"{folder}/{COMMIT}") if folder != self.path(layer, name) else None
+        if record is None or record["buckets"] is None:
+            return self._load(layer, name, folder).where(F.col(key) == F.lit(value))
+        kind = StructType.fromJson(record["schema"])[key].dataType
+        number = self.spark.range(1).select(self._bucket(F.lit(value).cast(kind), record.get("count", 64))).first()[0]
+        return self._load(layer, name, folder, [number]).where(F.col(key) == F.lit(value))
+
     def drop_before(self, layer: str, name: str, column: str, cutoff: date) -> list[str]:
         """Deletes the date partitions strictly before the cutoff; no data file is read."""
         path = self.path(layer, name)

@@ -231,3 +231,73 @@ def test_durable_cuts_the_lineage(spark):
     df = durable(spark.range(3).withColumn("v", F.col("id") * 2))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Range" not in plan and rows(df) == [(0, 0), (1, 2), (2, 4)]
+
+
+def test_buckets_follow_the_rows_and_stay(spark, store, monkeypatch):
+    from patronage.sources import store as module
+
+    monkeypatch.setattr(module, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(module, "TASK_ROWS", 100)
+    day = date(2020, 1, 1)
+    many = lambda n: spark.range(n).select(F.col("id").alias("CustomerID"), F.lit("a").alias("Name"), F.lit(day).alias("CreatedDate"))
+    store.upsert(many(2000), "gold", "P", "CustomerID", OLD)
+    path = store.path("gold", "P")
+    record = store._committed(path)[-1][1]
+    assert record["count"] == 64 and record["bucket_rows"] == 32 and len(record["buckets"]) == 64
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join tasks this small
+    try:
+        store.upsert(many(40_000), "gold", "P", "CustomerID", NOW)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    record = store._committed(path)[-1][1]
+    assert record["count"] == 64 and record["bucket_rows"] == 625
+    files = [len([c for c in store._children(f"{path}/{v}/key_bucket={b}") if c.startswith("part")]) for b, v in record["buckets"].items()]
+    assert min(files) >= 2  # a grown bucket is written by several tasks
+    assert store.read("gold", "P").count() == 40_000
+    assert store.upsert(people(spark, (7, "x", day)), "gold", "P", "CustomerID", NOW) < 800
+    assert store.read("gold", "P").where("Name = 'x'").count() == 1
+
+
+def test_lookup_reads_one_bucket(spark, store):
+    day = date(2020, 1, 1)
+    many = spark.range(5000).select((2 * F.col("id")).alias("CustomerID"), F.lit("a").alias("Name"), F.lit(day).alias("CreatedDate"))
+    store.upsert(many, "gold", "P", "CustomerID", OLD)
+    whole = store.read("gold", "P").where("CustomerID = 42")
+    found = store.lookup("gold", "P", "CustomerID", 42)
+    assert rows(found) == rows(whole) and found.count() == 1
+    assert len(whole.inputFiles()) == 32 and len(found.inputFiles()) == 1
+    assert store.lookup("gold", "P", "CustomerID", 43).count() == 0
+    assert store.lookup("gold", "P", "CustomerID", None).count() == 0
+    assert "PushedFilters: [IsNotNull(CustomerID), EqualTo(CustomerID,42)]" in found._jdf.queryExecution().executedPlan().toString()
+    jvm = spark._jvm
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
+        jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(found.inputFiles()[0]), jvm.org.apache.hadoop.conf.Configuration())
+    )
+    columns = reader.getFooter().getBlocks().get(0).getColumns()
+    blooms = {columns.get(k).getPath().toDotString(): columns.get(k).getBloomFilterOffset() for k in range(columns.size())}
+    reader.close()
+    assert blooms["CustomerID"] > 0 and blooms["Name"] < 0
+    store.overwrite(many, "silver", "N")
+    assert store.lookup("silver", "N", "CustomerID", 42).count() == 1
+    with pytest.raises(FileNotFoundError):
+        store.lookup("gold", "none", "CustomerID", 42)
+
+
+def test_a_repeated_run_replaces_its_rows(spark, store):
+    for run_id, n in (("a", 2), ("b", 3), ("a", 5)):
+        assert store.replace_run(spark.range(n), "log", "L", run_id) == n
+    counts = {r["RunID"]: r["count"] for r in store.read("log", "L").groupBy("RunID").count().collect()}
+    assert counts == {"a": 5, "b": 3}
+    bad = spark.range(2).select(F.when(F.col("id") == 1, F.raise_error(F.lit("boom"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="boom"):
+        store.replace_run(bad, "log", "L", "b")
+    assert store.read("log", "L").where("RunID = 'b'").count() == 3
+
+
+def test_null_and_repeated_keys_of_an_upsert(spark, store):
+    day = date(2020, 1, 1)
+    store.upsert(people(spark, (1, "a", day), (None, "n", day)), "gold", "P", "CustomerID", OLD)
+    with pytest.raises(ValueError, match="occurs more than once"):
+        store.upsert(people(spark, (None, "n", day), (None, "m", day)), "gold", "P", "CustomerID", NOW)
+    assert store.upsert(people(spark), "gold", "P", "CustomerID", NOW) == 0
+    assert store.read("gold", "P").count() == 2

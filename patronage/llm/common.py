@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -13,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from patronage.sources.durable import durable, scratch_path
+from patronage.sources.durable import scratch_path
 
-__all__ = ["add_columns", "column_ref", "durable", "keep_rows", "ship", "shuffle_partitions", "sub_batches", "table", "text_column", "written"]
+__all__ = ["add_columns", "column_ref", "one_at_a_time", "release", "ship", "sub_batches", "table", "text_column", "written"]
 
 _SHIPPED = "_patronage_shipped"
 
@@ -31,6 +32,28 @@ def ship(spark: SparkSession) -> None:
     setattr(context, _SHIPPED, True)
 
 
+_HELD: dict = {}
+
+
+def one_at_a_time(make: Callable) -> Callable:
+    """Keeps what `make` returned between a worker's tasks, until it or another function so marked makes something else."""
+
+    @functools.wraps(make)
+    def held(*key):
+        key = (make.__module__, make.__name__, *key)
+        if key not in _HELD:
+            release()
+            _HELD[key] = make(*key[2:])
+        return _HELD[key]
+
+    return held
+
+
+def release() -> None:
+    """Gives back what earlier operators keep in this worker."""
+    _HELD.clear()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -49,16 +72,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def keep_rows(df: DataFrame, kept: DataFrame, key: str) -> DataFrame:
-    """Rows of `df`, with all its columns, whose key occurs in the one-column frame `kept`. Null matches null."""
-    right = kept.toDF("__kept_key")
-    return df.join(right, column_ref(key).eqNullSafe(F.col("__kept_key")), "left_semi")
-
-
 def text_column(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts one after another and the n + 1 offsets between them. Null counts as empty."""
     if isinstance(values, pa.ChunkedArray):

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patronage.llm.common import add_columns, column_ref, ship, sub_batches, table, written
+from patronage.llm.common import add_columns, column_ref, release, ship, sub_batches, table, written
 from patronage.llm.components import components
 from patronage.llm.shingles import mix, shingle_hashes
 
@@ -269,13 +269,18 @@ class NgramJoin:
             points = counts_of(hashes, at)
             return [pa.array(np.diff(at), pa.int64()), pa.array(packed_points(points), pa.binary())]
 
-        return add_columns(self.rows, "text", "n_shingles bigint, point binary", lambda: measure, STEP_BYTES).drop("text")
+        def make():
+            release()
+            return measure
+
+        return add_columns(self.rows, "text", "n_shingles bigint, point binary", make, STEP_BYTES).drop("text")
 
     def entered(self) -> DataFrame:
         """signature, id, others: the contents under which texts are entered, joined within each step of a task."""
         words, percent = self.words, self.percent
 
         def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
                 begin = 0
                 for part in sub_batches(batch.column("text"), STEP_BYTES):
@@ -328,6 +333,7 @@ class NgramJoin:
         b = points.select(F.col("id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("point").alias("point_b"))
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
                 left, right = (unpacked_points(batch.column(c).to_pylist()) for c in ("point_a", "point_b"))
                 needed = needed_overlap(batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), percent)

@@ -12,7 +12,6 @@ empty table an empty one; other columns are carried along whatever their names.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 from pathlib import Path
@@ -24,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm.common import add_columns, table
+from patronage.llm.common import add_columns, one_at_a_time, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -302,7 +301,7 @@ class BatchEncoder:
         return ids, ends[np.array(counts)]
 
 
-@functools.lru_cache(maxsize=1)
+@one_at_a_time
 def model_of(data: bytes) -> tuple[PieceModel, BatchEncoder]:
     model = PieceModel(data)
     return model, BatchEncoder(model)

@@ -14,7 +14,6 @@ table gives an empty result. Labels, language, source and id are no inputs of a
 
 from __future__ import annotations
 
-import functools
 import pickle
 import re
 
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm.common import add_columns, table
+from patronage.llm.common import add_columns, one_at_a_time, table
 from patronage.llm.words import WordTable, fold, labelled_sample
 
 FOLDS, HELD_OUT = 4, 2
@@ -159,7 +158,7 @@ def learn(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 1) ->
     return weights[:size].astype(np.float32), float(weights[size])
 
 
-@functools.lru_cache(maxsize=2)
+@one_at_a_time
 def _scorer(model: bytes) -> Scorer:
     return Scorer(*pickle.loads(model))
 

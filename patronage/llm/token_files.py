@@ -16,7 +16,6 @@ documents. An empty table gives an empty file set and no rows. Only the two colu
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import re
@@ -32,7 +31,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
-from patronage.llm.common import column_ref, ship, sub_batches, table, written
+from patronage.llm.common import column_ref, one_at_a_time, ship, sub_batches, table, written
 from patronage.llm.words import _Numbers
 from patronage.sources.durable import scratch_path
 
@@ -153,7 +152,7 @@ class CachedTokenizer:
         return ids, at
 
 
-@functools.lru_cache(maxsize=1)
+@one_at_a_time
 def _tokenizer(definition: bytes) -> CachedTokenizer:
     return CachedTokenizer(definition)
 

@@ -16,7 +16,6 @@ ids are neither held out nor learned from; their rows are scored like others. An
 
 from __future__ import annotations
 
-import functools
 import pickle
 import zlib
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm.common import add_columns, table
+from patronage.llm.common import add_columns, one_at_a_time, table
 from patronage.llm.words import WordTable, fold, labelled_sample
 
 FOLDS, HELD_OUT = 5, 0
@@ -366,7 +365,7 @@ def _calibrate(logits: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-@functools.lru_cache(maxsize=2)
+@one_at_a_time
 def _scorer(model: bytes) -> Scorer:
     return Scorer(*pickle.loads(model))
 

@@ -142,6 +142,14 @@ def test_count_tree_bound_loses_nothing():
         assert sorted(tree.search(points[k], sizes[k], 85)) == want.tolist()
 
 
+def test_points_of_large_counts_keep_them():
+    points = np.random.default_rng(0).integers(0, 300, (50, ngram_join.DIMENSIONS)).astype(np.int32)
+    points[:25] %= 256
+    packed = ngram_join.packed_points(points)
+    assert {len(p) for p in packed[:25]} == {ngram_join.DIMENSIONS} and max(map(len, packed)) == 4 * ngram_join.DIMENSIONS
+    assert (ngram_join.unpacked_points(packed) == points).all() and (ngram_join.unpacked_points(packed[:25]) == points[:25]).all()
+
+
 def test_component_boxes_and_trees_lose_no_pair():
     rng = np.random.default_rng(11)
     base = rng.poisson(2, (1, ngram_join.DIMENSIONS))
@@ -152,7 +160,7 @@ def test_component_boxes_and_trees_lose_no_pair():
     table = pa.table({"root": roots, "n_shingles": sizes, "point": pa.array([p.tobytes() for p in points], pa.binary())})
     boxes = ngram_join.boxes_of(table)
     names, low = (boxes.column(c).to_numpy() for c in ("root", "n_shingles"))
-    top = np.frombuffer(b"".join(boxes.column("point").to_pylist()), np.int32).reshape(-1, ngram_join.DIMENSIONS)
+    top = ngram_join.unpacked_points(boxes.column("point").to_pylist())
     for cuts in ([0, len(names)], [0, 20, 27, len(names)]):  # one long list; short ones and a longer one
         begins, ends = np.array(cuts[:-1]), np.array(cuts[1:])
         found = {tuple(p) for p in ngram_join.root_pairs(names, low, top, begins, ends, 85)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions import fixed_values as fx
@@ -15,20 +15,17 @@ from patronage.functions.text import fenced_blocks, stage_of
 def last_responses(messages: DataFrame, roles: Sequence[str]) -> DataFrame:
     """Each conversation with the latest text of every given role, "" where the role said nothing.
 
-    One narrow aggregation finds the last turn of each role; texts meet it by (conversation, role, turn), so only texts
-    of last turns are grouped, and none of a role nobody asked for is moved. Null is a conversation like others; of
-    several texts of one role in its last turn the greatest counts.
+    One aggregation that combines on the map side: of each conversation in a task one text of each role asked for is
+    moved, and texts of other roles never. Null is a conversation like others; of several texts of one role in its
+    last turn the greatest counts, and a text without turn counts as not said.
     """
-    turn = {role: f"turn of {role}" for role in roles}
-    last = [F.max(F.when((F.col("role") == role) & F.col("text").isNotNull(), F.col("turn"))).alias(turn[role]) for role in roles]
-    found = messages.groupBy("conv_id").agg(*last)
-    each = [F.struct(F.lit(role).alias("role"), F.col(turn[role]).alias("turn")) for role in roles]
-    last_turns = found.select("conv_id", F.explode(F.array(*each)).alias("at")).select("conv_id", "at.role", "at.turn").alias("last")
-    said = messages.where(F.col("role").isin(*roles) & F.col("text").isNotNull()).select("conv_id", "role", "turn", "text").alias("said")
-    same = [F.col("last.conv_id").eqNullSafe(F.col("said.conv_id")), *(F.col(f"last.{c}") == F.col(f"said.{c}") for c in ("role", "turn"))]
-    spoken = last_turns.join(said, same, "left").select("last.conv_id", "last.role", "said.text")
-    latest = [F.coalesce(F.max(F.when(F.col("role") == role, F.col("text"))), F.lit("")).alias(role) for role in roles]
-    return spoken.groupBy("conv_id").agg(*latest)
+
+    def latest(role: str) -> Column:
+        said = (F.col("role") == role) & F.col("text").isNotNull() & F.col("turn").isNotNull()
+        newest = F.max_by("text", F.when(said, F.struct("turn", "text")))
+        return F.coalesce(newest, F.lit("")).alias(role)
+
+    return messages.select("conv_id", "role", "turn", F.when(F.col("role").isin(*roles), F.col("text")).alias("text")).groupBy("conv_id").agg(*map(latest, roles))
 
 
 def last_response(messages: DataFrame, role: str) -> DataFrame:
@@ -57,11 +54,7 @@ def stage_blocks(blocks: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """The last block of each stage; blocks without a marker are left out. Null is an id like others; of several blocks
     in one position the greatest counts."""
     marked = blocks.withColumn("stage", stage_of(F.col("block"))).where(F.col("stage").isNotNull())
-    keys = [id_col, "stage", "position"]
-    last = marked.groupBy(id_col, "stage").agg(F.max("position").alias("position"))
-    last, marked = last.alias("last"), marked.select(*keys, "block").alias("marked")
-    same = [F.col(f"last.{c}").eqNullSafe(F.col(f"marked.{c}")) for c in keys]
-    return marked.join(last, same, "left_semi").groupBy(id_col, "stage").agg(F.max("block").alias("block"))
+    return marked.groupBy(id_col, "stage").agg(F.max_by("block", F.struct("position", "block")).alias("block"))
 
 
 def artifacts(messages: DataFrame, code_role: str, test_role: str, plan_role: str) -> DataFrame:

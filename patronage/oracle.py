@@ -354,6 +354,18 @@ def oracle_sql() -> dict[str, str]:
             BASE, f"SELECT {base} FROM b WHERE CustomerID > {PAGE_AFTER} ORDER BY CustomerID LIMIT {PAGE_SIZE}"
         ),
     }
+    page = "CAST((row_number() OVER (ORDER BY CustomerID) - 1) // %d AS BIGINT) AS page"
+    lookups["q_keyset_batches"] = _from(BASE, f"SELECT {base}, {page % PAGE_SIZE} FROM b")
+    lookups["q_keyset_written"] = _from(BASE, f"SELECT CustomerID, {page % PAGE_SIZE} FROM b")
+    lookups["q_page_markers"] = (
+        f"SELECT page, max(CustomerID) AS last_key FROM (SELECT c_custkey AS CustomerID, {page % (10 * PAGE_SIZE)} "
+        "FROM (SELECT *, c_custkey AS CustomerID FROM customer)) GROUP BY page"
+    )
+    lookups["q_bucketed_join"] = _from(
+        BASE,
+        """SELECT CustomerID, CustomerName, State, Status, count(*) AS Orders, strftime(max(OrderDate), '%Y-%m-%d') AS OrderDate
+        FROM b JOIN o USING (CustomerID) GROUP BY CustomerID, CustomerName, State, Status""",
+    )
     lookups["q_last_contact_window"] = lookups["q_last_contact"]
     lookups["q_customer_base_sql"] = lookups["q_customer_base"]
 

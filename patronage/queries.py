@@ -6,6 +6,7 @@ doubles, dates as yyyy-MM-dd text and integers as bigint, so other engines can b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime
@@ -21,12 +22,13 @@ from patronage.functions import rules
 from patronage.functions import fixed_values as fx
 from patronage.functions.columns import date_text
 from patronage.operators import customers as cust
-from patronage.operators import merge, messages, metrics, purchase_state, quality, scripts, segments, variants
+from patronage.operators import merge, messages, metrics, paging, purchase_state, quality, scripts, segments, variants
 from patronage.operators import transactions as txn
 from patronage.operators.ntile import By, ntile_global
 from patronage.params import FULL, INCREMENTAL, RunParams
 from patronage.plans import layers, runlog
 from patronage.plans.run import REPORT_SCHEMA, run
+from patronage.sources import batches
 from patronage.sources.durable import durable, scratch_path
 from patronage.sources.star_schema import StarSchema
 from patronage.sources.store import TableStore
@@ -39,6 +41,7 @@ HIGH_VALUE = Decimal("1000000.00")
 RUN_MOMENT = datetime(2001, 8, 2, 12, 0, 0)
 LOOKUP_ID = 42
 PAGE_AFTER, PAGE_SIZE = 500, 100
+CATALOG_BUCKETS = 8
 FALLBACKS = {
     "business": ("system", "assistant"),
     "technical": ("assistant", "system", "user"),
@@ -525,6 +528,49 @@ def q_keyset_page(w):
     return merge.keyset_page(w.base(), "CustomerID", PAGE_AFTER, PAGE_SIZE)
 
 
+@query
+def q_keyset_batches(w):
+    """Every customer with the number of the page it is on."""
+    return paging.pages(w.base(), "CustomerID", PAGE_SIZE).numbered()
+
+
+@query
+def q_keyset_written(w):
+    """The customers written in batches that stop after some, and go on after the marker."""
+    base = durable(w.base())
+
+    def stop(batch: int, rows: int) -> None:
+        if batch == 1:
+            raise InterruptedError
+
+    try:
+        batches.write_in_batches(w.store, base, "gold", "Customers", "CustomerID", PAGE_SIZE, stop)
+    except InterruptedError:
+        batches.write_in_batches(w.store, base, "gold", "Customers", "CustomerID", PAGE_SIZE)
+    return w.store.read("gold", "Customers").select("CustomerID", F.col("Batch").alias("page"))
+
+
+@query
+def q_page_markers(w):
+    """The last key of each page by asking for one page after the other, which writers of one batch at a time do."""
+    customers, last, found = w.table("Customers"), -1, []
+    while (last := merge.next_page_key(customers, "CustomerID", last, 10 * PAGE_SIZE)) is not None:
+        found.append((len(found), last))
+    return w.spark.createDataFrame(found, "page bigint, last_key bigint")
+
+
+@query
+def q_bucketed_join(w):
+    """Customers and their orders from two catalog tables that lie in the same buckets."""
+    names = [f"patronage_{uuid.uuid4().hex}" for _ in "ab"]
+    frames = w.base(), w.table("Orders").where(F.col("CustomerID").isNotNull())
+    for name, df in zip(names, frames):
+        w.store.save_bucketed(df, name, "CustomerID", CATALOG_BUCKETS, scratch_path(w.spark))
+    base, orders = (w.store.read_table(name) for name in names)
+    counted = orders.groupBy("CustomerID", "Status").agg(F.count(F.lit(1)).alias("Orders"), F.max("OrderDate").alias("OrderDate"))
+    return base.select("CustomerID", "CustomerName", "State").join(counted, "CustomerID")
+
+
 # Checks
 
 

@@ -364,16 +364,11 @@ class TableStore:
     def save_table(self, df: DataFrame, table: str) -> None:
         df.write.mode("overwrite").format(self.fmt).saveAsTable(table)
 
-    def save_bucketed(self, df: DataFrame, table: str, key: str, buckets: int) -> None:
-        """A catalog table bucketed and sorted on the key: joins and groupings on it need no shuffle."""
-        (
-            df.repartition(buckets, key)
-            .write.mode("overwrite")
-            .format(self.fmt)
-            .bucketBy(buckets, key)
-            .sortBy(key)
-            .saveAsTable(table)
-        )
+    def save_bucketed(self, df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+        """A catalog table bucketed and sorted on the key: joins and groupings on it need no shuffle. With a path it
+        lies there and not in the warehouse."""
+        writer = df.repartition(buckets, key).write.mode("overwrite").format(self.fmt).bucketBy(buckets, key).sortBy(key)
+        (writer.option("path", path) if path else writer).saveAsTable(table)
 
     def _write(self, df: DataFrame, writer: Callable, path: str) -> int:
         seen = Observation()

@@ -1,5 +1,7 @@
 """Chat jobs with null conversations and repeated deliveries."""
 
+from pyspark.sql import functions as F
+
 from patronage.operators import messages
 
 BLOCKS = "```\n# GOLD LAYER START\n{}\n```"
@@ -31,3 +33,18 @@ def test_stage_blocks_of_null_and_repeated_ids(spark):
     blocks = messages.code_blocks(chat(spark))
     got = sorted(((r["conv_id"], r["stage"], r["block"][-1]) for r in messages.stage_blocks(blocks).collect()), key=repr)
     assert got == [(1, "gold_layer", "2"), (None, "gold_layer", "1")]
+
+
+def test_latest_texts_take_one_shuffle_and_no_join(spark):
+    df = spark.createDataFrame([(1, 1, "user", "a")], "conv_id long, turn long, role string, text string")
+    blocks = df.select("conv_id", F.col("turn").alias("position"), F.col("text").alias("block"))
+    for found in (messages.last_responses(df, ["user", "system"]), messages.stage_blocks(blocks), messages.artifacts(df, "a", "b", "c")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_texts_without_a_turn_and_roles_without_text(spark):
+    rows = [(1, None, "user", "lost"), (1, 2, "user", None), (2, 1, "user", "a"), (2, 3, "user", "b"), (2, 3, "user", "c"), (3, 9, "other", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.user, r.system) for r in messages.last_responses(df, ["user", "system"]).collect()}
+    assert got == {1: ("", ""), 2: ("c", ""), 3: ("", "")}

@@ -45,6 +45,57 @@ def cte_names(sql: Column) -> Column:
     return F.regexp_extract_all(sql, F.lit(fx.CTE_AFTER_WITH), F.lit(1))
 
 
+# A scan of SQL that knows what is not code. Comments may hold comments, four deep; one that is never closed ends with
+# the text. A doubled quote is part of its literal or name. Loops are possessive, so long texts neither backtrack nor recurse.
+_NESTED = "(?!)"
+for _ in range(4):
+    _NESTED = rf"(?s:/\*(?:[^*/]++|\*(?!/)|/(?!\*)|{_NESTED})*+(?:\*/|\z))"
+_COMMENT = rf"--[^\n]*+|{_NESTED}"
+_LITERAL = r"(?:(?<!\w)[nN])?(')(?:[^']++|'')*+(?:'|\z)"
+_QUOTED = r"\[(?:[^\]]++|\]\])*+\]|\"(?:[^\"]++|\"\")*+\"|`(?:[^`]++|``)*+`"
+_PART = rf"(?:{_QUOTED}|[\p{{L}}_#@][\p{{L}}\p{{N}}_$#@]*+)"
+_PATH = rf"{_PART}(?:\s*+\.\s*+{_PART})*+"
+#: Each quoted name outside of a reference, and each call that has a FROM of its own, is passed over as a whole.
+_PASSED = rf"{_QUOTED}|(?i:\b(?:extract|trim|substring|overlay)\s*+\([^()]*+\))"
+_SCANNED_TABLE = rf"{_PASSED}|(?i:(?<![\w$#@.])(?:from|join|apply)\s++(?!(?:select|lateral|unnest|only)\b)({_PATH})(?!\s*+\())"
+_SCANNED_CTE = (
+    rf"(?i:(?:(?<![\w$#@.])with\s++(?:recursive\s++)?|\)\s*+,\s*+)({_PART})\s*+(?:\([^()]*+\)\s*+)?as\s++(?:(?:not\s++)?materialized\s*+)?\()|{_PASSED}"
+)
+
+
+def without_comments(sql: Column) -> Column:
+    """The script without comments, each literal cut to a quote, names as they are."""
+    return F.regexp_replace(sql, rf"{_COMMENT}|{_LITERAL}|({_QUOTED})", " $1$2 ")
+
+
+def _plain_name(name: Column) -> Column:
+    """A name without quotes and blanks around dots; its parts joined by dots."""
+    parts = F.regexp_extract_all(name, F.lit(rf"({_PART})"), F.lit(1))
+
+    def bare(part: Column) -> Column:
+        inner = F.substring(part, F.lit(2), F.length(part) - 2)
+        closing = F.when(part.startswith("["), "]").when(part.startswith('"'), '"').when(part.startswith("`"), "`")
+        return F.when(closing.isNotNull(), F.replace(inner, F.concat(closing, closing), closing)).otherwise(part)
+
+    return F.array_join(F.transform(parts, bare), ".")
+
+
+def _scanned(code: Column, pattern: str) -> Column:
+    found = F.regexp_extract_all(code, F.lit(pattern), F.lit(1))
+    return F.transform(F.filter(found, lambda x: x != ""), _plain_name)
+
+
+def scanned_ctes(code: Column) -> Column:
+    """Names that WITH defines, in order, from code without comments."""
+    return F.array_distinct(_scanned(code, _SCANNED_CTE))
+
+
+def scanned_tables(code: Column, ctes: Column) -> Column:
+    """Distinct names after FROM and JOIN that are no CTE, sorted, from code without comments. Case does not tell names from CTEs."""
+    known = F.transform(ctes, F.lower)
+    return F.array_sort(F.array_distinct(F.filter(_scanned(code, _SCANNED_TABLE), lambda x: ~F.array_contains(known, F.lower(x)))))
+
+
 def stage_of(block: Column) -> Column:
     """The stage a code block belongs to, by the first marker it holds; null without one."""
     stage = F.lit(None).cast("string")

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -90,8 +90,57 @@ def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
     both = left.withColumn("surplus", F.lit(1)).unionByName(right.withColumn("surplus", F.lit(-1)))
     surplus = both.groupBy(*columns).agg(F.sum("surplus").alias("surplus")).where("surplus <> 0")
     side = F.when(F.col("surplus") > 0, "left").otherwise("right")
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.abs("surplus")))
-    return surplus.select(*columns, side.alias("only_in"), copies.alias("copy")).drop("copy")
+    # a row for each copy, in two steps, so that no array is as long as a row is often
+    step, left_over = 1 << 12, F.abs("surplus") - 1
+    coarse = surplus.select(*columns, side.alias("only_in"), left_over.alias("__last"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(abs(surplus) - 1) div {step}"))).alias("__part"))
+    fine = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(step - 1), F.col("__last") - F.col("__part") * step)))
+    return coarse.select(*columns, "only_in", fine.alias("__copy")).drop("__copy")
+
+
+def bucket_sums(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Rows of each bucket of the key's hash, and two sums of their hashes that do not depend on the order."""
+    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    # a hash passes over nulls, so where they are is hashed as well
+    row = lambda seed: F.xxhash64(*columns, *[c.isNull() for c in columns], F.lit(seed)).cast("decimal(20,0)")
+    return df.groupBy(_key_bucket(key, buckets).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(row(1)).cast("decimal(38,0)").alias("sum1"), F.sum(row(2)).cast("decimal(38,0)").alias("sum2")
+    )
+
+
+def _key_bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def differing_buckets(left: DataFrame, right: DataFrame, key: str, buckets: int = 4096) -> list[int]:
+    """Buckets of the key in which the sides' sums differ. Each task sends one row for each of its buckets."""
+    sums = [bucket_sums(df, key, buckets) for df in (left, right)]
+    signed = sums[0].unionByName(sums[1].select("bucket", *[(-F.col(c)).alias(c) for c in ("rows", "sum1", "sum2")]))
+    added = signed.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("rows", "sum1", "sum2")])
+    return sorted(r["bucket"] for r in added.where("rows <> 0 or sum1 <> 0 or sum2 <> 0").select("bucket").collect())
+
+
+def reconcile_by_key(left: DataFrame, right: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
+    """The rows that ``reconcile`` gives. Sums of row hashes by bucket of the key come first, and only rows of buckets
+    that differ are compared; where the tables agree, no row of them is shuffled."""
+    if sorted(left.columns) != sorted(right.columns):
+        raise ValueError(f"columns differ: {', '.join(sorted(set(left.columns) ^ set(right.columns)))}")
+    right = right.select(*left.columns)
+    same_types = all(left.schema[c].dataType == right.schema[c].dataType for c in left.columns)
+    if not same_types:
+        return reconcile(left, right)
+    found = differing_buckets(left, right, key, buckets)
+    if len(found) == buckets:
+        return reconcile(left, right)
+    among = _key_bucket(key, buckets).isin(found) if found else F.lit(False)
+    return reconcile(left.where(among), right.where(among))
+
+
+def stratified_sample(df: DataFrame, group: str, key: str, size: int, salt: str = "") -> DataFrame:
+    """Of every group the ``size`` rows whose keys have the smallest digest: the same rows whenever the keys are the same,
+    whatever the order or the partitions. A task sends at most ``size`` rows of a group. Null is a group like others."""
+    digest = F.md5(F.concat(F.lit(salt), F.col(key).cast("string")).cast("binary"))
+    first = Window.partitionBy(group).orderBy(digest.asc_nulls_first(), key)
+    return df.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= size).drop("__rank")
 
 
 def schema_differences(df: DataFrame, schema: StructType, optional: Sequence[str] = ()) -> DataFrame:

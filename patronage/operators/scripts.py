@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.functions.text import code_text, cte_names, referenced_tables
+from patronage.functions.text import code_text, cte_names, referenced_tables, scanned_ctes, scanned_tables, without_comments
 
 
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below ``path``, whole, as one row."""
+    """Every file below ``path``, whole, as one row. A file without content gives none."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
@@ -32,6 +32,14 @@ def sql_inventory(texts: DataFrame, id_col: str = "path", text_col: str = "text"
     )
 
 
+def scanned_references(texts: DataFrame, id_col: str = "path", text_col: str = "text") -> DataFrame:
+    """Tables and CTEs of each script as its code refers to them: comments, literals and quoted names hold none, and a
+    CTE is no table. A column of a table or CTE, and a function that stands after FROM, are none either."""
+    code = texts.select(id_col, without_comments(F.col(text_col)).alias("code"))
+    found = code.select(id_col, "code", scanned_ctes(F.col("code")).alias("scanned_ctes"))
+    return found.select(id_col, scanned_tables(F.col("code"), F.col("scanned_ctes")).alias("scanned_tables"), "scanned_ctes")
+
+
 def table_references(texts: DataFrame, id_col: str = "path", text_col: str = "text") -> DataFrame:
     """One row per text and referenced table."""
     return texts.select(id_col, F.explode(referenced_tables(F.col(text_col))).alias("table_name"))

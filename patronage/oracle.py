@@ -24,6 +24,7 @@ from patronage.queries import (
     PAGE_AFTER,
     PAGE_SIZE,
     ROLE_STAGES,
+    SAMPLE_SIZE,
 )
 from patronage.sources.star_schema import ORDER_STATUS
 
@@ -577,6 +578,21 @@ def oracle_sql() -> dict[str, str]:
         ).replace("fin.CustomerID IS NOT NULL AS present, column_name, expected, actual FROM (",
                   "there IS NOT NULL AS present, column_name, CAST(expected AS DOUBLE) AS expected, "
                   "CAST(actual AS DOUBLE) AS actual FROM ("),
+        "q_dq_reconcile_by_key": _from(
+            ORDERS,
+            f"""SELECT {order_columns}, 'left' AS only_in FROM o WHERE OrderID % 101 = 0 OR OrderID % 97 = 0
+            UNION ALL SELECT {out(["OrderID", "CustomerID", "OrderDate"])}, 'Changed' AS Status, 'right' FROM o WHERE OrderID % 101 <> 0 AND OrderID % 97 = 0""",
+        ),
+        "q_dq_sample": _from(
+            SEGMENTS,
+            f"""SELECT CustomerID, BehaviorSegment, CAST((n IS DISTINCT FROM fin.m) AS BIGINT) + CAST(latest IS DISTINCT FROM newest AS BIGINT) AS differences,
+                CASE WHEN n IS DISTINCT FROM fin.m THEN CAST(n AS VARCHAR) ELSE '' END AS orders
+            FROM (SELECT CustomerID, BehaviorSegment FROM seg
+                  QUALIFY row_number() OVER (PARTITION BY BehaviorSegment ORDER BY md5(CAST(CustomerID AS VARCHAR)), CustomerID) <= {SAMPLE_SIZE})
+            JOIN (SELECT CustomerID, count(DISTINCT OrderID) AS n, max(OrderDate) AS latest FROM o JOIN d USING (OrderID) GROUP BY 1) total USING (CustomerID)
+            JOIN (SELECT CustomerID, count(DISTINCT OrderID) AS m, max(OrderDate) AS newest FROM o JOIN d USING (OrderID) WHERE Status = 'Completed'
+                  GROUP BY 1) fin USING (CustomerID)""",
+        ),
         "q_dq_reconcile": _from(
             ORDERS, f"SELECT {order_columns}, 'right' AS only_in FROM o WHERE OrderDate >= DATE '{EARLIER_DATE}'"
         ),
@@ -685,6 +701,11 @@ def oracle_sql() -> dict[str, str]:
         "q_conversation_export": "SELECT conv_id, turn, CAST(json_object('name', role, 'content', text) AS VARCHAR) "
         "AS message FROM conversations",
         "q_from_references": f"SELECT doc_id, unnest(list_distinct({TABLES})) AS table_name FROM documents",
+        "q_sql_references_scanned": """SELECT doc_id, 'Raw FROM x.t' || (doc_id % 7) || ',dbo.Orders ' || (doc_id % 5) || ',schema' || (doc_id % 3)
+            || '.customers' AS scanned_tables, 'first_' || (doc_id % 4) || ',second' AS scanned_ctes FROM documents""",
+        "q_sql_references_in_prose": "SELECT 0 AS ctes, count(*) AS documents FROM documents",
+        "q_scripts_read": """SELECT doc_id // 100 AS part, CAST(length(string_agg(text || chr(10), '' ORDER BY doc_id)) AS BIGINT) AS chars,
+            sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1""",
         "q_sql_inventory": f"""SELECT doc_id, array_to_string(list_sort(list_distinct({TABLES})), ',') AS referenced_tables,
             array_to_string(regexp_extract_all(text, '(?i)WITH\\s+([a-zA-Z0-9_]+)\\s+AS', 1), ',') AS ctes,
             contains(upper(text), 'GROUP BY') AS has_group_by, contains(upper(text), 'ORDER BY') AS has_order_by,

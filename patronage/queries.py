@@ -42,6 +42,7 @@ RUN_MOMENT = datetime(2001, 8, 2, 12, 0, 0)
 LOOKUP_ID = 42
 PAGE_AFTER, PAGE_SIZE = 500, 100
 CATALOG_BUCKETS = 8
+SAMPLE_SIZE = 5
 FALLBACKS = {
     "business": ("system", "assistant"),
     "technical": ("assistant", "system", "user"),
@@ -633,6 +634,27 @@ def q_dq_reconcile(w):
     return quality.reconcile(orders.where(F.col("OrderDate") < F.lit(EARLIER_DATE)), orders)
 
 
+@query
+def q_dq_reconcile_by_key(w):
+    """Orders against a copy in which some are lost and some have another status, compared where the sums differ."""
+    orders = w.table("Orders")
+    status = F.when(F.col("OrderID") % 97 == 0, "Changed").otherwise(F.col("Status"))
+    copy = orders.where(F.col("OrderID") % 101 != 0).withColumn("Status", status)
+    return quality.reconcile_by_key(orders, copy, "OrderID")
+
+
+@query
+def q_dq_sample(w):
+    """Customers drawn from every segment, with what all their orders come to where the summary says otherwise."""
+    members = w.scored.select("CustomerID", "BehaviorSegment")
+    sample = durable(quality.stratified_sample(members, "BehaviorSegment", "CustomerID", SAMPLE_SIZE))
+    lines = w.all_lines.join(sample, "CustomerID", "left_semi")
+    expected = lines.groupBy("CustomerID").agg(F.countDistinct("OrderID").alias("TotalOrders"), F.max("OrderDate").alias("LastPurchaseDate"))
+    found = quality.expected_values(w.order_summary(), expected, "CustomerID")
+    differing = found.groupBy("CustomerID").agg(F.count(F.lit(1)).alias("differences"), F.max(F.when(F.col("column_name") == "TotalOrders", F.col("expected"))).alias("orders"))
+    return sample.join(differing, "CustomerID", "left").select("CustomerID", "BehaviorSegment", F.coalesce("differences", F.lit(0)).alias("differences"), F.coalesce("orders", F.lit("")).alias("orders"))
+
+
 # Rankings with unknown keys, favourites with unknown amounts
 
 
@@ -776,6 +798,45 @@ def q_sql_inventory(w):
     return found.withColumns({c: F.array_join(c, ",") for c in lists})
 
 
+def _script(text, number):
+    """A text as the comments and literals of a script that names tables in every way, some of them CTEs."""
+    plain = F.regexp_replace(text, r"/\*|\*/", " ")
+    parts = [
+        "-- FROM remark ", F.regexp_replace(text, "\n", " "), "\n/* ", plain, " FROM hidden /* nested JOIN inner_one */ */\nWITH first_", number % 4,
+        " AS (SELECT '", F.replace(text, F.lit("'"), F.lit("''")), "' AS note FROM [dbo].[Orders ", number % 5,
+        "] WHERE d > '1'),\nsecond (a, b) AS (SELECT a, b FROM FIRST_", number % 4, ' JOIN "Raw FROM x" . t', number % 7,
+        " ON 1 = 1)\nSELECT N'it''s FROM nowhere', [JOIN me] FROM second s LEFT JOIN schema", number % 3,
+        ".customers c ON s.a = c.a WHERE EXTRACT(YEAR FROM c.d) = 2001 AND EXISTS (SELECT 1 FROM split_words('a FROM b') f)",
+    ]
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@query
+def q_sql_references_scanned(w):
+    documents = w.source.raw("documents")
+    scripts_ = documents.select("doc_id", _script(F.col("text"), F.col("doc_id")).alias("text"))
+    found = scripts.scanned_references(scripts_, "doc_id")
+    return found.withColumns({c: F.array_join(c, ",") for c in ("scanned_tables", "scanned_ctes")})
+
+
+@query
+def q_sql_references_in_prose(w):
+    """What the scan finds in texts that were never written as scripts."""
+    found = scripts.scanned_references(w.source.raw("documents"), "doc_id")
+    return found.select(F.size("scanned_ctes").alias("ctes")).groupBy("ctes").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query
+def q_scripts_read(w):
+    """Scripts of a hundred documents each, written as files and read back whole."""
+    folder, part = scratch_path(w.spark), F.floor(F.col("doc_id") / 100).alias("part")
+    rows = w.source.raw("documents").select("doc_id", "text", part).repartition("part").sortWithinPartitions("part", "doc_id")
+    rows.select("part", "text").write.partitionBy("part").text(folder)
+    read = scripts.read_scripts(w.spark, folder)
+    number = F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint")
+    return read.select(number.alias("part"), F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
+
+
 def _fenced(text, number):
     """A text with fences, in one of four shapes by a number: one block of several lines; an empty block and one with
     another language's name; a fence that is never closed; each line as a block of its own with prose between."""

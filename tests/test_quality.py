@@ -1,5 +1,6 @@
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from patronage.operators import quality
@@ -49,3 +50,53 @@ def test_schema_catalog(spark):
     frames = {"t": spark.range(1).select("id", F.lit("x").alias("s")), "u": spark.range(1)}
     rows = sorted(map(tuple, quality.schema_catalog(frames).collect()))
     assert rows == [("t", 0, "id", "bigint", False), ("t", 1, "s", "string", False), ("u", 0, "id", "bigint", False)]
+
+
+def test_reconcile_by_key_gives_the_rows_of_reconcile(spark):
+    import random
+
+    draw = random.Random(3)
+    for _ in range(4):
+        rows = [(draw.choice([None, *range(30)]), draw.choice(["a", "b", None]), draw.choice([None, 0.0, -0.0, 1.5])) for _ in range(200)]
+        other = [r for r in rows if draw.random() < 0.95] + [(draw.randrange(30), "new", None) for _ in range(draw.randrange(3))]
+        left, right = (spark.createDataFrame(x, "k long, a string, v double").repartition(n) for x, n in ((rows, 2), (other, 5)))
+        want = sorted(map(repr, map(tuple, quality.reconcile(left, right).collect())))
+        for buckets in (1, 7, 4096):
+            got = quality.reconcile_by_key(left, right.select("v", "a", "k"), "k", buckets)
+            assert sorted(map(repr, map(tuple, got.select("k", "a", "v", "only_in").collect()))) == want
+    wider = right.withColumn("k", F.col("k").cast("decimal(20,0)"))
+    assert quality.reconcile_by_key(left, wider, "k").count() == len(want)
+    with pytest.raises(ValueError, match="columns differ: a"):
+        quality.reconcile_by_key(left, right.drop("a"), "k")
+
+
+def test_equal_buckets_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(2000).selectExpr("id as k", "id % 7 as v").write.parquet(path)
+    left = spark.read.parquet(path)
+    right = left.withColumn("v", F.when(F.col("k") == 5, -1).otherwise(F.col("v")))
+    assert len(quality.differing_buckets(left, right, "k", 64)) == 1 and quality.differing_buckets(left, left, "k", 64) == []
+    same = quality.reconcile_by_key(left, left.select("*"), "k", 64)
+    assert "Exchange" not in same._jdf.queryExecution().optimizedPlan().toString() and same.count() == 0
+    assert "LocalRelation <empty>" in same._jdf.queryExecution().optimizedPlan().toString()
+    found = quality.reconcile_by_key(left, right, "k", 64)
+    assert {(r.k, r.v, r.only_in) for r in found.collect()} == {(5, 5, "left"), (5, -1, "right")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") >= 2 and "pmod(xxhash64" in plan  # rows of other buckets stop at the scan
+
+
+def test_many_copies_of_one_row(spark):
+    left = spark.range(10_000).selectExpr("1 as k")
+    found = quality.reconcile(left, spark.range(3).selectExpr("1 as k"))
+    assert found.count() == 9_997 and {tuple(r) for r in found.collect()} == {(1, "left")}
+
+
+def test_sample_is_the_same_rows_however_they_lie(spark):
+    df = spark.range(5000).selectExpr("id as k", "case when id % 10 = 0 then null else concat('s', id % 3) end as s")
+    draw = lambda d, n, salt="": {(r.s, r.k) for r in quality.stratified_sample(d, "s", "k", n, salt).collect()}
+    one = draw(df.repartition(3), 20)
+    assert one == draw(df.repartition(11).orderBy(F.desc("k")), 20) and len(one) == 80 and one > draw(df, 5)
+    assert one != draw(df, 20, "again")
+    assert len(draw(df.where("k < 4"), 20)) == 4
+    plan = quality.stratified_sample(df, "s", "k", 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # a task sends no more than it has to

@@ -650,6 +650,11 @@ def oracle_sql() -> dict[str, str]:
             'Failed' AS ProcessingStatus, {repeated} at step Process Transaction Summary' AS ErrorMessage, 4 AS LogID,
             'Process Transaction Summary' AS StepName, -1 AS RowCount, 'ERROR: ' || {repeated}' AS Message""",
         "q_run_retried": f"SELECT 'nightly' AS RunID, *, 8 AS steps, 0 AS least_rows FROM ({run_summary(SEGMENTS, DATA_DATE, 'FULL')})",
+        "q_run_times": " UNION ALL ".join(
+            f"SELECT {k} AS LogID, {k} AS place, '{name}' AS StepName, true AS ends_after_start, true AS summary_agrees"
+            for k, (name, _, _) in enumerate(steps, start=1)
+        ),
+        "q_saved_table": _from(SEGMENTS, "SELECT CustomerID, BehaviorSegment, TargetGroup FROM seg"),
         "q_run_report": " UNION ALL ".join(
             f"SELECT '{DATA_DATE}' AS process_date, 'FULL' AS process_type, 'Success' AS run_status, '{layer}' AS layer, "
             f"'Success' AS layer_status, '{','.join(sorted(names.split()))}' AS tables, '' AS error"

@@ -13,7 +13,7 @@ from datetime import date, datetime
 from decimal import Decimal
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -738,6 +738,31 @@ def q_run_retried(w):
     return store.read("gold", "CustomerAnalyticsSummary").drop("TotalProcessingTimeMs").join(log, "RunID", "full")
 
 
+@query
+def q_run_times(w):
+    """Every step of a run in the order the log is shown in, whether its times are in order, and whether the summary's
+    milliseconds are those between the start of the run and its last step, up to a minute."""
+    store, p = w.run(FULL)
+    shown = runlog.show(store).withColumn("place", F.monotonically_increasing_id())
+    placed = shown.withColumn("place", F.row_number().over(Window.partitionBy("ProcessDate").orderBy("place")))  # eight rows
+    taken = store.read("gold", "CustomerAnalyticsSummary").select(F.col("RunID").alias("of"), "TotalProcessingTimeMs")
+    until = F.timestamp_diff("MILLISECOND", F.col("RunStarted"), F.max("EndTime").over(Window.partitionBy("RunID")))
+    return placed.join(taken, F.col("RunID") == F.col("of")).select(
+        "LogID", "place", "StepName", (F.timestamp_diff("MILLISECOND", "StartTime", "EndTime") >= 0).alias("ends_after_start"),
+        (F.abs(until - F.col("TotalProcessingTimeMs")) < 60_000).alias("summary_agrees"),
+    )
+
+
+@query
+def q_saved_table(w):
+    """Analytics saved as a catalog table, twice: the second time replaces the first."""
+    name, path = f"patronage_{uuid.uuid4().hex}", scratch_path(w.spark)
+    rows = w.scored.select("CustomerID", "BehaviorSegment", "TargetGroup")
+    for df in (rows.where("CustomerID % 2 = 0"), rows):
+        w.store.save_table(df, name, path)
+    return w.store.read_table(name)
+
+
 @query
 def q_run_report(w):
     """The report of a run in debug mode, read back from its file, without times."""

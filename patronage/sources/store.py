@@ -361,8 +361,10 @@ class TableStore:
             self._put(f"{path}/{OLDER}", older.json())
         return expired
 
-    def save_table(self, df: DataFrame, table: str) -> None:
-        df.write.mode("overwrite").format(self.fmt).saveAsTable(table)
+    def save_table(self, df: DataFrame, table: str, path: str | None = None) -> None:
+        """A catalog table, in the warehouse unless a path is given."""
+        writer = df.write.mode("overwrite").format(self.fmt)
+        (writer.option("path", path) if path else writer).saveAsTable(table)
 
     def save_bucketed(self, df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
         """A catalog table bucketed and sorted on the key: joins and groupings on it need no shuffle. With a path it

@@ -188,8 +188,10 @@ def near_duplicates(
     """id, n_links (other vectors linked directly), component_id (the smallest id reachable), kept."""
     spark = embeddings.sparkSession
     ship(spark)
+    single = embeddings.schema[vector].dataType.simpleString() == "array<float>"  # half as much to move, and as exact
+    vectors_are = "array<float>" if single else "array<double>"
     rows = embeddings.select(
-        column_ref(key).cast("long").alias("id"), column_ref(vector).cast("array<double>").alias("vector"), column_ref(label).alias("label")
+        column_ref(key).cast("long").alias("id"), column_ref(vector).cast(vectors_are).alias("vector"), column_ref(label).alias("label")
     )
     finite = F.forall("vector", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
@@ -222,7 +224,7 @@ def near_duplicates(
     indexed = written(
         classes.select("label", "class", "rows", "vector").mapInArrow(
             enter,
-            f"label {kind}, class bigint, rows bigint, vector array<double>, list int, code binary, left_out float, visits array<int>",
+            f"label {kind}, class bigint, rows bigint, vector {vectors_are}, list int, code binary, left_out float, visits array<int>",
         )
     )
     visiting = indexed.select("label", "class", "rows", "vector", F.explode("visits").alias("list"))
@@ -234,7 +236,8 @@ def near_duplicates(
     both = members.unionByName(queries)
     counts = both.groupBy(*cell).agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("m"))
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    sizes = counts.where("q > 0 and m > 0").select(*cell, blocks("q").alias("q"), blocks("m").alias("m"))
+    # a table of lists, so that Spark knows its size and need not shuffle the vectors to join it where it is small
+    sizes = written(counts.where("q > 0 and m > 0").select(*cell, blocks("q").alias("q"), blocks("m").alias("m")))
     own = F.pmod(F.xxhash64("class"), F.when(F.col("asks"), F.col("q")).otherwise(F.col("m"))).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("m")).otherwise(F.col("q")) - 1))
     dealt = both.join(sizes, cell).withColumn("own", own).withColumn("other", others)

@@ -7,7 +7,9 @@ occurrence of a window.
 Defined results. Null or empty text: no words, no hit, not contaminated. Null or wordless test items give no window.
 Several rows with one item_id count as one item; a null item_id matches but is not listed. Repeated document rows are
 judged one by one. Other columns are carried along and never looked at, whatever their names. An empty benchmark hits
-nothing; empty documents give an empty result with the same columns.
+nothing; empty documents give an empty result with the same columns. Very long texts are scanned whole. A test set of
+more than MAX_TEST_BYTES is dealt to slices that are scanned one after the other, each over documents written with what
+the slices before found, so a worker holds one slice at a time; the result is the same.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from patronage.llm.common import column_ref, ship, table
+from patronage.llm.common import column_ref, ship, table, written
 
 WINDOW = 13
-#: Test texts held by each worker, in bytes of words. Larger test sets are refused, not cut.
+#: Test texts held by each worker, in bytes of words. Larger test sets are scanned in slices.
 MAX_TEST_BYTES = 64 << 20
 #: Pattern characters in one automaton; a test set with more is scanned by several automata in turn.
 AUTOMATON_CHARS = 4_000_000
 SCAN = "struct<n_words: bigint, n_hit: bigint, items: array<string>, span_starts: array<bigint>, span_ends: array<bigint>>"
+#: What one slice finds: items, and the first and last word of each run of hit words.
+FOUND = "struct<items: array<string>, first: array<int>, last: array<int>>"
 _SCAN_TYPE = pa.struct(
     [
         ("n_words", pa.int64()),
@@ -107,7 +111,8 @@ def _spans(raw: bytes, hit: np.ndarray) -> tuple[list[int], list[int]]:
     return chars[begin].tolist(), chars[end].tolist()
 
 
-def scan_text(raw: bytes, automata: list[ahocorasick.Automaton]) -> dict:
+def hit_words(raw: bytes, automata: list[ahocorasick.Automaton]) -> tuple[int, np.ndarray | None, set]:
+    """Number of words, which of them are hit (None without any), and the items found."""
     words = raw.translate(_WORD_BYTES).split()
     hit, items, ends = None, set(), None
     if words:
@@ -120,19 +125,28 @@ def scan_text(raw: bytes, automata: list[ahocorasick.Automaton]) -> dict:
                 last = int(np.searchsorted(ends, end))
                 hit[last - count + 1 : last + 1] = True
                 items |= ids
+    return len(words), hit, items
+
+
+def _result(raw: bytes, words: int, hit: np.ndarray | None, items) -> dict:
     if hit is None:
-        return {"n_words": len(words), "n_hit": 0, "items": [], "span_starts": [], "span_ends": []}
+        return {"n_words": words, "n_hit": 0, "items": [], "span_starts": [], "span_ends": []}
     starts, stops = _spans(raw, hit)
     listed = sorted(x for x in items if x is not None)
-    return {"n_words": len(words), "n_hit": int(hit.sum()), "items": listed, "span_starts": starts, "span_ends": stops}
+    return {"n_words": words, "n_hit": int(hit.sum()), "items": listed, "span_starts": starts, "span_ends": stops}
+
+
+def scan_text(raw: bytes, automata: list[ahocorasick.Automaton]) -> dict:
+    return _result(raw, *hit_words(raw, automata))
 
 
-def load_items(benchmark: DataFrame, item: str, text: str) -> list[tuple[str | None, str | None]]:
-    """The test set on the driver, after a check of its size in Spark."""
+def _test_rows(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, int]:
+    """Items and texts, and their size."""
     rows = benchmark.select(column_ref(item).cast("string").alias("item"), column_ref(text).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*") * 32).first()[0]
-    if size > MAX_TEST_BYTES:
-        raise ValueError(f"the test set has {size} bytes; up to {MAX_TEST_BYTES} can be held by each worker")
+    return rows, rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*") * 32).first()[0]
+
+
+def _on_driver(rows: DataFrame) -> list[tuple[str | None, str | None]]:
     return sorted(((r.item, r.text) for r in rows.collect()), key=lambda r: (r[0] or "", r[1] or ""))
 
 
@@ -151,13 +165,66 @@ def scanner(spark: SparkSession, items: list[tuple[str | None, str | None]], wid
     return scan
 
 
+def _slice_scanner(spark: SparkSession, items: list[tuple[str | None, str | None]], width: int):
+    """A column function from text to `FOUND`."""
+    load = _Items(spark.sparkContext.broadcast(items), hashlib.sha256(repr((items, width)).encode()).hexdigest())
+
+    @arrow_udf(FOUND)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automata = _automata(load.key, load, width)
+        for texts in batches:
+            rows = []
+            for t in texts.to_pylist():
+                words, hit, items_found = hit_words((t or "").encode(), automata)
+                runs = np.diff(np.concatenate(([0], (np.zeros(words) if hit is None else hit).astype(np.int8), [0])))
+                first, last = np.flatnonzero(runs == 1), np.flatnonzero(runs == -1) - 1
+                rows.append({"items": sorted(x for x in items_found if x is not None), "first": first.tolist(), "last": last.tolist()})
+            yield pa.array(rows, pa.struct([("items", pa.list_(pa.string())), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))]))
+
+    return find
+
+
+def _united():
+    """A column function from a text, and what all slices found in it, to `SCAN`."""
+
+    @arrow_udf(SCAN)
+    def united(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, found in batches:
+            rows = []
+            for text, parts in zip(texts.to_pylist(), found.to_pylist()):
+                raw, hit = (text or "").encode(), None
+                words = len(raw.translate(_WORD_BYTES).split())
+                for part in parts:
+                    for first, last in zip(part["first"], part["last"]):
+                        hit = np.zeros(words, bool) if hit is None else hit
+                        hit[first : last + 1] = True
+                rows.append(_result(raw, words, hit, {x for part in parts for x in part["items"]}))
+            yield pa.array(rows, _SCAN_TYPE)
+
+    return united
+
+
 def decontaminate(
     documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text",
     width: int = WINDOW, into: str = "scan",
 ) -> DataFrame:
-    """`documents` with a struct column of what the scan found; offsets are characters of the original text."""
-    scan = scanner(documents.sparkSession, load_items(benchmark, item, item_text), width)
-    return documents.withColumn(into, scan(column_ref(text)))
+    """`documents` with a struct column of what the scan found, in place of one of that name; offsets are characters of
+    the original text."""
+    spark = documents.sparkSession
+    rows, size = _test_rows(benchmark, item, item_text)
+    if size <= MAX_TEST_BYTES:
+        return documents.withColumn(into, scanner(spark, _on_driver(rows), width)(column_ref(text)))
+    ship(spark)
+    slices = 2 * -(-size // MAX_TEST_BYTES)  # hashes do not deal evenly
+    rows = written(rows.withColumn("slice", F.pmod(F.xxhash64("item", "text"), F.lit(slices))))
+    kept = [f"c{k}" for k in range(len(documents.columns))]
+    found, texts = documents.toDF(*kept), kept[documents.columns.index(text)]
+    for k in range(slices):
+        find = _slice_scanner(spark, _on_driver(rows.where(F.col("slice") == k).drop("slice")), width)
+        found = written(found.withColumn(f"found{k}", find(texts)))
+    result = found.withColumn("result", _united()(texts, F.array(*[f"found{k}" for k in range(slices)])))
+    columns = [F.col("result" if name == into else c).alias(name) for c, name in zip(kept, documents.columns)]
+    return result.select(*columns, *([] if into in documents.columns else [F.col("result").alias(into)]))
 
 
 def contaminated(scan: str = "scan"):

@@ -267,6 +267,19 @@ def test_decontamination(spark, documents, empty):
     assert nothing.where("scan.n_hit > 0").count() == 0 and nothing.count() == len(TEXTS)
 
 
+def test_a_large_test_set_is_scanned_in_slices(spark, documents, empty, monkeypatch):
+    words = SOME.split()
+    items = [(k, " ".join(words[k : k + 14])) for k in range(4)] + [(20, "Word"), (None, "lazy dog"), (21, LONG[:2000]), (22, None), (0, "night")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    key = lambda df: sorted(map(repr, (r.asDict(recursive=True) for r in df.collect())))
+    want = key(decontaminate.decontaminate(documents, benchmark, into="class"))
+    monkeypatch.setattr(decontaminate, "MAX_TEST_BYTES", 1000)
+    sliced = decontaminate.decontaminate(documents, benchmark, into="class")
+    assert key(sliced) == want and sliced.columns == documents.columns
+    assert decontaminate.decontaminate(documents, benchmark, into="new").columns == [*documents.columns, "new"]
+    assert decontaminate.decontaminate(empty, benchmark).count() == 0
+
+
 def test_decontamination_offsets_and_several_automata(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "AUTOMATON_CHARS", 40)
     items = [(str(k), f"Größe {k} " + " ".join(f"x{k}y{j}" for j in range(14))) for k in range(5)]

@@ -167,7 +167,8 @@ class TableStore:
 
     def _united(self, path: str, schema: StructType, older: evolution.Older) -> DataFrame:
         """The partitions of each schema read with it, and given the current one."""
-        groups = [*older.held, (schema, set(self._partitions(path, schema)) - older.all())]
+        there = set(self._partitions(path, schema))
+        groups = [*((s, p & there) for s, p in older.held), (schema, there - older.all())]
         reader = lambda s: self.spark.read.format(self.fmt).schema(s).option("basePath", path)
         parts = [evolution.fitted(reader(s).load([f"{path}/{x}" for x in sorted(p)]), schema) for s, p in groups if p]
         return reduce(DataFrame.unionByName, parts)

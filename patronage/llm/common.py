@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -50,8 +52,15 @@ def one_at_a_time(make: Callable) -> Callable:
 
 
 def release() -> None:
-    """Gives back what earlier operators keep in this worker."""
+    """Gives back what earlier operators keep in this worker, to the system as well, since other workers share its memory."""
+    if not _HELD:
+        return
     _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

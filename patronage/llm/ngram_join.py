@@ -44,6 +44,8 @@ STEP_BYTES = 4 << 20
 BROADCAST_IDS = 1_000_000
 BLOCK = 2048
 LEAF = 16
+#: Places that small lists and trees are dealt to at least, so that few of them do not meet in one task.
+LEAST_PLACES = 64
 
 
 def most_apart(total: np.ndarray, percent: int) -> np.ndarray:
@@ -385,14 +387,14 @@ class NgramJoin:
                 yield from boxes_of(pa.Table.from_batches([batch])).combine_chunks().to_batches()
 
         partial = rooted.select("root", "n_shingles", "point").mapInArrow(combine, kind)
-        buckets = max(1, rooted.count() // (8 * BLOCK))
+        buckets = max(LEAST_PLACES, rooted.count() // (8 * BLOCK))
         return partial.groupBy(F.pmod(F.xxhash64("root"), F.lit(buckets))).applyInArrow(boxes_of, kind)
 
     def component_pairs(self, lists: DataFrame, boxes: DataFrame) -> DataFrame:
         """(r, s): components that meet somewhere and whose boxes pass the bound, r < s. Small lists share a task; in
         larger ones blocks meet blocks."""
         percent = self.percent
-        buckets = max(1, lists.count() // (8 * BLOCK))
+        buckets = max(LEAST_PLACES, lists.count() // (8 * BLOCK))
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("root"), blocks).cast("int")
         dealt = lists.join(boxes, "root").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -456,7 +458,7 @@ class NgramJoin:
         counts = both.groupBy("tree").agg(F.count_if("asks").alias("q"), F.count_if(~F.col("asks")).alias("m"))
         counts = written(counts)
         shared = counts.where((F.col("q") <= BLOCK) & (F.col("m") <= BLOCK)).agg(F.sum(F.col("q") + F.col("m"))).first()[0]
-        buckets = max(1, (shared or 0) // (8 * BLOCK))
+        buckets = max(LEAST_PLACES, (shared or 0) // (8 * BLOCK))
         block = lambda c: F.ceil(F.col(c) / BLOCK).cast("int").alias(c)
         blocks = counts.select("tree", block("q"), block("m"))
         own = F.pmod(F.xxhash64("id"), F.when(F.col("asks"), F.col("q")).otherwise(F.col("m"))).cast("int")

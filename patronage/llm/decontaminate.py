@@ -6,7 +6,7 @@ occurrence of a window.
 
 Defined results. Null or empty text: no words, no hit, not contaminated. Null or wordless test items give no window.
 Several rows with one item_id count as one item; a null item_id matches but is not listed. Repeated document rows are
-judged one by one. Other columns are carried along and never looked at, whatever their names. An empty benchmark hits
+judged one by one. Other columns are carried along and never looked at; one named as the result gives way to it. An empty benchmark hits
 nothing; empty documents give an empty result with the same columns. Very long texts are scanned whole. A test set of
 more than MAX_TEST_BYTES is dealt to slices that are scanned one after the other, each over documents written with what
 the slices before found, so a worker holds one slice at a time; the result is the same.

@@ -7,7 +7,8 @@ are encoded once per worker.
 
 The result equals the sentencepiece library's, ids in and out. Defined results: a null or empty text has no ids, and no
 ids decode to the empty text. Characters that are no piece become byte pieces. Repeated rows give repeated results, an
-empty table an empty one; other columns are carried along whatever their names.
+empty table an empty one; other columns are carried along, but one named as the result gives way to it. Very long texts are encoded
+whole, and runs without blanks in time that grows with their length.
 """
 
 from __future__ import annotations

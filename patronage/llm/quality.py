@@ -8,7 +8,7 @@ found by its hash; a text's score is the logistic function of the mean weight ov
 
 Defined results. Null, empty and wordless texts get the bias alone as their score. Equal texts get scores equal to
 six digits, to which scores are rounded. With labels of one value only every score is their base rate, 0 or 1; without
-any usable label every score is 0.5, which predicts 0. Null ids are neither held out nor learned from; their rows are scored like others. An empty
+any usable label every score is 0.5, which predicts 0. Null ids are neither held out nor learned from; their rows are scored like others. A column named as the score gives way to it. An empty
 table gives an empty result. Labels, language, source and id are no inputs of a score.
 """
 

@@ -16,8 +16,9 @@ Each text is handled whole and by itself, in steps of some texts at a time; ther
 repeat takes about 100 bytes, so memory follows the repetitive words of the longest text.
 
 Defined results. Words are runs of characters other than blank and \\x09-\\x0D. Null, empty and wordless texts have no
-words, no run and the empty collapsed text. Repeated rows and null ids are texts of their own. Very long texts, and such of one repeated word,
-take time about n log n. An empty table gives an empty result. New columns replace those of the same name; all others are kept.
+words, no run and the empty collapsed text. Repeated rows and null ids are texts of their own. Very long texts, and such of
+one repeated word, take time about n log n. An empty table gives an empty result. New columns replace those of the same
+name; all others are kept.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ break, so that they cover the text and their counts add up to the document's.
 
 Defined results. A null or empty text has no tokens and, as lines, one empty section. Given spans have to ascend without
 overlap; tokens in none of them are counted as `outside`; a null or empty list has no sections, and empty spans count no
-tokens. Repeated rows give repeated results, an empty table an empty one. Other columns are carried along.
+tokens. Very long texts are encoded whole. Repeated rows give repeated results, an empty table an empty one. Other columns are
+carried along, but for those named as the result's own: these give way.
 """
 
 from __future__ import annotations

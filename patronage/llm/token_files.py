@@ -11,7 +11,8 @@ well; each worker has the library encode every different part once. Texts that h
 tokenizers, go to the library whole.
 
 Defined results. A null or empty text has the end id alone. A null document id sorts first. Repeated rows are separate
-documents. An empty table gives an empty file set and no rows. Only the two columns named are read.
+documents. Very long texts are encoded whole; rows of one id, however many, are in one file. An empty table gives an empty file
+set and no rows. Only the two columns named are read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ its most toxic window, the others by a random draw from all their windows.
 Defined results. Null, empty and wordless texts have one empty window, whose score is that of the bias. Equal texts
 get scores equal to six digits, to which scores are rounded, as single precision depends a little on the batch. With labels of one value
 only every score is their base rate, 0 or 1; without any usable label every score is 0.5, which predicts 1. Null
-ids are neither held out nor learned from; their rows are scored like others. An empty table gives an empty result. Labels, language, source and id are no inputs.
+ids are neither held out nor learned from; their rows are scored like others. A column named as the score gives way to it. An empty table gives an empty result. Labels, language, source and id are no inputs.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ verifies numbering and total length, decodes the chunked framing and verifies th
 
 Files are written by Spark's text writer, one record to a row. Before a record marker that occurs within a payload a
 chunk ends inside the marker, so the marker stands only where records begin. Uncompressed archives are read in splits of
-them; a gzip file is one stream and read by one task, so files are kept to a partition's size.
+them; a gzip file is one stream and read by one task; the writer makes one in each of its own.
 
 Defined results. Null html is an empty payload. Payloads below MIN_REVISIT_BYTES are always responses. Repeated rows
 with the same page_id and payload are archived once, with their number, and returned as often. One page_id with

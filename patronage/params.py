@@ -27,7 +27,7 @@ class RunParams:
     instead of the wider types that hold any total.
     ``keep_state``: purchases are kept as sums per customer and product. A full run starts them; the source of
     an incremental run then delivers the orders, lines and returns that are new since the run before, and no
-    old line is read again.
+    old line is read again. Slices older than ``state_days`` join the full state now and then and are final.
     ``run_id``: the name under which a run leaves its summary and log; one of its own for each when empty.
     ``all_source_columns``: the bronze layer keeps columns beyond the contract's as well.
     """
@@ -48,6 +48,7 @@ class RunParams:
     strict_types: bool = False
     all_source_columns: bool = False
     keep_state: bool = False
+    state_days: int = 30
     run_id: str = ""
     started_at: datetime = field(default_factory=datetime.now)
 

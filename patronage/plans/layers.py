@@ -107,7 +107,8 @@ class PurchaseStates:
     """The stored purchase states: that of a full run, and one of each slice since, by its date.
 
     A slice that is put again replaces itself, so a run may be repeated. ``compact`` adds slices to the full
-    state; the new one counts, and the slices in it stop counting, with one commit.
+    state; the new one counts, and the slices in it stop counting, with one commit. Slices older than ``state_days``
+    are added as soon as there are as many of them; younger ones stay and can be delivered again.
     """
 
     LAYER, BASE, SLICES, DAY, THROUGH = "silver", "PurchaseState", "PurchaseStateSlices", "SliceDate", "ThroughDate"
@@ -130,6 +131,16 @@ class PurchaseStates:
         if through is not None and p.data_date <= through:
             raise ValueError(f"the slice of {p.data_date} is part of the full state already, which goes through {through}")
         self.store.replace_partitions(state, self.LAYER, self.SLICES, {self.DAY: p.data_date}, evolve=True)
+        settled = p.data_date - timedelta(days=p.state_days)
+        days = [d for d in self.days() if (through or date.min) < d <= settled]
+        if len(days) >= p.state_days:  # many at once, as each time rewrites the full state
+            self.compact(settled)
+
+    def days(self) -> list[date]:
+        """The days that have a slice of their own, in order."""
+        prefix = f"{self.DAY}="
+        names = self.store._children(self.store.path(self.LAYER, self.SLICES))
+        return [date.fromisoformat(n[len(prefix) :]) for n in names if n.startswith(prefix)]
 
     def _start(self, state: DataFrame, through: date) -> None:
         self.store.overwrite(state.withColumn(self.THROUGH, F.lit(through)), self.LAYER, self.BASE)

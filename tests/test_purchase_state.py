@@ -128,3 +128,19 @@ def test_new_state_and_summary_read_no_old_line(spark, store):
         layers.PurchaseStates(store).put(state, p)
     summary = summary_from_state(layers.PurchaseStates(store).read(), first["Customers"], first["Products"], P)
     assert summary.inputFiles() and not [f for f in summary.inputFiles() if "/bronze/" in f]
+
+
+def test_old_slices_join_the_full_state_by_themselves(spark, store):
+    first, second, _ = deliveries(spark)
+    of = lambda t: purchase_state(t["Orders"], t["OrderDetails"], t["Returns"])
+    states, incremental = layers.PurchaseStates(store), replace(P, process_type=INCREMENTAL, state_days=2)
+    day = lambda k: date.fromordinal(DAY.toordinal() + k)
+    states.put(of(first), P)
+    state = of(second).persist()
+    for k in range(1, 4):
+        states.put(state, replace(incremental, data_date=day(k)))
+    assert states.days() == [day(k) for k in (1, 2, 3)] and states.through() == DAY
+    states.put(state, replace(incremental, data_date=day(4)))
+    assert states.days() == [day(3), day(4)] and states.through() == day(2)
+    assert rows(merged(states.read())) == rows(merged(of(first), *[state] * 4))
+    state.unpersist()

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from patronage.sources.durable import scratch_path
 
-__all__ = ["add_columns", "column_ref", "one_at_a_time", "release", "ship", "sub_batches", "table", "text_column", "written"]
+__all__ = ["add_columns", "column_ref", "one_at_a_time", "release", "ship", "sub_batches", "table", "text_column", "trim", "written"]
 
 _SHIPPED = "_patronage_shipped"
 
@@ -57,10 +57,15 @@ def release() -> None:
         return
     _HELD.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that is free in this worker back to the system; allocators keep it otherwise."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    to_system = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if to_system:
+        to_system(0)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -133,5 +138,6 @@ def add_columns(df: DataFrame, source: str, added: str, make: Callable, step_byt
                 rows = batch.slice(begin, len(part))
                 begin += len(part)
                 yield pa.RecordBatch.from_arrays([*(rows.column(kept.index(c)) for c in out), *compute(part)], names=[*inner, *names])
+        trim()
 
     return fed.mapInArrow(run, schema).toDF(*out, *names)

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patronage.llm.common import add_columns, column_ref, release, ship, sub_batches, table, written
+from patronage.llm.common import add_columns, column_ref, release, ship, sub_batches, table, trim, written
 from patronage.llm.components import components
 from patronage.llm.shingles import mix, shingle_hashes
 
@@ -296,6 +296,7 @@ class NgramJoin:
                         [pa.array(signatures.view(np.int64)), pa.array(firsts, pa.int64()), pc.if_else(alone, None, lists)],
                         names=["signature", "id", "others"],
                     )
+            trim()
 
         return self.texts.mapInArrow(enter, "signature bigint, id bigint, others array<bigint>")
 
@@ -341,6 +342,7 @@ class NgramJoin:
                 needed = needed_overlap(batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), percent)
                 passed = pa.array(np.minimum(left, right).sum(1) >= needed)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(passed), batch.column("b").filter(passed)], names=["a", "b"])
+            trim()
 
         joined = pairs.join(a, "a").join(b, "b").select("a", "b", "size_a", "size_b", "point_a", "point_b")
         return joined.mapInArrow(check, "a bigint, b bigint").distinct()

@@ -41,9 +41,9 @@ EPOCHS, EPOCH_WINDOWS, BATCH, RATE = 10, 5000, 256, 0.01
 CERTAIN = 50.0
 CACHED_WORDS = 150_000
 STEP_BYTES = 2 << 20
-ROWS_AT_ONCE = 4096
-#: Words and windows that learning reads at a time.
-WORDS_AT_ONCE, WINDOWS_AT_ONCE = 10_000, 1024
+ROWS_AT_ONCE = 2048
+#: Words that are read at a time, and windows in learning.
+WORDS_AT_ONCE, WINDOWS_AT_ONCE = 5_000, 1024
 #: The longest word in bytes, and the longest n-gram.
 MAX_WORD, MAX_GRAM = 40, 5
 _WORD_BYTES = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -170,8 +170,8 @@ class Scorer:
     def _project(self, words: list[bytes]) -> np.ndarray:
         w = self.weights
         out = np.zeros((len(words), 6 * STATES), np.float32)
-        for begin in range(0, len(words), 20_000):
-            part = words[begin : begin + 20_000]
+        for begin in range(0, len(words), WORDS_AT_ONCE):
+            part = words[begin : begin + WORDS_AT_ONCE]
             out[begin : begin + len(part)] = embed(w, *read_words(part)) @ np.hstack((w["xf"], w["xb"])) + self.blank
         return out
 

@@ -43,100 +43,4 @@ NOTICES = (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
         " granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
-    (
-        "mit-warranty",
-        "MIT",
-        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE"
-        " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR"
-        " COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
-        " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    ),
-    (
-        "bsd-two-clauses",
-        "BSD",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following"
-        " disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the"
-        " following disclaimer in the documentation and/or other materials provided with the distribution.",
-    ),
-    (
-        "bsd-third-clause",
-        "BSD-3-Clause",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
-        " derived from this software without specific prior written permission.",
-    ),
-    (
-        "bsd-disclaimer",
-        "BSD",
-        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES,"
-        " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
-        " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
-        " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
-        " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,"
-        " WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE"
-        " OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
-    ),
-    (
-        "isc-disclaimer",
-        "ISC",
-        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL"
-        " IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,"
-        " INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN"
-        " ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF"
-        " THIS SOFTWARE.",
-    ),
-    (
-        "lgpl-header",
-        "LGPL",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public"
-        " License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later"
-        " version.",
-    ),
-    (
-        "agpl-header",
-        "AGPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public"
-        " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later"
-        " version.",
-    ),
-    (
-        "mpl-header",
-        "MPL-2.0",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
-        " distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    ),
-    (
-        "epl-header",
-        "EPL-2.0",
-        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is"
-        " available at https://www.eclipse.org/legal/epl-2.0/",
-    ),
-    (
-        "unlicense-release",
-        "Unlicense",
-        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,"
-        " compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,"
-        " commercial or non-commercial, and by any means.",
-    ),
-    (
-        "zlib-permission",
-        "Zlib",
-        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable"
-        " for any damages arising from the use of this software. Permission is granted to anyone to use this software for any"
-        " purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following"
-        " restrictions:",
-    ),
-    (
-        "boost-permission",
-        "BSL-1.0",
-        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and"
-        " accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute,"
-        " and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the"
-        " Software is furnished to do so, all subject to the following:",
-    ),
-    ("spdx-mit", "MIT", "SPDX-License-Identifier: MIT"),
-    ("spdx-apache", "Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("spdx-gpl2", "GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
-    ("spdx-gpl3", "GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
-    ("spdx-bsd3", "BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("spdx-mpl", "MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )

@@ -8,6 +8,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patronage.operators.paging import KeyOrder
+
 
 def require_unique(df: DataFrame, key: str) -> None:
     """Raises when a key occurs more than once, naming one; reads the key column only."""
@@ -56,8 +58,15 @@ def keyset_page(df: DataFrame, key: str, last: object, size: int) -> DataFrame:
     return df.where(F.col(key) > F.lit(last)).orderBy(key).limit(size)
 
 
-def next_page_key(df: DataFrame, key: str, last: object, size: int) -> object:
-    """The last key of the page after ``last``, or None when nothing is left."""
+def next_page_key(df: DataFrame | KeyOrder, key: str, last: object, size: int) -> object:
+    """The last key of the page after ``last``, or None when nothing is left.
+
+    Of a table this sorts what is left of it; who asks for one page after the other gives its ``KeyOrder``.
+    """
+    if isinstance(df, KeyOrder):
+        if df.key != key:
+            raise ValueError(f"the pages are in the order of {df.key}, not {key}")
+        return df.end_after(last, size)
     return keyset_page(df.select(key), key, last, size).agg(F.max(key)).first()[0]
 
 

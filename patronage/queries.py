@@ -554,7 +554,7 @@ def q_keyset_written(w):
 @query
 def q_page_markers(w):
     """The last key of each page by asking for one page after the other, which writers of one batch at a time do."""
-    customers, last, found = w.table("Customers"), -1, []
+    customers, last, found = paging.KeyOrder(w.table("Customers"), "CustomerID"), -1, []
     while (last := merge.next_page_key(customers, "CustomerID", last, 10 * PAGE_SIZE)) is not None:
         found.append((len(found), last))
     return w.spark.createDataFrame(found, "page bigint, last_key bigint")

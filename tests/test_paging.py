@@ -1,5 +1,6 @@
 """Pages from one sort, batches that go on after a failure, and bucketed tables."""
 
+import uuid
 from datetime import date
 from decimal import Decimal
 
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from patronage import queries as registry
-from patronage.operators.paging import pages
+from patronage.operators import merge
+from patronage.operators.paging import KeyOrder, pages
 from patronage.sources import batches
 
 
@@ -41,6 +43,55 @@ def test_one_page_reads_the_files_it_lies_in(spark):
     assert page.count() == 1000
 
 
+def jobs_of(spark, call):
+    """What a call returns and how many jobs it ran."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return call(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_page_after_page_costs_few_jobs(spark, tmp_path):
+    n, at = 120_500, str(tmp_path)
+    customer = F.expr("id c_custkey"), F.expr("concat('C#', id) c_name"), F.expr("1 c_nationkey"), F.expr("1D c_acctbal"), F.expr("'A' c_mktsegment")
+    spark.range(n).select(*customer).repartition(3).write.parquet(f"{at}/customer.parquet")
+    spark.range(9).select(F.col("id").alias("o_custkey"), F.expr("timestamp'2001-01-01' o_orderdate")).write.parquet(f"{at}/orders.parquet")
+    found, jobs = jobs_of(spark, lambda: registry.queries()["q_page_markers"](spark, at))
+    assert sorted(map(tuple, found.collect())) == [(p, min(n, 1000 * (p + 1)) - 1) for p in range(121)]
+    assert jobs < 60
+
+
+@pytest.mark.parametrize(
+    ("keys", "size", "last"),
+    [
+        ([k for k in range(60) for _ in range(1 + k % 7)], 10, -1),  # keys that lie across the ends of pages
+        ([3] * 500 + [*range(40)], 7, 1),
+        ([None, None, -5, -1, 0, None, 7], 1, -3),
+        ([f"k{k * k % 91}" for k in range(300)], 25, "k1"),
+        ([], 5, 0),
+    ],
+)
+def test_pages_ahead_keep_to_repeated_keys(spark, keys, size, last):
+    df = spark.createDataFrame([(k,) for k in keys], f"k {'string' if isinstance(last, str) else 'long'}").repartition(4)
+
+    def plain(last):
+        page = sorted(k for k in keys if k is not None and k > last)[:size]
+        return page[-1] if page else None
+
+    order = KeyOrder(df, "k")
+    assert merge.next_page_key(order, "k", last, size) == merge.next_page_key(df, "k", last, size)
+    while last is not None:
+        found = merge.next_page_key(order, "k", last, size)
+        assert found == plain(last)
+        last = found
+    for other in [k for k in keys if k is not None][-1:]:  # not the one that follows
+        assert merge.next_page_key(order, "k", other, size) == plain(other)
+    with pytest.raises(ValueError, match="order of k"):
+        merge.next_page_key(order, "other", 0, 3)
+
+
 @pytest.mark.parametrize(
     ("kind", "value"),
     [("bigint", lambda k: k * 3), ("string", lambda k: f"key {k:03d}"), ("date", lambda k: date.fromordinal(730_000 + k)), ("decimal(10,2)", lambda k: Decimal(k) / 4)],

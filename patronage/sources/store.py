@@ -262,6 +262,26 @@ class TableStore:
             return 0
         return rows
 
+    def replace_each(self, df: DataFrame, layer: str, name: str, column: str, values: Sequence[int], order: str) -> int:
+        """Makes the rows of each value of ``column`` the content of that value's partition, all in one job, in files sorted by
+        ``order``. ``df`` has rows of all the values and of no others; partitions of others stay as they are."""
+        path = self.path(layer, name)
+        self._check_schema(df, layer, name)
+        older = self._older(path)
+        if older.all() and older.drop([self._partition_path(path, {column: v})[len(path) + 1 :] for v in values]):
+            self._put(f"{path}/{OLDER}", older.json())
+        rows = self._write(
+            df,
+            # Sorted by the partition first, as the writer needs it, or it would sort again.
+            lambda d: d.sortWithinPartitions(column, order)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(column),
+            path,
+        )
+        self._keep_schema(df.schema, layer, name)
+        return rows
+
     def _evolved(self, given: StructType, layer: str, name: str) -> StructType:
         """The table's schema after it met the given one. Partitions stored so far are noted with the schema they have
         before the current one changes, so whatever fails in between leaves a table that reads as before."""

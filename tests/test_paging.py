@@ -141,6 +141,46 @@ def test_a_batch_whose_write_fails_is_written_again(spark, store):
     assert sorted(r.k for r in store.read("gold", "B").collect()) == list(range(30))
 
 
+def test_small_batches_are_written_several_by_one_job(spark, store):
+    df = spark.range(0, 600, 1, 4).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+    (written, jobs) = jobs_of(spark, lambda: batches.write_in_batches(store, df, "gold", "B", "k", 3))
+    assert written == 600 and jobs < 100  # of 200 batches
+    assert batches.marker(store, "gold", "B") == {"batch": 199, "key": "599"}
+    assert {(r.k, r.v, r.Batch) for r in store.read("gold", "B").collect()} == {(k, f"v{k}", k // 3) for k in range(600)}
+    for batch in (0, 77, 199):
+        part = store.read_partition("gold", "B", {"Batch": batch})
+        assert [r.k for r in part.collect()] == [3 * batch, 3 * batch + 1, 3 * batch + 2] and len(part.inputFiles()) == 1
+
+
+def test_batches_beyond_the_marker_are_removed(spark, store, monkeypatch):
+    df = spark.createDataFrame([(k, k) for k in range(50)], "k long, v int")
+    left = lambda: sorted(r.k for r in store.read("gold", "B").collect())
+
+    def stop(batch, rows):
+        if batch == 5:  # in the middle of those that one job wrote
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        batches.write_in_batches(store, df, "gold", "B", "k", 2, stop)
+    assert batches.marker(store, "gold", "B") == {"batch": 5, "key": "11"} and left() == list(range(12))
+
+    put = store._put
+
+    def lost(path, value):
+        if path.endswith(batches.MARKER) and value["batch"] > 8:
+            raise OSError("the marker was not moved")
+        put(path, value)
+
+    monkeypatch.setattr(store, "_put", lost)
+    with pytest.raises(OSError):
+        batches.write_in_batches(store, df, "gold", "B", "k", 2)
+    monkeypatch.undo()
+    assert batches.marker(store, "gold", "B")["batch"] == 7
+    seen = []
+    assert batches.write_in_batches(store, df, "gold", "B", "k", 30, lambda *x: seen.append(x)) == 34
+    assert seen == [(8, 30), (9, 4)] and left() == list(range(50))
+
+
 def test_keys_of_batches_are_unique_and_known(spark, store):
     with pytest.raises(ValueError, match="k 1 occurs more than once"):
         batches.write_in_batches(store, spark.createDataFrame([(1,), (1,)], "k long"), "gold", "B", "k")
